@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, TimestampType
 
+from listenlake import schemas
 from listenlake.functions import links as L
 from listenlake.functions import text as T
 from listenlake.operators import dimensions as D
@@ -20,7 +21,9 @@ from listenlake.operators import recommend as RC
 from listenlake.operators import statistics as ST
 from listenlake.plans import candidates as C
 from listenlake.session import tune
+from listenlake.sources.lake import with_user_bucket
 from listenlake.sources.testbed import AS_OF, DEEP_CUT, SIMILAR, Testbed
+from listenlake.streaming import plays as SP
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -447,3 +450,98 @@ def exclusion_store(t):
     stored = t.excluded_tracks()
     later = stored.withColumn("excluded_at", F.col("excluded_at") + F.expr("INTERVAL 1 DAY"))
     return FB.put_exclusions(stored, later, ["username", "track_id"])
+
+
+# ---- stored tables (written to a lake of their own in the shared folder)
+
+BUCKET = ["user_bucket"]
+
+
+@query
+def json_landing(t):
+    """Raw plays landed as JSON Lines, read back with a schema, structured."""
+    lake = t.scratch_lake()
+    lake.land_json(I.flatten_pages(t.history_pages()), "bronze/plays")
+    raw = lake.read_json("bronze/plays", schemas.StructType(schemas.RAW_PLAY.fields + schemas.table("username string").fields))
+    return I.plays_from_raw(raw)
+
+
+@query
+def table_modes(t):
+    """Partitioned write, then an append of the loved plays: rows per user."""
+    lake = t.scratch_lake()
+    plays = with_user_bucket(t.plays(), 16)
+    lake.write(plays, "silver/plays", "error", BUCKET)
+    lake.write(plays.filter("is_loved"), "silver/plays", "append", BUCKET)
+    return lake.read("silver/plays").groupBy("username").agg(F.count("*").alias("plays"))
+
+
+@query
+def upsert_table(t):
+    """Every play written once, then the loved ones again with a new url next to plays of new users."""
+    lake = t.scratch_lake()
+    key = ["username", "scrobbled_at"]
+    lake.upsert(with_user_bucket(t.plays(), 16), "silver/plays", key, BUCKET)
+    plays = K.one_per_key(t.plays(), key)
+    again = plays.filter("is_loved").withColumn("track_url", F.concat("track_url", F.lit("?again")))
+    moved = plays.filter("NOT is_loved").withColumn("username", F.concat(F.lit("copy "), "username"))
+    lake.upsert(with_user_bucket(again.unionByName(moved), 16), "silver/plays", key, BUCKET)
+    return lake.read("silver/plays").select("username", "scrobbled_at", "track_url", "track_id")
+
+
+@query
+def delete_played(t):
+    """A stored candidate table without what was played since 1999."""
+    lake = t.scratch_lake()
+    cut = F.lit("1999-01-01").cast("timestamp")
+    stored = C.played_tracks(t.plays().filter(F.col("scrobbled_at_utc") < cut))
+    lake.write(with_user_bucket(stored, 16), "silver/stored", "error", BUCKET)
+    since = C.played_tracks(t.plays().filter(F.col("scrobbled_at_utc") >= cut))
+    lake.delete(since, "silver/stored", ["username", "track_id"], BUCKET)
+    return lake.read("silver/stored").select("username", "track_id")
+
+
+@query
+def replace_users(t):
+    """Users with an excluded track get a new list (their loved tracks), the others keep theirs."""
+    lake = t.scratch_lake()
+    lake.write(with_user_bucket(C.played_tracks(t.plays()), 16), "gold/lists", "error", BUCKET)
+    users = t.excluded_tracks().select("username").distinct()
+    loved = C.played_tracks(t.plays().filter("is_loved")).join(users, "username", "left_semi")
+    lake.replace_users(with_user_bucket(loved, 16), "gold/lists", users, BUCKET)
+    return lake.read("gold/lists").select("username", "track_id")
+
+
+# ---- streams (what has landed is processed, then the stream stops)
+
+
+@query
+def stream_ingest(t):
+    lake = t.scratch_lake()
+    SP.ingest(t.event_stream(), lake, "silver/plays", lake.path("_ingest")).awaitTermination()
+    return lake.read("silver/plays").select("username", "scrobbled_at", "track_id", "artist_name")
+
+
+@query
+def stream_without_repeats(t):
+    lake = t.scratch_lake()
+    fresh = SP.without_repeats(t.event_stream())
+    SP.append_rows(fresh, lake.path("silver/fresh"), lake.path("_fresh")).awaitTermination()
+    return lake.read("silver/fresh").select("username", "scrobbled_at", "track_id", "artist_name")
+
+
+@query
+def daily_play_windows(t):
+    lake = t.scratch_lake()
+    days = SP.daily_counts(t.event_stream())
+    SP.append_rows(days, lake.path("gold/days"), lake.path("_days")).awaitTermination()
+    return lake.read("gold/days")
+
+
+@query
+def stream_refresh(t):
+    lake = t.scratch_lake()
+    stream = t.event_stream()
+    run = SP.refresh_statistics(stream, lake, "silver/plays", "gold/counts", "2024-02-01 00:00:00", lake.path("_refresh"))
+    run.awaitTermination()
+    return lake.read("gold/counts")

@@ -89,10 +89,14 @@ class Lake:
         return self.spark.createDataFrame([], schema) if found is None else found
 
     def _existing(self, name: str) -> DataFrame | None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return None
         try:
             return self.read(name)
         except AnalysisException as error:
-            if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            # A partitioned table that was written without rows has no file that could tell its schema.
+            if error.getCondition() == "UNABLE_TO_INFER_SCHEMA":
                 return None
             raise
 

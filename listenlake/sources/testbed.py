@@ -7,6 +7,7 @@ whole tables by Spark.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Callable
 
@@ -22,7 +23,8 @@ from listenlake.operators.recommend import recommend
 from listenlake.operators.statistics import artist_play_counts, track_play_counts
 from listenlake.plans import candidates as C
 from listenlake.plans.merge import merge_candidates
-from listenlake.sources.lake import shared_dir
+from listenlake.sources.lake import Lake, shared_dir
+from listenlake.streaming import plays as SP
 
 # Fixed values of this mapping.
 AS_OF = "2001-08-02 00:00:00"
@@ -121,11 +123,12 @@ class Testbed:
         )
         return named.select("username", F.when(F.col("is_loved"), single).otherwise(several).alias("value"))
 
-    def event_plays(self) -> DataFrame:
-        """Events as plays: the JSON key is the track, the event type the artist."""
+    def event_plays(self, events: DataFrame | None = None) -> DataFrame:
+        """Events, batch or stream, as plays: the JSON key is the track, the event type the artist."""
+        events = self.table("events") if events is None else events
         ts = F.col("ts").cast("timestamp")
         track = F.concat(F.lit("track "), F.get_json_object("props", "$.k"))
-        return self.table("events").select(
+        return events.select(
             F.col("user_id").cast("string").alias("username"),
             F.unix_micros(ts).alias("scrobbled_at"),
             ts.alias("scrobbled_at_utc"),
@@ -136,6 +139,15 @@ class Testbed:
             F.concat(track, F.lit("|"), "event_type").alias("track_id"),
         )
 
+    def event_stream(self) -> DataFrame:
+        """The same from a file stream."""
+        path = f"{self.directory}/events*.parquet"  # a stream reads directories or patterns
+        return self.event_plays(SP.landed_files(self.spark, path, self.table("events").schema))
+
+    def scratch_lake(self) -> Lake:
+        """An empty lake in the shared folder."""
+        return Lake(self.spark, f"{shared_dir(self.spark)}/lakes/{uuid.uuid4().hex}")
+
     # ---- dimensions
 
     def part_counts(self) -> DataFrame:

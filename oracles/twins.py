@@ -287,3 +287,43 @@ oracle(
         SELECT 'copy ' || username, scrobbled_at, track_url, track_id, 'inserted' FROM once WHERE NOT is_loved""",
 )
 oracle("exclusion_store", "SELECT * REPLACE (excluded_at + INTERVAL 1 DAY AS excluded_at) FROM v_excluded_tracks")
+
+# ---- stored tables
+oracle("json_landing", "SELECT * FROM v_plays")
+oracle("table_modes", "SELECT username, count(*) + count_if(is_loved) AS plays FROM v_plays GROUP BY 1")
+oracle(
+    "upsert_table",
+    f"""WITH once AS ({_once})
+        SELECT username, scrobbled_at, CASE WHEN is_loved THEN track_url || '?again' ELSE track_url END AS track_url, track_id
+        FROM once
+        UNION ALL
+        SELECT 'copy ' || username, scrobbled_at, track_url, track_id FROM once WHERE NOT is_loved""",
+)
+oracle(
+    "delete_played",
+    """SELECT DISTINCT username, track_id FROM v_plays p WHERE scrobbled_at_utc < '1999-01-01'
+       AND NOT EXISTS (SELECT 1 FROM v_plays x WHERE x.username = p.username AND x.track_id = p.track_id
+                       AND x.scrobbled_at_utc >= '1999-01-01')""",
+)
+oracle(
+    "replace_users",
+    """SELECT DISTINCT username, track_id FROM v_plays
+       WHERE is_loved OR username NOT IN (SELECT username FROM v_excluded_tracks)""",
+)
+
+# ---- streams
+_event_once = """SELECT username, epoch_us(scrobbled_at_utc) AS scrobbled_at, track_id, artist_name FROM v_event_plays
+  QUALIFY row_number() OVER (PARTITION BY username, scrobbled_at_utc ORDER BY artist_name DESC, track_id DESC) = 1"""
+oracle("stream_ingest", _event_once)
+oracle("stream_without_repeats", _event_once)
+oracle(
+    "daily_play_windows",
+    """SELECT username, day, count(*) AS plays FROM (
+         SELECT username, date_trunc('day', scrobbled_at_utc)::TIMESTAMP AS day FROM v_event_plays)
+       WHERE day + INTERVAL 1 DAY <= (SELECT max(scrobbled_at_utc) FROM v_event_plays) - INTERVAL 1 HOUR GROUP BY 1, 2""",
+)
+oracle(
+    "stream_refresh",
+    track_counts("v_event_plays", "user_half_life_days", "2024-02-01", "v_event_users"),
+    ("recency_score",),
+)
