@@ -46,6 +46,17 @@ def join_spread(
     return salted.join(copies, [key, "_salt"], how)
 
 
+def before_fan_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread a small relation over all shuffle partitions before a join that multiplies its rows.
+
+    Two things go wrong without it: adaptive coalescing packs the small side into one task, which then makes all the
+    rows, and a partitioning by user alone would be kept for the aggregate over (user, track) behind the join, a hot
+    user in one task. A partition count given by number is left alone by the coalescing.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(partitions, *keys)
+
+
 def upsert_frame(target: DataFrame, source: DataFrame, keys: Sequence[str], action: str | None = None) -> DataFrame:
     """Keyed upsert as a relation: source rows replace target rows with the same key, others are added.
 

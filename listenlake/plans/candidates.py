@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from listenlake import schemas
 from listenlake import settings as S
 from listenlake.functions.recency import MIN_HALF_LIFE_DAYS, decay_2, instant, whole_days
 from listenlake.functions.text import canonical_track_id, split_tags
-from listenlake.operators.keyed import best_per_key, delete_frame, join_spread
+from listenlake.operators.keyed import before_fan_out, best_per_key, delete_frame, join_spread
 from listenlake.operators.ranking import cap, sample_large
 from listenlake.operators.statistics import plays_per_artist
 
@@ -99,6 +99,13 @@ def _artist_top_tracks(artist_top_tracks: DataFrame) -> DataFrame:
     )
 
 
+def _best_versions(top_tracks: DataFrame) -> DataFrame:
+    """One row per similar artist and track: of several versions the one with most plays scores best for everyone."""
+    order = F.struct(-F.col("playcount"), F.col("track_name"), F.col("artist_name"))
+    best = F.min_by(F.struct("track_name", "artist_name", "playcount"), order)
+    return top_tracks.groupBy("similar_name", "track_id").agg(best.alias("v")).select("similar_name", "track_id", "v.*")
+
+
 def similar_artist_candidates(
     plays: DataFrame,
     sources: DataFrame,
@@ -109,8 +116,8 @@ def similar_artist_candidates(
 ) -> DataFrame:
     """Unplayed top tracks of artists similar to the played ones; per user and track the best score."""
     paths = similar_artist_paths(sources, similar_artists, similarity_threshold)
-    tracks = _artist_top_tracks(artist_top_tracks).filter(F.col("listeners") >= min_listeners).drop("listeners")
-    found = paths.join(tracks, "similar_name").withColumn("score", F.col("weight") * F.col("playcount"))
+    tracks = _artist_top_tracks(artist_top_tracks).filter(F.col("listeners") >= min_listeners)
+    found = before_fan_out(paths, "username", "similar_name").join(_best_versions(tracks), "similar_name").withColumn("score", F.col("weight") * F.col("playcount"))
     fresh = delete_frame(found, played_tracks(plays), ["username", "track_id"])
     order = [F.col("score").desc(), F.col("source_artist_id"), F.col("track_name"), F.col("artist_name")]
     return best_per_key(fresh, ["username", "track_id"], order).select(*schemas.CANDIDATE_SIMILAR_ARTIST.names)
@@ -126,7 +133,7 @@ def similar_artist_funnel(
 ) -> DataFrame:
     """Per user: answers examined, dropped for few listeners, dropped as played, kept (before the dedup)."""
     paths = similar_artist_paths(sources, similar_artists, similarity_threshold)
-    found = paths.join(_artist_top_tracks(artist_top_tracks), "similar_name")
+    found = before_fan_out(paths, "username", "similar_name").join(_artist_top_tracks(artist_top_tracks), "similar_name")
     played = played_tracks(plays).withColumn("played", F.lit(True))
     marked = found.join(played, ["username", "track_id"], "left")
     few = F.col("listeners") < min_listeners
@@ -172,6 +179,9 @@ def tag_gate(profile: DataFrame, previous: DataFrame, min_share: float = S.MIN_N
     )
 
 
+TAGS_PER_WORD = 62
+
+
 def similar_tag_candidates(
     plays: DataFrame,
     profile: DataFrame,
@@ -179,41 +189,55 @@ def similar_tag_candidates(
     tracks_per_tag: int = S.TRACKS_PER_TAG,
     min_tag_matches: int = S.MIN_TAG_MATCHES,
     previous: DataFrame | None = None,
+    top_tags_count: int = S.TOP_TAGS,
 ) -> DataFrame:
     """Unplayed tracks listed under at least ``min_tag_matches`` tags of the user; the score is that number.
 
     A track listed twice under one tag counts once. With ``previous`` candidates, users whose profile has hardly
     changed are left out.
+
+    The tags of a user are numbered, and the tags a track matched are or-ed into bit words, so the large aggregate
+    over (user, track) moves a few integers instead of lists of text. Names and tags are put back on what is left.
     """
     if previous is not None:
         run = tag_gate(profile, previous).filter("run").select("username")
         profile = profile.join(run, "username", "left_semi")
+    by_tag = Window.partitionBy("username").orderBy("tag")
+    profile = cap(profile, ["username"], top_tags_count, "tag_count", "tag")
+    numbered = profile.select("username", "tag", (F.row_number().over(by_tag) - 1).alias("place"))
+    user_tags = profile.groupBy("username").agg(F.sort_array(F.collect_list("tag")).alias("user_tags"))
+
+    artist = F.coalesce("artist_name", F.lit(""))
     listed = tag_top_tracks.filter(F.col("pos") <= tracks_per_tag).select(
         "tag",
-        canonical_track_id("track_name", F.coalesce("artist_name", F.lit(""))).alias("track_id"),
-        F.struct("track_name", F.coalesce("artist_name", F.lit("")).alias("artist_name")).alias("names"),
+        canonical_track_id("track_name", artist).alias("track_id"),
+        F.struct("track_name", artist.alias("artist_name")).alias("names"),
     )
-    listed = listed.groupBy("tag", "track_id").agg(F.min("names").alias("names"))
-    found = profile.select("username", "tag").join(listed, "tag")
-    fresh = delete_frame(found, played_tracks(plays), ["username", "track_id"])
-    # (username, tag, track_id) is unique here, and a user has at most 100 tags: the set of tags stays small.
-    return (
-        fresh.groupBy("username", "track_id")
-        .agg(
-            F.min("names").alias("names"),
-            F.count("*").alias("tag_match_count"),
-            F.array_join(F.sort_array(F.collect_list("tag")), ",").alias("source_tags"),
-        )
-        .filter(F.col("tag_match_count") >= min_tag_matches)
-        .select(
-            "username",
-            "track_id",
-            "names.track_name",
-            "names.artist_name",
-            "tag_match_count",
-            F.col("tag_match_count").cast("double").alias("score"),
-            "source_tags",
-        )
+    names = listed.groupBy("track_id").agg(F.min("names").alias("names"))
+    found = before_fan_out(numbered, "username", "tag").join(listed.select("tag", "track_id").distinct(), "tag")
+
+    words = [f"word{i}" for i in range(-(-top_tags_count // TAGS_PER_WORD))]
+    bit = F.expr(f"shiftleft(1L, place % {TAGS_PER_WORD})")
+    in_word = F.floor(F.col("place") / TAGS_PER_WORD)
+    matches = found.groupBy("username", "track_id").agg(
+        *[F.bit_or(F.when(in_word == i, bit).otherwise(F.lit(0))).alias(w) for i, w in enumerate(words)],
+        F.count("*").alias("tag_match_count"),
+    )
+    matches = matches.filter(F.col("tag_match_count") >= min_tag_matches)
+    fresh = delete_frame(matches, played_tracks(plays), ["username", "track_id"])
+    matched_tags = F.expr(
+        f"filter(user_tags, (t, i) -> getbit(array({', '.join(words)})[CAST(i DIV {TAGS_PER_WORD} AS INT)], i % {TAGS_PER_WORD}) = 1)"
+    )
+    # Nothing is grouped by user after this join, so Spark may split a hot user's rows, or broadcast the tag lists.
+    labelled = fresh.join(user_tags, "username").join(names, "track_id")
+    return labelled.select(
+        "username",
+        "track_id",
+        "names.track_name",
+        "names.artist_name",
+        "tag_match_count",
+        F.col("tag_match_count").cast("double").alias("score"),
+        F.array_join(matched_tags, ",").alias("source_tags"),
     )
 
 
@@ -268,7 +292,7 @@ def album_catalogue(
 
 def deep_cut_candidates(plays: DataFrame, sources: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Unplayed album tracks of the user's top artists."""
-    found = sources.join(catalogue, "artist_name").withColumn(
+    found = before_fan_out(sources, "username", "artist_id").join(catalogue, "artist_name").withColumn(
         "score", (F.col("play_count") * F.col("album_playcount")).cast("double")
     )
     fresh = delete_frame(found, played_tracks(plays), ["username", "track_id"])

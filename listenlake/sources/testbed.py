@@ -76,7 +76,8 @@ class Testbed:
             F.col("p_brand").alias("artist_name"),
             F.posexplode(markers).alias("place", "marker"),
         )
-        return spelled.select(
+        # A small dimension is one split; patterns are the cost here, so its rows are spread over all tasks first.
+        return spelled.repartition("l_partkey").select(
             "l_partkey",
             (F.col("place") + 1).alias("l_linenumber"),
             F.concat("p_name", "marker").alias("track_name"),
@@ -464,7 +465,7 @@ class Testbed:
         """Every line of every document, and every spelled part name, as a name."""
         lines = self.table("documents").select(
             F.concat(F.lit("document "), "doc_id").alias("source"), F.posexplode(F.split("text", "\n")).alias("place", "name")
-        )
+        ).repartition("source", "place")
         spelled = self.names().select(
             F.concat(F.lit("part "), "l_partkey").alias("source"),
             F.col("l_linenumber").alias("place"),

@@ -163,10 +163,12 @@ SELECT first_tag AS tag, track_id, track_name, artist_name FROM (
   FROM v_listing) WHERE pos <= 500"""
 
 PARTS["v_cand_tag"] = """
-SELECT username, track_id, min((track_name, artist_name))[1] AS track_name, min((track_name, artist_name))[2] AS artist_name,
+SELECT username, track_id, any_value(n.track_name) AS track_name, any_value(n.artist_name) AS artist_name,
        count(DISTINCT tag) AS tag_match_count, CAST(count(DISTINCT tag) AS DOUBLE) AS score,
        string_agg(DISTINCT tag, ',' ORDER BY tag) AS source_tags
 FROM v_tag_profile p JOIN v_tag_top_tracks USING (tag)
+JOIN (SELECT track_id, min((track_name, artist_name))[1] AS track_name, min((track_name, artist_name))[2] AS artist_name
+      FROM v_tag_top_tracks GROUP BY 1) n USING (track_id)
 WHERE NOT EXISTS (SELECT 1 FROM v_played x WHERE x.username = p.username AND x.track_id = v_tag_top_tracks.track_id)
 GROUP BY username, track_id HAVING count(DISTINCT tag) >= 2"""
 
