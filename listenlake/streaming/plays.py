@@ -67,9 +67,10 @@ def refresh_statistics(
 
     def apply(batch: DataFrame, _: int) -> None:
         lake.upsert(batch, plays_table, PLAY_KEY, partition_by)
-        users = batch.select("username", *[c for c in partition_by if c != "username"]).distinct()
-        stored = lake.read(plays_table).join(users.drop("username").distinct(), list(partition_by), "left_semi") if partition_by else lake.read(plays_table)
-        theirs = stored.join(users.select("username"), "username", "left_semi")
+        # The user's partition columns are part of the match, so that other directories need not be read.
+        place = ["username", *[c for c in partition_by if c != "username"]]
+        users = batch.select(*place).distinct()
+        theirs = lake.read(plays_table).join(users, place, "left_semi")
         counts = track_play_counts(theirs, dim_users(theirs), as_of)
         lake.replace_users(counts, counts_table, users.select("username"))
 
