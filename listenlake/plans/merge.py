@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,7 +90,8 @@ def merge_candidates(
         union_typed(sources, schemas.TRACK_CANDIDATES)
         .groupBy(*keys)
         .agg(
-            F.sum("score").alias("score"),
+            # One row per source and key, added in the order of FLAGS: a retried task gives the very same double.
+            reduce(add, [F.coalesce(F.max(F.when(F.col(f), F.col("score"))), F.lit(0.0)) for f in FLAGS]).alias("score"),
             *[F.bool_or(f).alias(f) for f in FLAGS],
             # A source has one row per key, so there is one value that is not NULL.
             *[F.max(c).alias(c) for c in why],

@@ -29,12 +29,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def comparable(df: DataFrame) -> DataFrame:
-    """Doubles to six decimals (sums depend on their order), instants without a zone."""
+    """Doubles to six decimals (sums depend on their order), instants without a zone. The rounding is spelled out so
+    that any engine with IEEE doubles gives the same digits."""
     columns = []
     for field in df.schema.fields:
         c = F.col(f"`{field.name}`")
         if isinstance(field.dataType, DoubleType):
-            c = F.round(c, 6)
+            c = F.floor(c * 1e6 + 0.5) / 1e6
         elif isinstance(field.dataType, TimestampType):
             c = c.cast("timestamp_ntz")
         columns.append(c.alias(field.name))

@@ -248,7 +248,8 @@ sources AS (
   SELECT o.username, o.track_id, t.track_name, t.artist_name, normalized_score, false, false, false, true, NULL, NULL,
          NULL, NULL, NULL FROM old_f o LEFT JOIN v_tracks t ON t.track_id = o.track_id),
 grouped AS (
-  SELECT {keys}, {names} sum(score) AS score, bool_or(similar_artist) AS similar_artist, bool_or(similar_tag) AS similar_tag,
+  SELECT {keys}, {names} coalesce(max(score) FILTER (similar_artist), 0) + coalesce(max(score) FILTER (similar_tag), 0)
+         + coalesce(max(score) FILTER (deep_cut_same_artist), 0) + coalesce(max(score) FILTER (old_favorite), 0) AS score, bool_or(similar_artist) AS similar_artist, bool_or(similar_tag) AS similar_tag,
          bool_or(deep_cut_same_artist) AS deep_cut_same_artist, bool_or(old_favorite) AS old_favorite,
          max(why_similar_artist_name) AS why_similar_artist_name, max(why_similar_artist_pct) AS why_similar_artist_pct,
          max(why_similar_tags) AS why_similar_tags, max(why_tag_match_count) AS why_tag_match_count,
@@ -391,7 +392,7 @@ def oracle(name: str, body: str, doubles: tuple[str, ...] = ()) -> None:
     BODIES[name] = body
     sql = relation(body)
     if doubles:
-        rounded = ", ".join(f"round({c}, 6) AS {c}" for c in doubles)
+        rounded = ", ".join(f"floor(CAST({c} AS DOUBLE) * 1e6 + 0.5) / 1e6 AS {c}" for c in doubles)
         sql = sql.replace("SELECT * FROM result", f"SELECT * REPLACE ({rounded}) FROM result")
     ORACLES[name] = sql
 
