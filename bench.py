@@ -2,8 +2,8 @@
 
     BENCH_SF_DIR=/root/testdata/sf0.1 BENCH_CPUS=8 python bench.py [query ...]
 
-Every query is executed in full (all columns, all rows, no-op sink), once. Tables a query reads from the test lake are
-written before it and timed under ``stage:``; the total holds both.
+Every query is executed in full (all columns, all rows), once. Queries that build a table of the test lake write it, the
+others go to a no-op sink and read what was written before them. The total holds both.
 """
 
 from __future__ import annotations
@@ -19,25 +19,29 @@ from listenlake.sources.testbed import Testbed
 
 DIRECTORY = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-STAGES = ["plays", "listing", "tracks", "artists", "users", "track_counts", "artist_counts"]
-CANDIDATES = ["candidate_similar_artist", "candidate_similar_tag", "candidate_deep_cut", "candidate_old_favorites"]
-HEADLINES = [
+# Query -> table of the test lake it builds, in the order of the jobs.
+BUILDS = {
+    "plays": "plays",
+    "listing": "listing",
+    "dedup_tracks": "tracks",
+    "dedup_artists": "artists",
+    "dim_users": "users",
+    "track_play_count": "track_counts",
+    "artist_play_count": "artist_counts",
+    "similar_artist_candidates": "candidate_similar_artist",
+    "similar_tag_candidates": "candidate_similar_tag",
+    "deep_cut_candidates": "candidate_deep_cut",
+    "old_favorites": "candidate_old_favorites",
+    "merge_candidates": "candidates",
+    "recommend": "recommended",
+}
+READS = [
     "raw_plays_flatten",
     "normalize_names",
-    "dedup_tracks",
-    "dim_users",
-    "track_play_count",
-    "artist_play_count",
     "user_stats",
     "rank_normalise",
     "best_link",
     "upsert_plays",
-    "similar_artist_candidates",
-    "similar_tag_candidates",
-    "deep_cut_candidates",
-    "old_favorites",
-    "merge_candidates",
-    "recommend",
     "replacements",
     "export_list",
     "upsert_table",
@@ -67,17 +71,12 @@ def main(only: list[str]) -> None:
         seconds[name] = round(time.time() - started, 3)
         print(f"{name} {seconds[name]}", file=sys.stderr, flush=True)
 
-    for name in STAGES:
-        timed(f"stage:{name}", getattr(bed, name))
-    for name in only or HEADLINES:
-        if name == "merge_candidates":
-            for stage in CANDIDATES:
-                timed(f"stage:{stage}", getattr(bed, stage))
-        if name == "recommend":
-            timed("stage:candidates", bed.candidates)
-        if name == "replacements":
-            timed("stage:recommended", bed.recommended)
-        timed(name, lambda: QUERIES[name](spark, DIRECTORY).write.format("noop").mode("overwrite").save())
+    for name, table in BUILDS.items():
+        if not only or name in only or name in ("plays", "listing"):
+            timed(name, getattr(bed, table))
+    for name in READS:
+        if not only or name in only:
+            timed(name, lambda: QUERIES[name](spark, DIRECTORY).write.format("noop").mode("overwrite").save())
     print(
         json.dumps(
             {
