@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,12 +45,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def with_code(spark: SparkSession) -> SparkSession:
+    """Sees to it that Python workers can import this package: where their path doesn't name its folder, Spark ships it."""
+    package = Path(__file__).resolve().parents[1]
+    home, context = str(package.parent), spark.sparkContext
+    if home in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(context, "_ships_llm", False):
+        return spark
+    target = tempfile.mkdtemp(prefix="run-")
+    context.addPyFile(shutil.make_archive(f"{target}/{package.name}", "zip", home, package.name))
+    context._ships_llm = True
+    return spark
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def documents(spark: SparkSession, directory: str) -> DataFrame:
-    return spark.read.parquet(f"{directory}/documents.parquet")
+    return with_code(spark).read.parquet(f"{directory}/documents.parquet")
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:
