@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from listenlake.llm import ops_join, ops_lines, ops_native, ops_tokens
+from listenlake.llm import ops_join, ops_lines, ops_native, ops_tokens, ops_toxicity
 
-QUERIES = {**ops_native.QUERIES, **ops_tokens.QUERIES, **ops_join.QUERIES, **ops_lines.QUERIES}
+QUERIES = {
+    **ops_toxicity.QUERIES,
+    **ops_tokens.QUERIES,
+    **ops_join.QUERIES,
+    **ops_native.QUERIES,
+    **ops_lines.QUERIES,
+}
 ORACLES: dict[str, str] = {**ops_lines.ORACLES}
