@@ -50,6 +50,7 @@ class WordTokenizer:
         # Plain: no white space beside the split ones, nothing that normalisation or case folding may change in length.
         self.plain = regex.compile(r"[\x21-\x7E¡-įı-ɏ]*").fullmatch
         self.library = Tokenizer.from_file(path)
+        self.highest = max(max(vocab.values()), max(self.library.get_vocab(with_added_tokens=True).values()))
         self.known: dict[str, bytes] = {}
 
     def _learn(self, words: list[str]) -> None:
@@ -85,8 +86,8 @@ class WordTokenizer:
         for i, w in enumerate(plain):
             self.known[w] = data[bounds[i] : bounds[i + 1]]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit numbers."""
+    def _words(self, texts: list[str]) -> list[list[str]]:
+        """The words of each text, all of them known."""
         words = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
         if len(self.known) > KEPT:
             self.known.clear()
@@ -96,9 +97,18 @@ class WordTokenizer:
         new.difference_update(self.known)
         if new:
             self._learn(list(new))
-        known = self.known.__getitem__
+        return words
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit numbers."""
+        words, known = self._words(texts), self.known.__getitem__
         return [b"".join(map(known, w)) for w in words]
 
+    def counts(self, texts: list[str]) -> list[int]:
+        """How many ids each text has."""
+        words, known = self._words(texts), self.known.__getitem__
+        return [sum(map(len, map(known, w))) // 4 for w in words]
+
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> WordTokenizer:
