@@ -75,7 +75,7 @@ class Merges:
             done_words.append(np.repeat(words, size))
             done_symbols.append(sym)
 
-        sym = np.asarray(symbols, np.int32)
+        sym = np.array(symbols, np.int32)
         long = lengths > LONG
         if long.any():
             ends = np.cumsum(lengths)

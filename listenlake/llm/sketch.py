@@ -28,15 +28,10 @@ def sketch(text: Column, k: int = K, width: int = WORDS) -> Column:
     """Bottom-k sketch of a text column."""
 
     def shingles(h: Column) -> Column:
-        many = F.transform(
-            F.sequence(F.lit(0), F.size(h) - width), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(width)])
-        )
-        few = F.array(F.aggregate(h, F.lit(42).cast("bigint"), lambda a, x: F.xxhash64(a, x)))
-        return (
-            F.when(F.size(h) >= width, many)
-            .when(F.size(h) > 0, few)
-            .otherwise(F.array().cast("array<bigint>"))
-        )
+        # Places behind the last word are null, and hashing skips null: a short text is one shingle of all its words.
+        starts = F.sequence(F.lit(0), F.greatest(F.size(h) - width, F.lit(0)))
+        many = F.transform(starts, lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(width)]))
+        return F.when(F.size(h) > 0, many).otherwise(F.array().cast("array<bigint>"))
 
     hashed = F.transform(words(F.coalesce(text, F.lit(""))), lambda w: F.xxhash64(w))
     return F.slice(F.sort_array(F.array_distinct(let(hashed, shingles))), 1, k)

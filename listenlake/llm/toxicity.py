@@ -229,39 +229,47 @@ def _places(patterns: np.ndarray) -> np.ndarray:
     return (patterns[:, None] >> np.arange(VOTERS) & 1).astype(float)
 
 
-def _moments(x: np.ndarray, n: np.ndarray, prior: float) -> np.ndarray:
-    """First guess of (rate on toxic, rate on others) by triplets: off the diagonal, the covariance of two voters that are
-    independent within the classes is the product of what each owes to the class."""
+def _moments(x: np.ndarray, n: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """First guess of (rate on toxic, rate on others), and which voters depend on one another beyond the class.
+
+    Off the diagonal, the covariance of two voters that are independent within the classes is the product of what each owes
+    to the class; so it follows from their covariances with any two others. Pairs far above that are dependent, and what a
+    voter owes comes from triplets without such pairs."""
     mean = np.average(x, axis=0, weights=n)
     cov = (x - mean).T @ ((x - mean) * n[:, None]) / n.sum()
     m = len(mean)
+    firm = np.abs(cov) > 1e-6
+    dependent = np.zeros((m, m), bool)
+    for i in range(m):
+        for j in range(i):
+            others = [k for k in range(m) if k not in (i, j)]
+            found = [abs(cov[i, k] * cov[j, h] / cov[k, h]) for k in others for h in others if k != h and firm[k, h]]
+            if found and abs(cov[i, j]) > 2 * np.median(found) + 1e-6:
+                dependent[i, j] = dependent[j, i] = True
     d = np.zeros(m)
     for i in range(m):
-        found = [
-            abs(cov[i, j] * cov[i, k] / cov[j, k])
-            for j in range(m)
-            for k in range(j + 1, m)
-            if i not in (j, k) and abs(cov[j, k]) > 1e-6
-        ]
-        d[i] = math.sqrt(np.median(found)) if found else 0.0
-    lead = int(np.argmax(d))
+        free = [j for j in range(m) if j != i and not dependent[i, j]]
+        found = [abs(cov[i, j] * cov[i, k] / cov[j, k]) for j in free for k in free if j < k and firm[j, k] and not dependent[j, k]]
+        d[i] = math.sqrt(np.median(found)) if found else math.sqrt(cov[i, i]) / 2
+    lead = int(np.argmax(d[: FOLDS + 2]))  # these lean to toxic by what they look for; the others by how they go with them
     sign = np.where(cov[lead] < 0, -1.0, 1.0)
     gap = sign * d / math.sqrt(prior * (1 - prior))
     off = np.clip(mean - prior * gap, 1e-5, 0.95)
     on = np.clip(off + gap, 1e-4, 0.999)
-    return np.stack([on, off], axis=1)
+    return np.stack([on, off], axis=1), dependent
 
 
 def label_model(patterns: list[tuple[int, int, int, int]], prior: float, rounds: int = 60):
     """(posterior of each pattern, prior, rates, shares) from (votes as bits, rows, rows labelled 1, rows labelled 0).
 
-    Begins with the rates that the covariances give, then alternates between posteriors and rates. The correlation of two
-    voters within the classes, as the posteriors weigh them, lessens the share that both have in the log odds."""
+    Begins with the rates and dependences that the covariances give, then alternates between posteriors and rates. The
+    correlation of two voters within the classes, as the posteriors weigh them, lessens the share that both have in the log
+    odds."""
     bits = np.array([p[0] for p in patterns], np.int64)
     n, pos, neg = (np.array([p[k] for p in patterns], float) for k in (1, 2, 3))
     x = _places(bits)
-    rates = _moments(x, n, prior)
-    shares = np.ones(VOTERS)
+    rates, dependent = _moments(x, n, prior)
+    shares = 1 / (1 + dependent.sum(axis=1))
     gold = math.log(GOLD / (1 - GOLD))
     odds = None
     for _ in range(rounds):
