@@ -1,20 +1,26 @@
 """Tables on a shared file system: landing, write modes, keyed upsert, delete, replacement per user.
 
-Tables are Parquet directories, partitioned by user or, for many users, by ``user_bucket``. A change is worked out as
-a relation, written whole to a staging directory in the shared folder, and only then published from there: plans
-never read the path they overwrite, and after a crash in the middle of publishing the staged copy is complete and the
-same call can be repeated.
+A table is a directory of Parquet files and a log. Each change writes its rows under a directory of its own and then adds
+one small file to the log, which names the table's schema and, for each partition value, the directories that hold its
+rows. Readers follow the last log file, so a change is seen whole or not at all; after a crash the table is as it was and
+the same call can be repeated. Partition columns are stored in the files like any other column, so their types are those
+of the schema, and a partition is found by its value in the log: partitions that a change does not touch are neither
+listed, read nor written, and one that loses its last row just leaves the log.
+
+Rows whose key has a NULL can't be matched; upserts put them into the table ``<name>__rejects`` and count them.
 """
 
 from __future__ import annotations
 
+import contextlib
+import hashlib
+import json
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -22,6 +28,7 @@ from listenlake import schemas
 from listenlake.operators.keyed import delete_frame, matched, one_per_key, upsert_frame
 
 USER_BUCKETS = 256
+KEPT_VERSIONS = 5
 _local_dir: list[str] = []
 
 
@@ -31,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
     if not _local_dir:
         _local_dir.append(tempfile.mkdtemp(prefix="listenlake-"))
@@ -43,6 +50,49 @@ def with_user_bucket(df: DataFrame, buckets: int = USER_BUCKETS) -> DataFrame:
     return df.withColumn("user_bucket", F.pmod(F.xxhash64("username"), F.lit(buckets)).cast("int"))
 
 
+class Files:
+    """The few file operations a table's log needs, on whatever file system Spark has for the path."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.jvm = spark, spark._jvm
+
+    def _at(self, path: str):
+        where = self.jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
+
+    def names(self, path: str) -> list[str]:
+        fs, where = self._at(path)
+        return [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
+
+    def state(self, path: str) -> list[tuple[str, int, int]]:
+        """Name, length and time of change of what is in a directory."""
+        fs, where = self._at(path)
+        return sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(where))
+
+    def delete(self, path: str) -> None:
+        fs, where = self._at(path)
+        fs.delete(where, True)
+
+    def text(self, path: str) -> str:
+        fs, where = self._at(path)
+        stream = fs.open(where)
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def put(self, path: str, text: str) -> None:
+        """A whole file under a new name, or an error: two writers can't both take it."""
+        fs, where = self._at(path)
+        _, draft = self._at(f"{path}.{uuid.uuid4().hex}")
+        stream = fs.create(draft)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        if fs.exists(where) or not fs.rename(draft, where):
+            fs.delete(draft, False)
+            raise RuntimeError(f"another change was made meanwhile: {path}")
+
+
 @dataclass
 class WriteReport:
     """What a write did; ``skipped`` with a reason where there was nothing to do."""
@@ -53,14 +103,50 @@ class WriteReport:
     updated: int = 0
     copied: int = 0
     deleted: int = 0
+    rejected: int = 0
     skipped: bool = False
     reason: str | None = None
     columns: list[str] = field(default_factory=list)
 
 
+Values = tuple[str | None, ...]
+
+
+@dataclass
+class Version:
+    """A table as of one log file: rows of a partition are in ``parts[its values]``, directories relative to the table."""
+
+    number: int
+    schema: StructType
+    partition_by: list[str]
+    parts: dict[Values, list[str]]
+    batches: dict[str, int] = field(default_factory=dict)
+
+    def to_json(self) -> str:
+        parts = [[list(v), dirs] for v, dirs in sorted(self.parts.items(), key=str)]
+        head = {"schema": self.schema.jsonValue(), "partition_by": self.partition_by}
+        return json.dumps({**head, "parts": parts, "batches": self.batches})
+
+    @staticmethod
+    def from_json(number: int, text: str) -> Version:
+        told = json.loads(text)
+        parts = {tuple(v): dirs for v, dirs in told["parts"]}
+        return Version(number, StructType.fromJson(told["schema"]), told["partition_by"], parts, told["batches"])
+
+
+def _digest(values: Values) -> str:
+    """Directory name of a partition."""
+    return hashlib.md5("\x1f".join("\x00" if v is None else v for v in values).encode()).hexdigest()
+
+
+def _digest_column(partition_by: Sequence[str]) -> Column:
+    texts = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in partition_by]
+    return F.md5(F.concat_ws("\x1f", *texts))
+
+
 class Lake:
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+        self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark)
 
     def path(self, name: str) -> str:
         """``name`` is layer and table, such as ``silver/plays``."""
@@ -80,94 +166,190 @@ class Lake:
 
     # ---- tables
 
+    def version(self, name: str) -> Version | None:
+        log = f"{self.path(name)}/_log"
+        numbers = [int(n[:-5]) for n in self.files.names(log) if n.endswith(".json")]
+        if not numbers:
+            return None
+        return Version.from_json(max(numbers), self.files.text(f"{log}/{max(numbers):020d}.json"))
+
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+        found = self.version(name)
+        if found is None:
+            raise FileNotFoundError(f"no table {self.path(name)}")
+        return self._rows(name, found)
 
     def read_or_empty(self, name: str, schema: StructType) -> DataFrame:
         """Typed empty relation where the table does not exist yet."""
-        found = self._existing(name)
-        return self.spark.createDataFrame([], schema) if found is None else found
+        found = self.version(name)
+        return self.spark.createDataFrame([], schema) if found is None else self._rows(name, found)
 
-    def _existing(self, name: str) -> DataFrame | None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
-            return None
-        try:
-            return self.read(name)
-        except AnalysisException as error:
-            # A partitioned table that was written without rows has no file that could tell its schema.
-            if error.getCondition() == "UNABLE_TO_INFER_SCHEMA":
-                return None
-            raise
+    def read_partitions(self, name: str, like: DataFrame) -> DataFrame:
+        """Rows of the partitions that rows of ``like`` lie in; all rows if ``like`` lacks a partition column."""
+        found = self.version(name)
+        known = set(found.partition_by) <= set(like.columns)
+        return self._rows(name, found, self._values(like, found.partition_by) if known else None)
 
     def exists(self, name: str) -> bool:
-        return self._existing(name) is not None
-
-    def write(self, df: DataFrame, name: str, mode: str = "overwrite", partition_by: Sequence[str] = ()) -> WriteReport:
-        """``append``, ``overwrite`` (the whole table) or ``error``."""
-        rows, counted = self._counted(_sized(df, partition_by))
-        rows.write.mode(mode).partitionBy(*partition_by).parquet(self.path(name))
+        return self.version(name) is not None
+
+    def _rows(self, name: str, version: Version, only: set[Values] | None = None) -> DataFrame:
+        """Rows of a version, or of some of its partitions: no other directory is looked at."""
+        dirs = [d for v, part in version.parts.items() if only is None or v in only for d in part]
+        if not dirs:
+            return self.spark.createDataFrame([], version.schema)
+        return self.spark.read.schema(version.schema).parquet(*[f"{self.path(name)}/{d}" for d in dirs])
+
+    def write(
+        self,
+        df: DataFrame,
+        name: str,
+        mode: str = "overwrite",
+        partition_by: Sequence[str] = (),
+        batch: tuple[str, int] | None = None,
+    ) -> WriteReport:
+        """``append``, ``overwrite`` (the whole table) or ``error``. ``batch`` (stream, number): a batch that is repeated
+        after a crash is not written again."""
+        if mode not in ("append", "overwrite", "error"):
+            raise ValueError(f"unknown mode {mode}")
+        old = self.version(name)
+        if old is not None and mode == "error":
+            raise FileExistsError(f"PATH_ALREADY_EXISTS: {self.path(name)}")
+        if old is not None and batch and old.batches.get(batch[0], -1) >= batch[1]:
+            return WriteReport(self.path(name), skipped=True, reason="batch is stored already")
+        adds = mode == "append" and old is not None
+        if adds:
+            df, partition_by = df.select(old.schema.names), old.partition_by
+        rows, counted = self._counted(df)
+        parts = self._put_rows(rows, name, partition_by)
+        if adds:
+            parts = {v: old.parts.get(v, []) + parts.get(v, []) for v in {**old.parts, **parts}}
+        batches = {**(old.batches if old else {}), **(dict([batch]) if batch else {})}
+        schema = old.schema if adds else df.schema
+        self._commit(name, old, Version(0, schema, list(partition_by), parts, batches))
         return WriteReport(self.path(name), rows=counted.get["rows"], columns=df.columns)
 
     def upsert(self, source: DataFrame, name: str, keys: Sequence[str], partition_by: Sequence[str] = ()) -> WriteReport:
         """Replace rows with a known key, add the others; create the table if there is none. Partitions the source does
         not touch are neither read nor written. Partition columns must be functions of the key."""
-        target = self._existing(name)
-        if target is None:
-            return self.write(one_per_key(source, list(keys)), name, "error", partition_by)
-        source = source.select(target.columns)
-        touched = _semi(target, source, partition_by)
-        staged = self._stage(upsert_frame(touched, source, list(keys), action="_action"))
-        actions = dict(map(tuple, staged.groupBy("_action").count().collect()))
-        self._publish(staged.drop("_action"), name, partition_by)
-        inserted, updated, copied = (actions.get(a, 0) for a in ("inserted", "updated", "copied"))
-        return WriteReport(self.path(name), inserted + updated, inserted, updated, copied, columns=target.columns)
-
-    def delete(self, gone: DataFrame, name: str, keys: Sequence[str], partition_by: Sequence[str] = ()) -> WriteReport:
+        old = self.version(name)
+        keyed = F.lit(True)
+        for key in keys:
+            keyed = keyed & F.col(key).isNotNull()
+        with self._staged(source if old is None else source.select(old.schema.names)) as rows:
+            count, good = rows.agg(F.count("*"), F.count_if(keyed)).first()
+            if count > good:
+                self.write(rows.filter(~keyed), f"{name}__rejects", "append")
+            report = self._upserted(rows.filter(keyed), name, keys, partition_by, old, good)
+        report.rejected = count - good
+        return report
+
+    def _upserted(self, source, name, keys, partition_by, old: Version | None, rows: int) -> WriteReport:
+        if old is None:
+            report = self.write(one_per_key(source, list(keys)), name, "error", partition_by)
+            report.inserted = report.rows
+            return report
+        if not rows:
+            return WriteReport(self.path(name), columns=old.schema.names)
+        touched = self._values(source, old.partition_by)
+        frame = upsert_frame(self._rows(name, old, touched), source, list(keys), action="_action")
+        seen = Observation(f"upsert-{uuid.uuid4().hex}")
+        kinds = ("inserted", "updated", "copied")
+        frame = frame.observe(seen, *[F.count_if(F.col("_action") == k).alias(k) for k in kinds]).drop("_action")
+        self._replace_parts(frame, name, old, touched)
+        n = seen.get
+        return WriteReport(self.path(name), n["inserted"] + n["updated"], *[n[k] for k in kinds], columns=old.schema.names)
+
+    def delete(self, gone: DataFrame, name: str, keys: Sequence[str]) -> WriteReport:
         """Delete rows whose key is in ``gone``; a missing table or key is no error."""
-        target = self._existing(name)
-        if target is None:
+        old = self.version(name)
+        if old is None:
             return WriteReport(self.path(name), skipped=True, reason="no such table")
-        hit = matched(target, gone, keys)
-        removed = hit.count()
-        if removed:
-            self._replace_rows(target, _semi(target, hit, partition_by), gone, None, name, keys, partition_by)
-        return WriteReport(self.path(name), deleted=removed, columns=target.columns)
+        wanted = list(dict.fromkeys([*keys, *[c for c in old.partition_by if c in gone.columns]]))
+        with self._staged(gone.select(*wanted).distinct()) as gone:
+            within = self._values(gone, old.partition_by) if set(old.partition_by) <= set(wanted) else None
+            hit = matched(self._rows(name, old, within), gone, keys)
+            hit = hit.groupBy(*[F.col(c).cast("string") for c in old.partition_by]).count().collect()
+            removed = sum(r["count"] for r in hit)
+            if removed:
+                touched = {tuple(r)[:-1] for r in hit}
+                self._replace_parts(delete_frame(self._rows(name, old, touched), gone, keys), name, old, touched)
+        return WriteReport(self.path(name), deleted=removed, columns=old.schema.names)
 
     def replace_users(self, df: DataFrame, name: str, users: DataFrame, partition_by: Sequence[str] = ()) -> WriteReport:
         """Put ``df`` in the place of everything stored for ``users``; a user without new rows ends up with none, the
         others keep theirs."""
-        target = self._existing(name)
-        if target is None:
+        old = self.version(name)
+        if old is None:
             return self.write(df, name, "error", partition_by)
-        df = df.select(target.columns)
-        scope = target if not partition_by else _semi(target, matched(target, users, ["username"]).unionByName(df), partition_by)
-        self._replace_rows(target, scope, users, df, name, ["username"], partition_by)
-        return WriteReport(self.path(name), columns=target.columns)
-
-    def _replace_rows(self, target, scope, gone, new, name, keys, partition_by) -> None:
-        """Rewrite the partitions of ``scope`` without the ``gone`` keys and with the ``new`` rows."""
-        kept = delete_frame(scope, gone, keys)
-        after = kept if new is None else kept.unionByName(new)
-        staged = self._stage(after)
-        if partition_by:
-            emptied = scope.select(*partition_by).distinct().join(staged.select(*partition_by).distinct(), list(partition_by), "left_anti")
-            if not emptied.isEmpty():
-                # Dynamic overwrite leaves a partition without new rows as it is, so the whole table is rewritten.
-                rest = target.join(scope.select(*partition_by).distinct(), list(partition_by), "left_anti")
-                self._publish(self._stage(rest.unionByName(staged)), name, partition_by, whole=True)
-                return
-        self._publish(staged, name, partition_by)
-
-    def _stage(self, df: DataFrame) -> DataFrame:
+        wanted = [c for c in users.columns if c in ("username", *old.partition_by)]
+        with self._staged(df.select(old.schema.names)) as df, self._staged(users.select(*wanted).distinct()) as users:
+            if set(old.partition_by) <= set(wanted):
+                touched = self._values(users, old.partition_by)
+            else:
+                touched = self._values(matched(self._rows(name, old), users, ["username"]), old.partition_by)
+            touched |= self._values(df, old.partition_by)
+            kept = delete_frame(self._rows(name, old, touched), users, ["username"])
+            self._replace_parts(kept.unionByName(df), name, old, touched)
+        return WriteReport(self.path(name), columns=old.schema.names)
+
+    # ---- how a change is stored
+
+    def _values(self, df: DataFrame, partition_by: Sequence[str]) -> set[Values]:
+        """Partition values of some rows; as many pass the driver as partitions are touched."""
+        if not partition_by:
+            return {()}
+        return {tuple(r) for r in df.select(*[F.col(c).cast("string") for c in partition_by]).distinct().collect()}
+
+    def _put_rows(self, df: DataFrame, name: str, partition_by: Sequence[str]) -> dict[Values, list[str]]:
+        """Writes rows under a directory of their own; the directories of each partition that got any."""
+        where = f"data/{uuid.uuid4().hex}"
+        if not partition_by:
+            df.write.parquet(f"{self.path(name)}/{where}")
+            return {(): [where]}
+        dealt = _sized(df, partition_by).withColumn("part", _digest_column(partition_by))
+        dealt.write.partitionBy("part").parquet(f"{self.path(name)}/{where}")
+        found = {n[5:] for n in self.files.names(f"{self.path(name)}/{where}") if n.startswith("part=")}
+        if not found:
+            return {}
+        written = self.spark.read.schema(df.schema).parquet(f"{self.path(name)}/{where}")
+        by_digest = {_digest(v): v for v in self._values(written, partition_by)}
+        return {by_digest[d]: [f"{where}/part={d}"] for d in sorted(found)}
+
+    def _replace_parts(self, df: DataFrame, name: str, old: Version, touched: set[Values]) -> None:
+        """A version in which ``df`` stands for the touched partitions."""
+        new = self._put_rows(df.select(old.schema.names), name, old.partition_by)
+        kept = {v: dirs for v, dirs in old.parts.items() if v not in touched}
+        if both := kept.keys() & new.keys():
+            raise ValueError(f"partition columns are no function of the key: {sorted(both, key=str)[:3]}")
+        self._commit(name, old, Version(0, old.schema, old.partition_by, {**kept, **new}, old.batches))
+
+    def _commit(self, name: str, old: Version | None, new: Version) -> None:
+        new.number = old.number + 1 if old else 0
+        self.files.put(f"{self.path(name)}/_log/{new.number:020d}.json", new.to_json())
+        self._sweep(name, new)
+
+    def _sweep(self, name: str, now: Version) -> None:
+        """Drops log files that are KEPT_VERSIONS changes old, and data that only they named."""
+        log, gone = f"{self.path(name)}/_log", now.number - KEPT_VERSIONS
+        if f"{gone:020d}.json" not in self.files.names(log):
+            return
+        past = Version.from_json(gone, self.files.text(f"{log}/{gone:020d}.json"))
+        later = [Version.from_json(n, self.files.text(f"{log}/{n:020d}.json")) for n in range(gone + 1, now.number + 1)]
+        named = {d for v in later for dirs in v.parts.values() for d in dirs}
+        for d in {d for dirs in past.parts.values() for d in dirs} - named:
+            self.files.delete(f"{self.path(name)}/{d}")
+        self.files.delete(f"{log}/{gone:020d}.json")
+
+    @contextlib.contextmanager
+    def _staged(self, df: DataFrame) -> Iterator[DataFrame]:
+        """The rows of a source, worked out once and stored until the change is done."""
         path = f"{shared_dir(self.spark)}/staging/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def _publish(self, staged: DataFrame, name: str, partition_by: Sequence[str], whole: bool = False) -> None:
-        mode = "dynamic" if partition_by and not whole else "static"
-        writer = _sized(staged, partition_by).write.mode("overwrite").option("partitionOverwriteMode", mode)
-        writer.partitionBy(*partition_by).parquet(self.path(name))
+        try:
+            df.write.parquet(path)
+            yield self.spark.read.schema(df.schema).parquet(path)
+        finally:
+            self.files.delete(path)
 
     def _counted(self, df: DataFrame) -> tuple[DataFrame, Observation]:
         seen = Observation(f"write-{uuid.uuid4().hex}")
@@ -175,35 +357,43 @@ class Lake:
 
     # ---- serving reads
 
+    def user_rows(self, name: str, schema: StructType, username: str) -> DataFrame:
+        """A user's rows; of a table partitioned by user or by ``user_bucket`` only that directory is read."""
+        found = self.version(name)
+        if found is None:
+            return self.spark.createDataFrame([], schema)
+        only = None
+        if found.partition_by == ["username"]:
+            only = {(username,)}
+        elif found.partition_by == ["user_bucket"] and len(found.parts) > 1:
+            user = self.spark.range(1).select(F.lit(username).alias("username"))
+            bucket = str(with_user_bucket(user).first()["user_bucket"])
+            # Another number of buckets was chosen if the log names one beyond ours; then all of them are read.
+            only = {(bucket,)} if max(int(v[0]) for v in found.parts) >= USER_BUCKETS // 2 else None
+        return self._rows(name, found, only).filter(F.col("username") == username)
+
     def top_candidates(self, name: str, username: str, limit: int | None = None) -> DataFrame:
-        rows = self.read_or_empty(name, schemas.TRACK_CANDIDATES).filter(F.col("username") == username)
+        rows = self.user_rows(name, schemas.TRACK_CANDIDATES, username)
         rows = rows.orderBy(F.col("score").desc_nulls_last(), "track_id").select(*schemas.TRACK_CANDIDATES.names)
         return rows if limit is None else rows.limit(limit)
 
     def top_artists(self, name: str, username: str, limit: int = 10) -> DataFrame:
         """Most played artists; rows without a name are left out after the cut."""
-        rows = self.read_or_empty(name, schemas.ARTIST_PLAY_COUNT).filter(F.col("username") == username)
+        rows = self.user_rows(name, schemas.ARTIST_PLAY_COUNT, username)
         best = rows.orderBy(F.col("play_count").desc(), F.col("artist_id").asc_nulls_last()).limit(limit)
         return best.filter(F.col("artist_name").isNotNull())
 
     def track_counts(self, name: str, username: str) -> DataFrame:
-        return self.read_or_empty(name, schemas.TRACK_PLAY_COUNT).filter(F.col("username") == username)
+        return self.user_rows(name, schemas.TRACK_PLAY_COUNT, username)
 
     def user_stats(self, name: str, username: str) -> DataFrame:
         """One row, zeros for a user without statistics."""
-        stored = self.read_or_empty(name, schemas.USER_STATS).filter(F.col("username") == username)
+        stored = self.user_rows(name, schemas.USER_STATS, username)
         wanted = self.spark.range(1).select(F.lit(username).alias("username"))
         joined = wanted.join(stored, "username", "left")
         return joined.select("username", *[F.coalesce(c, F.lit(0)).alias(c) for c in schemas.USER_STATS.names[1:]])
 
 
-def _semi(target: DataFrame, source: DataFrame, partition_by: Sequence[str]) -> DataFrame:
-    """Target rows in partitions the source touches. Directory listing is pruned at run time from the distinct values."""
-    if not partition_by:
-        return target
-    return target.join(source.select(*partition_by).distinct(), list(partition_by), "left_semi")
-
-
 def _sized(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
     """Files of even size: a hot partition is split into several files, small ones are not cut up by every task."""
     return df.hint("rebalance", *partition_by) if partition_by else df

@@ -18,23 +18,21 @@ from listenlake import schemas
 from listenlake.functions.links import TRACK_URL_PREFIX, VIDEO_URL_PREFIX
 from listenlake.functions.text import canonical_track_id
 from listenlake.operators.dimensions import dedup_artists, dedup_tracks, dim_users, known_artists
-from listenlake.operators.keyed import best_per_key
 from listenlake.operators.recommend import recommend
 from listenlake.operators.statistics import artist_play_counts, track_play_counts
 from listenlake.plans import candidates as C
 from listenlake.plans.merge import merge_candidates
-from listenlake.sources.lake import Lake, shared_dir
+from listenlake.sources.lake import Files, Lake, shared_dir
 from listenlake.streaming import plays as SP
 
 # Fixed values of this mapping.
 AS_OF = "2001-08-02 00:00:00"
 PLAY_MARKERS = ("", " - Remastered 2012", " (Live at Wembley)", " feat. Guest", " [Explicit]", " 1999", " (Official Video)")
 LISTING_MARKERS = ("", " (Official Video)", " - 2004 Remaster", " (Live)")
-BRANDS = 25
 NEIGHBOURS = 20
 SIMILAR = {"min_listeners": 20, "similarity_threshold": 0.55}
 DEEP_CUT = {"min_listeners": 20}
-DEEP_CUT_ARTISTS, PER_SOURCE, LIST_LENGTH = 10, 100, 30
+LIST_LENGTH = 30
 TRACK_PAGE = "https://music.example/track/"
 
 
@@ -56,7 +54,8 @@ class Testbed:
         input the first time one of its readers runs.
         """
         root = f"{shared_dir(self.spark)}/testbed/{self.spark.sparkContext.applicationId}"
-        path = f"{root}/{zlib.crc32(self.directory.encode()):08x}/{name}"
+        seen = repr((self.directory, Files(self.spark).state(self.directory)))  # other files, other copy
+        path = f"{root}/{zlib.crc32(seen.encode()):08x}/{name}"
         if path not in _STAGED:
             build().write.mode("overwrite").parquet(path)
             _STAGED.add(path)
@@ -226,9 +225,7 @@ class Testbed:
         per_type = self.part_counts().groupBy("p_brand", "p_type").agg(
             F.count("*").alias("parts"), F.sum("listeners").alias("listeners"), F.sum("playcount").alias("playcount")
         )
-        # Six part types per brand at most.
-        top = best_per_key(per_type, ["p_brand"], [F.col("parts").desc(), F.col("p_type")], 3)
-        tags = top.groupBy("p_brand").agg(F.array_join(F.sort_array(F.collect_list(F.lower("p_type"))), ", ").alias("tags"))
+        tags = per_type.groupBy("p_brand").agg(F.array_join(F.sort_array(F.collect_list(F.lower("p_type"))), ", ").alias("tags"))
         return per_type.join(tags, "p_brand").select(
             spelled.alias("artist_name"),
             "listeners",
@@ -265,16 +262,20 @@ class Testbed:
     # ---- landed answers of the music service
 
     def similar_artists(self) -> DataFrame:
-        """Twenty neighbours per artist, matched by the angle between their vectors."""
+        """The next artists by number, as many as a service answers, matched by the angle between their vectors."""
         number = F.substring_index("p_brand", "#", -1).cast("bigint")
         vectors = (
             self.table("part").select(number.alias("vec_id"), "p_brand").distinct()
             .join(self.table("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v")), "vec_id")
         )
-        step = F.explode(F.sequence(F.lit(1), F.lit(NEIGHBOURS)))
-        left = vectors.select(F.col("p_brand").alias("artist_name"), F.col("v").alias("a"), "vec_id", step.alias("step"))
-        left = left.withColumn("other", F.pmod(F.col("vec_id") - 1 + F.col("step"), F.lit(BRANDS)) + 1)
-        right = vectors.select(F.col("vec_id").alias("other"), F.col("p_brand").alias("similar_name"), F.col("v").alias("b"))
+        # Brands are few (a column of the small part table), so their places are one small sort.
+        everyone = Window.partitionBy(F.lit(0))
+        vectors = vectors.withColumn("place", F.row_number().over(everyone.orderBy("vec_id")) - 1)
+        vectors = vectors.withColumn("brands", F.count("*").over(everyone))
+        step = F.explode(F.sequence(F.lit(1), F.least(F.lit(NEIGHBOURS), F.greatest(F.col("brands") - 1, F.lit(1)).cast("int"))))
+        left = vectors.select(F.col("p_brand").alias("artist_name"), F.col("v").alias("a"), "place", "brands", step.alias("step"))
+        left = left.withColumn("other", F.pmod(F.col("place") + F.col("step"), F.col("brands")).cast("int"))
+        right = vectors.select(F.col("place").alias("other"), F.col("p_brand").alias("similar_name"), F.col("v").alias("b"))
         cosine = _dot("a", "b") / (F.sqrt(_dot("a", "a")) * F.sqrt(_dot("b", "b")))
         pairs = left.join(right, "other").select(
             "artist_name", "similar_name", F.round((cosine + 1) / 2, 6).alias("match")
@@ -282,24 +283,23 @@ class Testbed:
         w = Window.partitionBy("artist_name").orderBy(F.col("match").desc(), "similar_name")
         return pairs.withColumn("pos", F.row_number().over(w))
 
-    def _answer(self, df: DataFrame, by: list[str], order: list[Column], limit: int) -> DataFrame:
-        """First ``limit`` entries per request, as the service answers."""
-        w = Window.partitionBy(*by).orderBy(*order)
-        return df.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= limit)
+    def _answer(self, df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+        """All entries per request with their places; how many are used is up to the operators."""
+        return df.withColumn("pos", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
     def artist_top_tracks(self) -> DataFrame:
         rows = self.listing().select(
             "artist_name", "track_name", F.col("artist_name").alias("track_artist"), "listeners", "playcount", "track_url"
         )
         order = [F.col("playcount").desc_nulls_last(), F.col("track_url")]
-        return self._answer(rows, ["artist_name"], order, 50).drop("track_url")
+        return self._answer(rows, ["artist_name"], order).drop("track_url")
 
     def tag_top_tracks(self) -> DataFrame:
         rows = self.listing().select(
-            F.element_at(F.split("tags", ", "), 1).alias("tag"), "track_name", "artist_name", "playcount", "track_url"
+            F.explode(F.split("tags", ", ")).alias("tag"), "track_name", "artist_name", "playcount", "track_url"
         )
         order = [F.col("playcount").desc_nulls_last(), F.col("track_url")]
-        return self._answer(rows, ["tag"], order, 500).drop("playcount", "track_url")
+        return self._answer(rows, ["tag"], order).drop("playcount", "track_url")
 
     def _albums(self) -> DataFrame:
         return self.part_counts().select(
@@ -312,7 +312,7 @@ class Testbed:
 
     def artist_top_albums(self) -> DataFrame:
         albums = self._albums().groupBy("artist_name", "album_name").agg(F.sum("playcount").alias("playcount"))
-        return self._answer(albums, ["artist_name"], [F.col("playcount").desc_nulls_last(), F.col("album_name")], 15)
+        return self._answer(albums, ["artist_name"], [F.col("playcount").desc_nulls_last(), F.col("album_name")])
 
     def album_tracks(self) -> DataFrame:
         return self._albums().select("album_name", "artist_name", "track_name", F.col("p_partkey").alias("pos"))
@@ -373,7 +373,7 @@ class Testbed:
             canonical_track_id("track_name", "artist_name").alias("track_id"), F.col("track_url").alias("url"), "playcount"
         )
         order = [F.col("playcount").desc_nulls_last(), F.col("url")]
-        return self._answer(rows, ["track_id"], order, 1).drop("playcount")
+        return self._answer(rows, ["track_id"], order).drop("playcount")
 
     # ---- candidates, with thresholds that suit the size of the test tables
 
@@ -386,7 +386,7 @@ class Testbed:
 
     def build_candidate_similar_artist(self) -> DataFrame:
         return C.similar_artist_candidates(
-            self.plays(), self.similar_sources(), self.similar_artists(), self.artist_top_tracks(), **SIMILAR
+            self.track_counts(), self.similar_sources(), self.similar_artists(), self.artist_top_tracks(), **SIMILAR
         )
 
     def tag_profile(self) -> DataFrame:
@@ -396,18 +396,18 @@ class Testbed:
         return self.staged("silver/candidate_similar_tag", self.build_candidate_similar_tag)
 
     def build_candidate_similar_tag(self) -> DataFrame:
-        return C.similar_tag_candidates(self.plays(), self.tag_profile(), self.tag_top_tracks())
+        return C.similar_tag_candidates(self.track_counts(), self.tag_profile(), self.tag_top_tracks())
 
     def deep_cut_sources(self) -> DataFrame:
         played = C.user_artists(self.plays(), self.tracks(), self.artists())
-        return C.deep_cut_sources(played, top_artists_count=DEEP_CUT_ARTISTS)
+        return C.deep_cut_sources(played)
 
     def candidate_deep_cut(self) -> DataFrame:
         return self.staged("silver/candidate_deep_cut", self.build_candidate_deep_cut)
 
     def build_candidate_deep_cut(self) -> DataFrame:
         catalogue = C.album_catalogue(self.artist_top_albums(), self.album_tracks(), **DEEP_CUT)
-        return C.deep_cut_candidates(self.plays(), self.deep_cut_sources(), catalogue)
+        return C.deep_cut_candidates(self.track_counts(), self.deep_cut_sources(), catalogue)
 
     def candidate_old_favorites(self) -> DataFrame:
         return self.staged("silver/candidate_old_favorites", self.build_candidate_old_favorites)
@@ -420,14 +420,14 @@ class Testbed:
 
     def build_candidates(self, **settings) -> DataFrame:
         return merge_candidates(
-            self.plays(),
+            self.track_counts(),
             self.candidate_similar_artist(),
             self.candidate_similar_tag(),
             self.candidate_deep_cut(),
             self.candidate_old_favorites(),
             self.tracks(),
             self.artists(),
-            **{"tracks_per_source": PER_SOURCE, **settings},
+            **settings,
         )
 
     def recommended(self) -> DataFrame:

@@ -7,6 +7,7 @@ from conftest import rows
 
 from listenlake import schemas
 from listenlake.operators import ingest as I
+from listenlake.operators.statistics import serving_key
 from listenlake.plans.jobs import Jobs
 from listenlake.sources.lake import Lake, shared_dir
 
@@ -32,22 +33,93 @@ def test_upsert(spark, lake, part):
     assert rows(lake.read("silver/plays"), "username", "scrobbled_at", "track_name") == expected
 
 
-def test_untouched_partitions_keep_their_files(spark, lake):
+def files_of(lake, name, user):
+    return sorted(lake._rows(name, lake.version(name), {(user,)}).inputFiles())
+
+
+def test_untouched_partitions_are_not_read_or_written(spark, lake):
     first_write(spark, lake, ["username"])
-    directory = lake.path("silver/plays") + "/username=user1"
-    before = sorted(os.listdir(directory))
+    before = files_of(lake, "silver/plays", "user1")
+    scanned = []
+    read = lake._rows
+    lake._rows = lambda *a: (scanned.append(read(*a).inputFiles()), read(*a))[1]
     lake.upsert(spark.createDataFrame([("user2", 3000, "new")], SCHEMA), "silver/plays", KEYS, ["username"])
-    assert sorted(os.listdir(directory)) == before
+    lake.delete(spark.createDataFrame([("user2", 3000)], "username string, scrobbled_at bigint"), "silver/plays", KEYS)
+    users = spark.createDataFrame([("user2",)], "username string")
+    lake.replace_users(spark.createDataFrame([("user2", 5, "Z")], SCHEMA), "silver/plays", users, ["username"])
+    del lake._rows
+    assert len(scanned) >= 3 and not {f for files in scanned for f in files} & set(before)
+    assert files_of(lake, "silver/plays", "user1") == before
+    assert lake.user_rows("silver/plays", schemas.PLAYS, "user2").count() == 1
+
+
+def test_names_of_any_look_stay_text(spark, lake):
+    names = ["007", "7", "8", "alice", "2024-01-01", "a/b=c", "", "ü"]
+    data = spark.createDataFrame([(n, i, "A") for i, n in enumerate(names)], SCHEMA)
+    for _ in range(2):
+        lake.upsert(data, "silver/plays", KEYS, ["username"])
+    assert rows(lake.read("silver/plays")) == rows(data)
+    assert lake.read("silver/plays").schema["username"].dataType.simpleString() == "string"
+
+
+@pytest.mark.parametrize("part", [[], ["username"]])
+def test_rows_without_a_key_are_kept_aside(spark, lake, part):
+    data = spark.createDataFrame([("u", 1, "A"), ("u", None, "B"), (None, 2, "C"), ("u", None, "D")], SCHEMA)
+    for time in range(1, 4):
+        assert lake.upsert(data, "silver/plays", KEYS, part).rejected == 3
+        assert rows(lake.read("silver/plays")) == [("u", 1, "A")]
+        assert lake.read("silver/plays__rejects").count() == 3 * time
+
+
+@pytest.mark.parametrize("part", [[], ["username"]])
+def test_a_change_that_breaks_off_leaves_the_table_as_it_was(spark, lake, part):
+    first_write(spark, lake, part)
+    before = rows(lake.read("silver/plays"))
+    change = spark.createDataFrame([("user1", 1000, "A2"), ("user9", 1, "N")], SCHEMA)
+    put = lake.files.put
+
+    def broken(*_):
+        raise OSError("lost the connection")
+
+    lake.files.put = broken
+    with pytest.raises(OSError):
+        lake.upsert(change, "silver/plays", KEYS, part)
+    assert rows(lake.read("silver/plays")) == before
+    lake.files.put = put
+    lake.upsert(change, "silver/plays", KEYS, part)
+    assert len(rows(lake.read("silver/plays"))) == len(before) + 1
+
+
+def test_old_versions_are_swept(spark, lake):
+    part, staging = ["username"], f"{shared_dir(spark)}/staging"
+    before = set(os.listdir(staging)) if os.path.isdir(staging) else set()
+    first_write(spark, lake, part)
+    for i in range(8):
+        lake.upsert(spark.createDataFrame([("user2", 3000, f"v{i}")], SCHEMA), "silver/plays", KEYS, part)
+    path = lake.path("silver/plays")
+    assert len(os.listdir(f"{path}/_log")) <= 2 * 6  # a local file system adds checksum files
+    assert rows(lake.read("silver/plays"), "username", "track_name") == [("user1", "A"), ("user1", "B"), ("user2", "v7")]
+    kept = sum(n.startswith("part=") for d in os.listdir(f"{path}/data") for n in os.listdir(f"{path}/data/{d}"))
+    assert kept <= 1 + 6
+    assert set(os.listdir(staging)) <= before
+
+
+def test_batches_are_appended_once(spark, lake):
+    df = spark.createDataFrame([("u", 1, "A")], SCHEMA)
+    for _ in range(2):
+        lake.write(df, "silver/x", "append", batch=("s", 0))
+    lake.write(df, "silver/x", "append", batch=("s", 1))
+    assert lake.read("silver/x").count() == 2
 
 
 @pytest.mark.parametrize("part", [[], ["username"]])
 def test_delete_also_last_row_of_a_partition(spark, lake, part):
     first_write(spark, lake, part)
     gone = spark.createDataFrame([("user2", 3000), ("nobody", 1)], "username string, scrobbled_at bigint")
-    assert lake.delete(gone, "silver/plays", KEYS, part).deleted == 1
+    assert lake.delete(gone, "silver/plays", KEYS).deleted == 1
     assert rows(lake.read("silver/plays"), "username", "scrobbled_at") == [("user1", 1000), ("user1", 2000)]
-    assert lake.delete(gone, "silver/plays", KEYS, part).deleted == 0
-    assert lake.delete(gone, "silver/none", KEYS, part).skipped
+    assert lake.delete(gone, "silver/plays", KEYS).deleted == 0
+    assert lake.delete(gone, "silver/none", KEYS).skipped
 
 
 @pytest.mark.parametrize("part", [[], ["username"]])
@@ -94,6 +166,45 @@ def test_raw_dimensions(spark, tmp_path):
     assert got == [("A", 10, 5, None, "t0, t1, t2, t3, t4", None), ("C", None, None, None, "", None)]
 
 
+def test_pages_that_cannot_be_read_are_counted(spark, lake):
+    play = '{"name":"T","loved":"0","url":"u","date":{"uts":"%s"},"artist":{"name":"A"}}'
+    pages = ['{"recenttracks":{"track":[' + play % 5 + "," + play % "soon" + "]}}", '{"recenttracks":{"track":[{"na', '"x', "{}", '{"recenttracks":{"track":7}}']
+    report = Jobs(lake).ingest_pages(spark.createDataFrame([(p,) for p in pages], "value string"), "user1")
+    assert (report.rows, report.rejected) == (1, 4)  # three pages, and one play without a time
+    assert lake.read("bronze/pages__rejects").count() == 3 and lake.read("silver/plays__rejects").count() == 1
+
+
+def test_jobs_land_backfill_refresh_and_enrich(spark, lake):
+    jobs = Jobs(lake)
+    raw = lambda day, n: spark.createDataFrame(
+        [(f"T{i}", "u", {"uts": str(86400 * day + i)}, {"name": "A"}, "0") for i in range(n)],
+        "name string, url string, date struct<uts:string>, artist struct<name:string>, loved string",
+    )
+    assert jobs.land_day(raw(3, 2), "u1", "1970-01-04").rows == 2
+    assert jobs.land_day(raw(3, 0), "u1", "1970-01-05").skipped
+    assert lake.read_json("bronze/plays/username=u1/date=1970-01-04", schemas.RAW_PLAY).count() == 2
+    report, summary = jobs.backfill(raw(3, 2).unionByName(raw(9, 3)), "1970-01-03", "1970-01-06", "u1")
+    assert report.rows == 2 and tuple(summary.first())[:4] == ("u1", 2, 1, 3)
+    assert jobs.backfill(raw(9, 1), "1970-01-03", "1970-01-06", "u1")[0].skipped
+    jobs.ingest_plays(raw(1, 1), "u2")
+    jobs.refresh_users(spark.createDataFrame([("u1",)], "username string"), "1970-02-01")
+    assert rows(lake.read("gold/track_play_count"), "username", "play_count") == [("u1", 1), ("u1", 1)]
+    jobs.refresh_users(spark.createDataFrame([("u2",)], "username string"), "1970-02-01")
+    assert lake.read("silver/dim_users").count() == 2 and lake.read("gold/track_play_count").count() == 3
+    track = "name string, url string, artist struct<name:string>, toptags struct<tag:array<struct<name:string>>>, duration string, listeners string, playcount string, youtube_url string, spotify_url string"
+    jobs.upsert_tracks(spark.createDataFrame([("T0", "page", {"name": "A"}, None, "1", "2", "3", "https://known/", None)], track))
+    page = '<a class="play-this-track-playlink play-this-track-playlink--spotify" data-spotify-url="https://open.spotify.com/track/0000000000000000000007">p</a>'
+    search = spark.createDataFrame([], "track_id string, platform string, search string, result_type string, result_id string, title string, channel string, pos int")
+    found = spark.createDataFrame([], "track_id string, url string, pos int")
+    jobs.enrich_links(search, found, spark.createDataFrame([("page", page)], "url string, html string"))
+    assert rows(lake.read("silver/tracks"), "youtube_url", "spotify_url") == [("https://known/", "https://open.spotify.com/track/0000000000000000000007")]
+
+
+def test_serving_key(spark):
+    df = spark.createDataFrame([("id", "n"), (None, "n"), ("", "n"), (None, None), ("", "")], "artist_id string, artist_name string")
+    assert rows(df.select(serving_key().alias("k"))) == [("id",), ("n",), ("n",), ("unknown",), ("unknown",)]
+
+
 def test_jobs_on_an_empty_lake(spark, lake):
     jobs = Jobs(lake)
     assert jobs.compute_users().skipped and jobs.compute_track_counts("2025-01-01").skipped
