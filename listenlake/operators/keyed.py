@@ -46,15 +46,16 @@ def join_spread(
     return salted.join(copies, [key, "_salt"], how)
 
 
-def before_fan_out(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a small relation over all shuffle partitions before a join that multiplies its rows.
+def catalogue_join(rows: DataFrame, catalogue: DataFrame, key: str, salts: int = SALTS) -> DataFrame:
+    """Rows of users with all catalogue rows of their key, a popular key cut into ``salts`` pieces.
 
-    Two things go wrong without it: adaptive coalescing packs the small side into one task, which then makes all the
-    rows, and a partitioning by user alone would be kept for the aggregate over (user, track) behind the join, a hot
-    user in one task. A partition count given by number is left alone by the coalescing.
+    The join multiplies rows, and a key may be a third of either side. Users' rows are dealt to the salts by user, and the
+    catalogue is copied to each salt; both are small next to what the join makes. Nothing groups by this partitioning, so
+    Spark may still broadcast a side whose size it has seen, or split a partition further.
     """
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(partitions, *keys)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("username"), F.lit(salts)).cast("int"))
+    copies = catalogue.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies, [key, "_salt"]).drop("_salt")
 
 
 def upsert_frame(target: DataFrame, source: DataFrame, keys: Sequence[str], action: str | None = None) -> DataFrame:

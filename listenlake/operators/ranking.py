@@ -11,9 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from listenlake.operators.keyed import best_per_key, join_spread
+from listenlake.operators.keyed import SALTS, best_per_key, join_spread
 
-BANDS = 1024
+BANDS = 64
 
 
 def cap(df: DataFrame, by: Sequence[str], n: int, score: str = "score", key: str = "track_id") -> DataFrame:
@@ -32,7 +32,7 @@ def top_rank_normalised(df: DataFrame, n: int) -> DataFrame:
     Only the ``n`` best distinct scores of a user can occur in the result. What lies below them enters as a count,
     so the window holds at most ``n`` rows per user whatever the user's share of the data.
     """
-    by_score = df.groupBy("username", "score").agg(F.count("*").alias("ties"))
+    by_score = df.filter(F.col("score").isNotNull()).groupBy("username", "score").agg(F.count("*").alias("ties"))
     totals = by_score.groupBy("username").agg(
         F.sum("ties").alias("total"), F.max_by("ties", "score").alias("top_ties")
     )
@@ -45,25 +45,27 @@ def top_rank_normalised(df: DataFrame, n: int) -> DataFrame:
     scale = top.select(
         "username", "score", (_average_rank(below, F.col("ties")) / best).alias("normalized_score")
     )
-    return cap(df, ["username"], n).join(scale, ["username", "score"])
+    # A NULL score has no rank; it ranks behind all others in the cut and keeps its row.
+    return cap(df, ["username"], n).join(scale, ["username", "score"], "left")
 
 
-def rank_normalised(df: DataFrame, bands: int = BANDS) -> DataFrame:
-    """All rows with ``normalized_score``.
+def rank_normalised(df: DataFrame, bands: int = BANDS, key: str = "track_id") -> DataFrame:
+    """All rows with ``normalized_score``; NULL where the score is NULL.
 
-    Distinct scores of a user are put into bands by a monotone function of the score. A window over at most
-    ``bands`` sums per user gives the number of rows in lower bands, a window inside each band gives the rest.
+    Distinct scores of a user are cut into bands at their quantiles, so that bands hold about as many scores each, however
+    the scores lie. A window over at most ``bands`` sums per user gives the number of rows in lower bands, a window inside
+    each band gives the rest. The way back to the rows is salted by ``key``: many of a user's rows may share a score.
     """
-    by_score = df.groupBy("username", "score").agg(F.count("*").alias("ties"))
+    by_score = df.filter(F.col("score").isNotNull()).groupBy("username", "score").agg(F.count("*").alias("ties"))
+    shares = [i / bands for i in range(1, bands)]
     users = by_score.groupBy("username").agg(
-        F.min("score").alias("low"),
-        F.max("score").alias("high"),
+        (F.percentile_approx("score", shares, 10 * bands) if shares else F.lit(None)).alias("cuts"),
         F.sum("ties").alias("total"),
         F.max_by("ties", "score").alias("top_ties"),
     )
-    width = F.log1p(F.col("high") - F.col("low"))
-    place = F.when(width > 0, F.floor(F.log1p(F.col("score") - F.col("low")) / width * F.lit(bands - 1))).otherwise(0)
-    banded = join_spread(by_score, users, "username", F.col("score")).withColumn("band", place.cast("int"))
+    banded = join_spread(by_score, users, "username", F.col("score"))
+    band = F.size(F.filter("cuts", lambda c: c < F.col("score"))) if shares else F.lit(0)
+    banded = banded.withColumn("band", band)
     banded = banded.select("username", "score", "ties", "total", "top_ties", "band")
 
     lower_bands = Window.partitionBy("username").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
@@ -80,7 +82,9 @@ def rank_normalised(df: DataFrame, bands: int = BANDS) -> DataFrame:
         .join(offsets, ["username", "band"])
         .select("username", "score", (_average_rank(below, F.col("ties")) / best).alias("normalized_score"))
     )
-    return df.join(scale, ["username", "score"])
+    salt = F.pmod(F.xxhash64(F.col(key)), F.lit(SALTS)).cast("int")
+    copies = scale.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return df.withColumn("_salt", salt).join(copies, ["username", "score", "_salt"], "left").drop("_salt")
 
 
 def share_of_best(df: DataFrame, score: str = "weighted_score", name: str = "score_pct") -> DataFrame:

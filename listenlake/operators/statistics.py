@@ -27,7 +27,8 @@ def _per_day(plays: DataFrame, by: list[str], as_of: Column) -> DataFrame:
 
 
 def _decayed(per_day: DataFrame, half_lives: DataFrame, entity: str, as_of: Column, *extra: Column) -> DataFrame:
-    """Average decay per play and play counts per user and entity."""
+    """Average decay per play and play counts per user and entity. A user has few rows per entity, one for each age in
+    days, except that all tracks without an entity are one group: those rows are added up per age first."""
     weight = F.col("n") * decay_e(F.col("days_ago"), F.col("user_half_life_days"))
     users = half_lives.select("username", "user_half_life_days")
     joined = join_spread(per_day, users, "username", F.col(entity))
@@ -61,11 +62,19 @@ def artist_play_counts(
     now = instant(as_of)
     per_day = _per_day(plays, ["username", "track_id"], now)
     by_artist = per_day.join(tracks.select("track_id", "artist_id"), "track_id", "left")
+    by_artist = by_artist.groupBy("username", "artist_id", "days_ago").agg(
+        F.sum("n").alias("n"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts")
+    )
     out = _decayed(by_artist, half_lives, "artist_id", now)
     names = artists.select("artist_id", "artist_name").distinct()
     return out.join(names, "artist_id", "left").select(*schemas.ARTIST_PLAY_COUNT.names)
 
 
+def serving_key() -> Column:
+    """Key of an artist count in the serving store: id, else name, else ``unknown``."""
+    return F.coalesce(F.nullif("artist_id", F.lit("")), F.nullif("artist_name", F.lit("")), F.lit("unknown"))
+
+
 def plays_per_artist(plays: DataFrame, tracks: DataFrame) -> DataFrame:
     """Play count per user and known artist straight from the facts, for a lake without gold tables."""
     per_track = plays.groupBy("username", "track_id").agg(F.count("*").alias("n"))

@@ -8,22 +8,28 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from listenlake import schemas
 from listenlake import settings as S
 from listenlake.functions.recency import MIN_HALF_LIFE_DAYS, decay_2, instant, whole_days
 from listenlake.functions.text import canonical_track_id, split_tags
-from listenlake.operators.keyed import before_fan_out, best_per_key, delete_frame, join_spread
+from listenlake.operators.keyed import best_per_key, catalogue_join, delete_frame, join_spread
 from listenlake.operators.ranking import cap, sample_large
 from listenlake.operators.statistics import plays_per_artist
 
 
 def played_tracks(plays: DataFrame) -> DataFrame:
+    """User and track of what was played. ``plays`` may be the facts or the gold track counts, which are shorter."""
     return plays.select("username", "track_id").distinct()
 
 
+def _first(df: DataFrame, limit: int | None) -> DataFrame:
+    """Entries of a service's answer up to a place."""
+    return df if limit is None else df.filter(F.col("pos") <= limit)
+
+
 def user_artists(
     plays: DataFrame, tracks: DataFrame, artists: DataFrame, artist_counts: DataFrame | None = None
 ) -> DataFrame:
@@ -48,16 +54,20 @@ def _not_processed(sources: DataFrame, previous: DataFrame | None) -> DataFrame:
 def similar_artist_sources(
     artists_played: DataFrame,
     previous: DataFrame | None = None,
-    artist_sample_rate: float = S.ARTIST_SAMPLE_RATE,
-    sample_above: int = S.ARTIST_SAMPLE_ABOVE,
+    sample_above: int | None = None,
+    artist_sample_rate: float = 1.0,
     seed: int = 0,
 ) -> DataFrame:
+    """Played artists that no stored candidate came from. Nothing is sampled unless ``sample_above`` asks for it."""
     todo = _not_processed(artists_played.select("username", "artist_id", "artist_name", "play_count"), previous)
-    return sample_large(todo, "artist_id", sample_above, artist_sample_rate, seed)
+    return todo if sample_above is None else sample_large(todo, "artist_id", sample_above, artist_sample_rate, seed)
 
 
 def similar_artist_paths(
-    sources: DataFrame, similar_artists: DataFrame, similarity_threshold: float = S.SIMILARITY_THRESHOLD
+    sources: DataFrame,
+    similar_artists: DataFrame,
+    similarity_threshold: float = S.SIMILARITY_THRESHOLD,
+    similar_per_artist: int | None = S.SIMILAR_ARTISTS_PER_ARTIST,
 ) -> DataFrame:
     """Best source per user and similar artist.
 
@@ -65,9 +75,8 @@ def similar_artist_paths(
     so the best source of a similar artist is chosen before the tracks are joined; ``paths`` keeps how many there
     were. This makes the expansion as large as (users x similar artists x 50) instead of 20 times that.
     """
-    edges = similar_artists.filter(
-        (F.col("pos") <= S.SIMILAR_ARTISTS_PER_ARTIST)
-        & (F.col("match") <= similarity_threshold)
+    edges = _first(similar_artists, similar_per_artist).filter(
+        (F.col("match") <= similarity_threshold)
         & F.col("similar_name").isNotNull()
         & (F.col("similar_name") != "")
     ).select("artist_name", "similar_name", "match")
@@ -87,9 +96,9 @@ def similar_artist_paths(
     )
 
 
-def _artist_top_tracks(artist_top_tracks: DataFrame) -> DataFrame:
+def _artist_top_tracks(artist_top_tracks: DataFrame, top_tracks_per_artist: int | None) -> DataFrame:
     artist = F.coalesce("track_artist", "artist_name")
-    return artist_top_tracks.filter(F.col("pos") <= S.TOP_TRACKS_PER_ARTIST).select(
+    return _first(artist_top_tracks, top_tracks_per_artist).select(
         F.col("artist_name").alias("similar_name"),
         "track_name",
         artist.alias("artist_name"),
@@ -113,11 +122,13 @@ def similar_artist_candidates(
     artist_top_tracks: DataFrame,
     min_listeners: int = S.MIN_LISTENERS,
     similarity_threshold: float = S.SIMILARITY_THRESHOLD,
+    similar_per_artist: int | None = S.SIMILAR_ARTISTS_PER_ARTIST,
+    top_tracks_per_artist: int | None = S.TOP_TRACKS_PER_ARTIST,
 ) -> DataFrame:
     """Unplayed top tracks of artists similar to the played ones; per user and track the best score."""
-    paths = similar_artist_paths(sources, similar_artists, similarity_threshold)
-    tracks = _artist_top_tracks(artist_top_tracks).filter(F.col("listeners") >= min_listeners)
-    found = before_fan_out(paths, "username", "similar_name").join(_best_versions(tracks), "similar_name").withColumn("score", F.col("weight") * F.col("playcount"))
+    paths = similar_artist_paths(sources, similar_artists, similarity_threshold, similar_per_artist)
+    tracks = _artist_top_tracks(artist_top_tracks, top_tracks_per_artist).filter(F.col("listeners") >= min_listeners)
+    found = catalogue_join(paths, _best_versions(tracks), "similar_name").withColumn("score", F.col("weight") * F.col("playcount"))
     fresh = delete_frame(found, played_tracks(plays), ["username", "track_id"])
     order = [F.col("score").desc(), F.col("source_artist_id"), F.col("track_name"), F.col("artist_name")]
     return best_per_key(fresh, ["username", "track_id"], order).select(*schemas.CANDIDATE_SIMILAR_ARTIST.names)
@@ -130,10 +141,12 @@ def similar_artist_funnel(
     artist_top_tracks: DataFrame,
     min_listeners: int = S.MIN_LISTENERS,
     similarity_threshold: float = S.SIMILARITY_THRESHOLD,
+    similar_per_artist: int | None = S.SIMILAR_ARTISTS_PER_ARTIST,
+    top_tracks_per_artist: int | None = S.TOP_TRACKS_PER_ARTIST,
 ) -> DataFrame:
     """Per user: answers examined, dropped for few listeners, dropped as played, kept (before the dedup)."""
-    paths = similar_artist_paths(sources, similar_artists, similarity_threshold)
-    found = before_fan_out(paths, "username", "similar_name").join(_artist_top_tracks(artist_top_tracks), "similar_name")
+    paths = similar_artist_paths(sources, similar_artists, similarity_threshold, similar_per_artist)
+    found = catalogue_join(paths, _artist_top_tracks(artist_top_tracks, top_tracks_per_artist), "similar_name")
     played = played_tracks(plays).withColumn("played", F.lit(True))
     marked = found.join(played, ["username", "track_id"], "left")
     few = F.col("listeners") < min_listeners
@@ -202,19 +215,23 @@ def similar_tag_candidates(
     if previous is not None:
         run = tag_gate(profile, previous).filter("run").select("username")
         profile = profile.join(run, "username", "left_semi")
-    by_tag = Window.partitionBy("username").orderBy("tag")
+    # The sorted tags of a user serve twice: their places number the tags, and they put the matched tags back.
     profile = cap(profile, ["username"], top_tags_count, "tag_count", "tag")
-    numbered = profile.select("username", "tag", (F.row_number().over(by_tag) - 1).alias("place"))
     user_tags = profile.groupBy("username").agg(F.sort_array(F.collect_list("tag")).alias("user_tags"))
+    numbered = user_tags.select("username", F.posexplode("user_tags").alias("place", "tag"))
 
+    # One row per listed track with all its tags. A track under fewer tags than must match can't qualify for anyone.
     artist = F.coalesce("artist_name", F.lit(""))
-    listed = tag_top_tracks.filter(F.col("pos") <= tracks_per_tag).select(
-        "tag",
-        canonical_track_id("track_name", artist).alias("track_id"),
-        F.struct("track_name", artist.alias("artist_name")).alias("names"),
+    named = _first(tag_top_tracks, tracks_per_tag).select("tag", "track_name", artist.alias("artist_name"))
+    spelled = named.groupBy("track_name", "artist_name").agg(F.collect_set("tag").alias("tags"))
+    spelled = spelled.withColumn("track_id", canonical_track_id("track_name", "artist_name"))
+    listed = spelled.groupBy("track_id").agg(
+        F.min(F.struct("track_name", "artist_name")).alias("names"),
+        F.array_distinct(F.flatten(F.collect_list("tags"))).alias("tags"),
     )
-    names = listed.groupBy("track_id").agg(F.min("names").alias("names"))
-    found = before_fan_out(numbered, "username", "tag").join(listed.select("tag", "track_id").distinct(), "tag")
+    listed = listed.filter(F.size("tags") >= min_tag_matches)
+    names = listed.select("track_id", "names")
+    found = catalogue_join(numbered, listed.select("track_id", F.explode("tags").alias("tag")), "tag")
 
     words = [f"word{i}" for i in range(-(-top_tags_count // TAGS_PER_WORD))]
     bit = F.expr(f"shiftleft(1L, place % {TAGS_PER_WORD})")
@@ -248,10 +265,11 @@ def deep_cut_sources(
     artists_played: DataFrame,
     previous: DataFrame | None = None,
     top_artists_count: int = S.DEEP_CUT_TOP_ARTISTS,
-    sample_above: int = S.DEEP_CUT_SAMPLE_ABOVE,
-    sample_rate: float = S.DEEP_CUT_SAMPLE_RATE,
+    sample_above: int | None = None,
+    sample_rate: float = 1.0,
     seed: int = 0,
 ) -> DataFrame:
+    """A user's most played artists that no stored candidate came from. Sampled only if ``sample_above`` asks for it."""
     top = cap(
         artists_played.select("username", "artist_id", "artist_name", "play_count"),
         ["username"],
@@ -260,25 +278,28 @@ def deep_cut_sources(
         "artist_id",
     )
     todo = _not_processed(top, previous)
-    # At most top_artists_count rows per user are left; below the sampling bound there is nothing to draw.
-    return todo if top_artists_count <= sample_above else sample_large(todo, "artist_id", sample_above, sample_rate, seed)
+    return todo if sample_above is None else sample_large(todo, "artist_id", sample_above, sample_rate, seed)
 
 
 def album_catalogue(
-    artist_top_albums: DataFrame, album_tracks: DataFrame, min_listeners: int = S.DEEP_CUT_MIN_LISTENERS
+    artist_top_albums: DataFrame,
+    album_tracks: DataFrame,
+    min_listeners: int = S.DEEP_CUT_MIN_LISTENERS,
+    albums_per_artist: int | None = S.ALBUMS_PER_ARTIST,
+    albums_kept: int | None = S.ALBUMS_KEPT,
 ) -> DataFrame:
     """Tracks on the kept albums of each artist, with the plays of the best album a track is on.
 
     The score is ``user plays * album plays``, so the best album of a track is the same for every user and is chosen
     here, once.
     """
-    albums = artist_top_albums.filter(
-        (F.col("pos") <= S.ALBUMS_PER_ARTIST)
-        & (F.coalesce("playcount", F.lit(0)) >= min_listeners)
+    kept = _first(artist_top_albums, albums_per_artist).filter(
+        (F.coalesce("playcount", F.lit(0)) >= min_listeners)
         & F.col("album_name").isNotNull()
         & (F.col("album_name") != "")
     )
-    kept = best_per_key(albums, ["artist_name"], [F.col("pos"), F.col("album_name")], S.ALBUMS_KEPT)
+    if albums_kept is not None:
+        kept = best_per_key(kept, ["artist_name"], [F.col("pos"), F.col("album_name")], albums_kept)
     listed = kept.select("artist_name", "album_name", "playcount").join(
         album_tracks.select("artist_name", "album_name", "track_name"), ["artist_name", "album_name"]
     )
@@ -292,7 +313,7 @@ def album_catalogue(
 
 def deep_cut_candidates(plays: DataFrame, sources: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Unplayed album tracks of the user's top artists."""
-    found = before_fan_out(sources, "username", "artist_id").join(catalogue, "artist_name").withColumn(
+    found = catalogue_join(sources, catalogue, "artist_name").withColumn(
         "score", (F.col("play_count") * F.col("album_playcount")).cast("double")
     )
     fresh = delete_frame(found, played_tracks(plays), ["username", "track_id"])

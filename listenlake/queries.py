@@ -29,13 +29,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def comparable(df: DataFrame) -> DataFrame:
-    """Doubles to six decimals (sums depend on their order), instants without a zone. The rounding is spelled out so
-    that any engine with IEEE doubles gives the same digits."""
+    """Doubles to six decimals, small ones to six or more digits (sums depend on their order), instants without a zone. The
+    rounding is spelled out so that any engine with IEEE doubles gives the same digits."""
     columns = []
     for field in df.schema.fields:
         c = F.col(f"`{field.name}`")
         if isinstance(field.dataType, DoubleType):
-            c = F.floor(c * 1e6 + 0.5) / 1e6
+            rounded = [F.floor(c * scale + 0.5) / scale for scale in (1e6, 1e15, 1e24)]
+            large, small = F.abs(c) >= 1e-3, F.abs(c) >= 1e-9
+            c = F.when(large | (c == 0), rounded[0]).when(small, rounded[1]).otherwise(rounded[2])
         elif isinstance(field.dataType, TimestampType):
             c = c.cast("timestamp_ntz")
         columns.append(c.alias(field.name))
@@ -118,7 +120,7 @@ def backfill_days(t):
 
 @query
 def backfill_summary(t):
-    return I.backfill_summary(I.backfill_days(t.plays(), "1998-01-01", "1998-01-31"))
+    return I.backfill_summary(t.plays(), "1998-01-01", "1998-01-31")
 
 
 # ---- dimensions
@@ -148,9 +150,8 @@ def new_members(t):
 
 @query
 def new_artist_members(t):
-    """Artists played that no user excluded in March 1997."""
-    day = F.to_date("excluded_at")
-    known = t.excluded_artists().filter((F.year(day) == 1997) & (F.month(day) == 3))
+    """Artists played that no user has excluded."""
+    known = t.excluded_artists()
     return D.new_artists(t.plays(), known.select(T.canonical_artist_id("artist_name").alias("artist_id")))
 
 
@@ -498,7 +499,7 @@ def delete_played(t):
     stored = C.played_tracks(t.plays().filter(F.col("scrobbled_at_utc") < cut))
     lake.write(with_user_bucket(stored, 16), "silver/stored", "error", BUCKET)
     since = C.played_tracks(t.plays().filter(F.col("scrobbled_at_utc") >= cut))
-    lake.delete(since, "silver/stored", ["username", "track_id"], BUCKET)
+    lake.delete(with_user_bucket(since, 16), "silver/stored", ["username", "track_id"])
     return lake.read("silver/stored").select("username", "track_id")
 
 
@@ -509,7 +510,7 @@ def replace_users(t):
     lake.write(with_user_bucket(C.played_tracks(t.plays()), 16), "gold/lists", "error", BUCKET)
     users = t.excluded_tracks().select("username").distinct()
     loved = C.played_tracks(t.plays().filter("is_loved")).join(users, "username", "left_semi")
-    lake.replace_users(with_user_bucket(loved, 16), "gold/lists", users, BUCKET)
+    lake.replace_users(with_user_bucket(loved, 16), "gold/lists", with_user_bucket(users, 16), BUCKET)
     return lake.read("gold/lists").select("username", "track_id")
 
 
@@ -519,7 +520,7 @@ def replace_users(t):
 @query
 def stream_ingest(t):
     lake = t.scratch_lake()
-    SP.ingest(t.event_stream(), lake, "silver/plays", lake.path("_ingest")).awaitTermination()
+    SP.ingest(t.event_stream(), lake, "silver/plays", lake.path("_ingest"), BUCKET).awaitTermination()
     return lake.read("silver/plays").select("username", "scrobbled_at", "track_id", "artist_name")
 
 
@@ -527,15 +528,14 @@ def stream_ingest(t):
 def stream_without_repeats(t):
     lake = t.scratch_lake()
     fresh = SP.without_repeats(t.event_stream())
-    SP.append_rows(fresh, lake.path("silver/fresh"), lake.path("_fresh")).awaitTermination()
+    SP.append_rows(fresh, lake, "silver/fresh", lake.path("_fresh")).awaitTermination()
     return lake.read("silver/fresh").select("username", "scrobbled_at", "track_id", "artist_name")
 
 
 @query
 def daily_play_windows(t):
     lake = t.scratch_lake()
-    days = SP.daily_counts(t.event_stream())
-    SP.append_rows(days, lake.path("gold/days"), lake.path("_days")).awaitTermination()
+    SP.store_daily_counts(t.event_stream(), lake, "gold/days", lake.path("_days")).awaitTermination()
     return lake.read("gold/days")
 
 
@@ -543,6 +543,6 @@ def daily_play_windows(t):
 def stream_refresh(t):
     lake = t.scratch_lake()
     stream = t.event_stream()
-    run = SP.refresh_statistics(stream, lake, "silver/plays", "gold/counts", "2024-02-01 00:00:00", lake.path("_refresh"))
+    run = SP.refresh_statistics(stream, lake, "silver/plays", "gold/counts", "2024-02-01 00:00:00", lake.path("_refresh"), BUCKET)
     run.awaitTermination()
-    return lake.read("gold/counts")
+    return lake.read("gold/counts").drop("user_bucket")

@@ -40,7 +40,7 @@ SELECT p_name || CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN ' (Official Video)'
          AS youtube_url,
        CASE WHEN p_size < 40 THEN 'https://open.spotify.com/track/' || lpad(CAST(p_partkey AS VARCHAR), 22, '0') END
          AS spotify_url,
-       p_name || '|' || replace(lower(p_brand), '#', '') AS track_id, lower(p_type) AS first_tag
+       p_name || '|' || replace(lower(p_brand), '#', '') AS track_id
 FROM v_part_counts"""
 
 PARTS["v_tracks"] = """
@@ -58,10 +58,7 @@ WITH per_type AS (
   SELECT p_brand, p_type, count(*) AS parts, CAST(sum(listeners) AS BIGINT) AS listeners,
          CAST(sum(playcount) AS BIGINT) AS playcount
   FROM v_part_counts GROUP BY ALL),
-top AS (
-  SELECT p_brand, string_agg(lower(p_type), ', ' ORDER BY lower(p_type)) AS tags FROM (
-    SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY parts DESC, p_type) AS rn FROM per_type)
-  WHERE rn <= 3 GROUP BY 1)
+top AS (SELECT p_brand, string_agg(lower(p_type), ', ' ORDER BY lower(p_type)) AS tags FROM per_type GROUP BY 1)
 SELECT CASE p_type WHEN 'PROMO' THEN upper(p_brand) WHEN 'LARGE' THEN p_brand || ' (Live)' ELSE p_brand END AS artist_name,
        listeners, playcount, tags, 'About ' || p_brand || ' / ' || p_type AS bio_summary,
        'https://music.example/artist/' || p_brand AS artist_url,
@@ -117,12 +114,13 @@ FROM v_plays p JOIN v_tracks t ON t.track_id = p.track_id JOIN v_artists a ON a.
 
 PARTS["v_similar_artists"] = """
 WITH brands AS (SELECT DISTINCT p_brand, CAST(substr(p_brand, 7) AS BIGINT) AS vec_id FROM part),
-v AS (SELECT p_brand, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM brands JOIN embeddings USING (vec_id)),
+v AS (SELECT p_brand, row_number() OVER (ORDER BY vec_id) - 1 AS place, count(*) OVER () AS brands,
+             CAST(embedding AS DOUBLE[]) AS e FROM brands JOIN embeddings USING (vec_id)),
 pairs AS (
   SELECT a.p_brand AS artist_name, b.p_brand AS similar_name,
          round((1 + list_dot_product(a.e, b.e) /
                 (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e)))) / 2, 6) AS match
-  FROM v a, range(1, 21) s(i), v b WHERE b.vec_id = (a.vec_id - 1 + i) % 25 + 1)
+  FROM v a, range(1, 21) s(i), v b WHERE i <= greatest(a.brands - 1, 1) AND b.place = (a.place + i) % a.brands)
 SELECT *, row_number() OVER (PARTITION BY artist_name ORDER BY match DESC, similar_name) AS pos FROM pairs"""
 
 PARTS["v_artist_top_tracks"] = """
@@ -158,9 +156,9 @@ SELECT username, tag, tag_count FROM (
   GROUP BY ALL)) WHERE rn <= 100"""
 
 PARTS["v_tag_top_tracks"] = """
-SELECT first_tag AS tag, track_id, track_name, artist_name FROM (
-  SELECT *, row_number() OVER (PARTITION BY first_tag ORDER BY playcount DESC NULLS LAST, track_url) AS pos
-  FROM v_listing) WHERE pos <= 500"""
+SELECT tag, track_id, track_name, artist_name FROM (
+  SELECT *, row_number() OVER (PARTITION BY tag ORDER BY playcount DESC NULLS LAST, track_url) AS pos
+  FROM (SELECT *, unnest(string_split(tags, ', ')) AS tag FROM v_listing)) WHERE pos <= 500"""
 
 PARTS["v_cand_tag"] = """
 SELECT username, track_id, any_value(n.track_name) AS track_name, any_value(n.artist_name) AS artist_name,
@@ -189,7 +187,7 @@ WITH sources AS (
 found AS (
   SELECT s.username, a.track_id, a.track_name, a.artist_name, CAST(s.play_count * a.playcount AS DOUBLE) AS score,
          s.artist_id AS source_artist_id
-  FROM sources s JOIN v_album_tracks a ON a.artist_name = s.artist_name WHERE place <= 10)
+  FROM sources s JOIN v_album_tracks a ON a.artist_name = s.artist_name WHERE place <= 30)
 SELECT username, track_id, track_name, artist_name, score, source_artist_id FROM (
   SELECT *, row_number() OVER (PARTITION BY username, track_id
                                ORDER BY score DESC, source_artist_id, track_name, artist_name) AS rn
@@ -228,8 +226,8 @@ def merged(on_id: bool) -> str:
         "min((track_name, artist_name))[1] AS track_name, min((track_name, artist_name))[2] AS artist_name," if on_id else ""
     )
     return f"""
-WITH sa AS ({top_share('v_cand_artist', 100)}), st AS ({top_share('v_cand_tag', 100)}),
-dc AS ({top_share('v_cand_cut', 100)}), old_f AS ({top_share('v_cand_old', 100)}),
+WITH sa AS ({top_share('v_cand_artist', 500)}), st AS ({top_share('v_cand_tag', 500)}),
+dc AS ({top_share('v_cand_cut', 500)}), old_f AS ({top_share('v_cand_old', 500)}),
 sources AS (
   SELECT username, track_id, sa.track_name, sa.artist_name, normalized_score AS score, true AS similar_artist,
          false AS similar_tag, false AS deep_cut_same_artist, false AS old_favorite,
@@ -388,11 +386,14 @@ ORACLES: dict[str, str] = {}
 
 
 def oracle(name: str, body: str, doubles: tuple[str, ...] = ()) -> None:
-    """Register a twin; ``doubles`` are rounded to six decimals on both sides."""
+    """Register a twin; ``doubles`` are rounded on both sides, small ones to more decimals."""
     BODIES[name] = body
     sql = relation(body)
     if doubles:
-        rounded = ", ".join(f"floor(CAST({c} AS DOUBLE) * 1e6 + 0.5) / 1e6 AS {c}" for c in doubles)
+        cut = "floor(CAST({c} AS DOUBLE) * {s}::DOUBLE + 0.5::DOUBLE) / {s}::DOUBLE"
+        by_size = "CASE WHEN abs({c}) >= 1e-3::DOUBLE OR {c} = 0 THEN %s WHEN abs({c}) >= 1e-9::DOUBLE THEN %s ELSE %s END AS {c}"
+        by_size %= tuple(cut.replace("{s}", s) for s in ("1e6", "1e15", "1e24"))
+        rounded = ", ".join(by_size.replace("{c}", c) for c in doubles)
         sql = sql.replace("SELECT * FROM result", f"SELECT * REPLACE ({rounded}) FROM result")
     ORACLES[name] = sql
 

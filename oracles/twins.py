@@ -28,7 +28,8 @@ oracle(
 )
 oracle(
     "raw_artists_structured",
-    "SELECT artist_name, listeners, playcount, tags, bio_summary, artist_url FROM v_artist_entries",
+    """SELECT artist_name, listeners, playcount, array_to_string(list_slice(string_split(tags, ', '), 1, 5), ', ') AS tags,
+              bio_summary, artist_url FROM v_artist_entries""",
 )
 oracle(
     "slice_plays",
@@ -63,8 +64,7 @@ oracle(
 oracle(
     "new_artist_members",
     """SELECT DISTINCT artist_name, replace(lower(artist_name), '#', '') AS artist_id FROM v_plays
-       WHERE artist_name NOT IN (SELECT artist_name FROM v_excluded_artists
-                                 WHERE year(excluded_at) = 1997 AND month(excluded_at) = 3)""",
+       WHERE artist_name NOT IN (SELECT artist_name FROM v_excluded_artists)""",
 )
 oracle("active_users", "SELECT DISTINCT username FROM v_plays")
 
@@ -243,8 +243,8 @@ oracle(
          SELECT track_id, track_url FROM v_listing
          QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY playcount DESC NULLS LAST, track_url) = 1)
        SELECT t.track_id,
-              coalesce('https://www.youtube.com/watch?v=' || y.result_id, p.youtube_url) AS youtube_url,
-              coalesce('https://open.spotify.com/track/' || s.result_id, p.spotify_url) AS spotify_url
+              coalesce('https://www.youtube.com/watch?v=' || y.result_id, p.youtube_url, t.youtube_url) AS youtube_url,
+              coalesce('https://open.spotify.com/track/' || s.result_id, p.spotify_url, t.spotify_url) AS spotify_url
        FROM v_tracks t LEFT JOIN popular l ON l.track_id = t.track_id
        LEFT JOIN v_page_links p ON p.url = coalesce(l.track_url, t.track_url)
        LEFT JOIN v_best_links y ON y.track_id = t.track_id AND y.platform = 'youtube'
@@ -319,8 +319,7 @@ oracle("stream_without_repeats", _event_once)
 oracle(
     "daily_play_windows",
     """SELECT username, day, count(*) AS plays FROM (
-         SELECT username, date_trunc('day', scrobbled_at_utc)::TIMESTAMP AS day FROM v_event_plays)
-       WHERE day + INTERVAL 1 DAY <= (SELECT max(scrobbled_at_utc) FROM v_event_plays) - INTERVAL 1 HOUR GROUP BY 1, 2""",
+         SELECT username, date_trunc('day', scrobbled_at_utc)::TIMESTAMP AS day FROM v_event_plays) GROUP BY 1, 2""",
 )
 oracle(
     "stream_refresh",
