@@ -31,16 +31,19 @@ AUDIO_WORDS = ("audio", "lyric", "lyrics", "topic")
 # ---- End of fixed values. --------------------------------------------------------------------------------------
 
 HIDDEN_MARKUP = r"(?is)<!--.*?-->|<script\b.*?</script>"
-ENTITIES = (("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
+NAMED_ENTITIES = (("&quot;", '"'), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
+NUMERIC_ENTITY = r"(?i)&#(x[0-9a-f]{1,6}|[0-9]{1,7});"
 
-
-def anchor_pattern(css_class: str) -> str:
-    """First ``<a ...>`` tag that carries the class as one of its class names."""
-    return r"(?is)<a\s(?:[^>]*\s)?class\s*=\s*[\"'](?:[^\"'>]*\s)?" + css_class + r"(?:\s[^\"'>]*)?[\"'][^>]*>"
+# An attribute value is in double quotes, in single quotes or bare; a quoted one may hold anything but its quote.
+VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)"""
+ATTRIBUTE = r"""[^\s"'>/=]++(?:\s*+=\s*+""" + VALUE + ")?+"
+ANCHOR = r"(?is)<a(?:[\s/]++" + ATTRIBUTE + r")*+[\s/]*+>"
 
 
 def attribute_pattern(name: str) -> str:
-    return r"(?is)\s" + name + r"\s*=\s*[\"']([^\"']*)[\"']"
+    """The value of an attribute of a whole tag, in one of three groups by its quotes."""
+    before = r"(?:[\s/]++(?!" + name + r"\s*+=)" + ATTRIBUTE + ")*+"
+    return r"(?is)^<a" + before + r"[\s/]++" + name + r"""\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>][^\s>]*+))"""
 
 
 def _non_empty(value: Column) -> Column:
@@ -48,16 +51,30 @@ def _non_empty(value: Column) -> Column:
 
 
 def _unescape(value: Column) -> Column:
-    return reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), ENTITIES, value)
+    """Character references by number, then those by name; ``&amp;`` last, as it may stand for the sign itself."""
+    code = lambda c: F.when(F.lower(c).startswith("x"), F.conv(F.substr(c, F.lit(2)), 16, 10)).otherwise(c).cast("bigint")
+    sign = lambda c: F.decode(F.unhex(F.lpad(F.hex(code(c)), 8, "0")), "UTF-32")
+    parts = F.split(value, NUMERIC_ENTITY, -1)
+    signs = F.transform(F.regexp_extract_all(value, F.lit(NUMERIC_ENTITY), F.lit(1)), sign)
+    joined = F.array_join(F.flatten(F.transform(F.arrays_zip(parts.alias("p"), signs.alias("s")), lambda x: F.array(x["p"], F.coalesce(x["s"], F.lit(""))))), "")
+    plain = F.when(value.rlike(NUMERIC_ENTITY), joined).otherwise(value)
+    return reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), NAMED_ENTITIES, plain)
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute, NULL if it is missing or empty."""
+    pattern = attribute_pattern(name)
+    return F.coalesce(*[_non_empty(F.regexp_extract(tag, pattern, group)) for group in (1, 2, 3)])
 
 
-def extract_link(html: Column | str, css_class: str, attribute: str) -> Column:
+def extract_link(html: Column | str, css_class: str, name: str) -> Column:
     """Url of the first anchor with the class: its data attribute, else its href, else NULL. Comments and scripts do
     not count."""
     source = F.col(html) if isinstance(html, str) else html
-    tag = F.regexp_extract(F.regexp_replace(source, HIDDEN_MARKUP, ""), anchor_pattern(css_class), 0)
-    found = [_non_empty(F.regexp_extract(tag, attribute_pattern(name), 1)) for name in (attribute, "href")]
-    return _unescape(F.coalesce(*found))
+    anchors = F.regexp_extract_all(F.regexp_replace(source, HIDDEN_MARKUP, ""), F.lit(ANCHOR), F.lit(0))
+    has_class = lambda tag: F.coalesce(F.array_contains(F.split(attribute(tag, "class"), r"\s+"), css_class), F.lit(False))
+    tag = F.get(F.filter(anchors, has_class), F.lit(0))
+    return _unescape(F.coalesce(attribute(tag, name), attribute(tag, "href")))
 
 
 def video_link(html: Column | str) -> Column:

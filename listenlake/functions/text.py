@@ -63,7 +63,6 @@ DEMO_TAKE = (
     r")[\)\]]"
 )
 FEATURED = r"\s*[\(\[]?(feat\.?|ft\.?|featuring|with|vs\.?|versus).*?[\)\]]?$"
-FEATURED_WORDS = r"\s*[\(\[]?\b(feat\.?|ft\.?|featuring|with|vs\.?|versus)\b.*?[\)\]]?$"
 YEAR = r"\s*[\(\[]?\d{4}[\)\]]?\s*"
 TRAILING = (
     r"\s+("
@@ -86,12 +85,6 @@ WHITESPACE = r"\s+"
 EDGE_SPACE = r"^\s+|\s+$"
 MUSIC_VIDEO = r"(music\s+video|official\s+video|video\s+clip|visuali[sz]er|lyric\s+video|official\s+audio)"
 
-# Anything a step before PUNCTUATION could remove shows one of these; all other names take the short way.
-MARKER = (
-    r"[\(\[-]|\d{4}|feat|ft|with|vs|versus|"
-    r"\s(demo|take|instrumental|official|hd|4k|animated|lyric|visuali|at|mono|stereo|excerpt|dub)"
-)
-
 # The order is part of the result: a year goes after the suffixes that contain one.
 STEPS = (
     (EDGE_SPACE, ""),
@@ -110,9 +103,18 @@ STEPS = (
     (WHITESPACE, " "),
     (EDGE_SPACE, ""),
 )
-SHORT_STEPS = ((EDGE_SPACE, ""), (PUNCTUATION, ""), (WHITESPACE, " "), (EDGE_SPACE, ""))
 # ---- End of fixed values. --------------------------------------------------------------------------------------
 
+# FEATURED with word borders around its words.
+FEATURED_WORDS = r"\s*[\(\[]?\b(feat\.?|ft\.?|featuring|with|vs\.?|versus)\b.*?[\)\]]?$"
+
+# Anything a step before PUNCTUATION could remove shows one of these; all other names take the short way.
+MARKER = (
+    r"[\(\[-]|\d{4}|feat|ft|with|vs|versus|"
+    r"\s(demo|take|instrumental|official|hd|4k|animated|lyric|visuali|at|mono|stereo|excerpt|dub)"
+)
+SHORT_STEPS = ((EDGE_SPACE, ""), (PUNCTUATION, ""), (WHITESPACE, " "), (EDGE_SPACE, ""))
+
 
 def java_regex(pattern: str) -> str:
     """Spark dialect: ``$`` would also match before a last line feed, so the end is ``\\z``."""

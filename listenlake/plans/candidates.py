@@ -258,6 +258,34 @@ def similar_tag_candidates(
     )
 
 
+def _funnel(marked: DataFrame, few: Column, n: Column) -> DataFrame:
+    """Per user: how many were examined, dropped by a threshold, dropped as played, kept."""
+    seen = F.coalesce("played", F.lit(False))
+    return marked.groupBy("username").agg(
+        F.sum(n).alias("examined"),
+        F.sum(F.when(few, n).otherwise(0)).alias("below_threshold"),
+        F.sum(F.when(~few & seen, n).otherwise(0)).alias("already_played"),
+        F.sum(F.when(~few & ~seen, n).otherwise(0)).alias("kept"),
+    )
+
+
+def similar_tag_funnel(
+    plays: DataFrame,
+    profile: DataFrame,
+    tag_top_tracks: DataFrame,
+    tracks_per_tag: int | None = S.TRACKS_PER_TAG,
+    min_tag_matches: int = S.MIN_TAG_MATCHES,
+) -> DataFrame:
+    """Per user: tracks listed under a tag of the profile, dropped for few tags, dropped as played, kept."""
+    artist = F.coalesce("artist_name", F.lit(""))
+    listed = _first(tag_top_tracks, tracks_per_tag).select("tag", canonical_track_id("track_name", artist).alias("track_id"))
+    found = catalogue_join(profile.select("username", "tag"), listed.distinct(), "tag")
+    matches = found.groupBy("username", "track_id").agg(F.count("*").alias("tags"))
+    played = played_tracks(plays).withColumn("played", F.lit(True))
+    marked = matches.join(played, ["username", "track_id"], "left")
+    return _funnel(marked, F.col("tags") < min_tag_matches, F.lit(1))
+
+
 # ---- deep cuts -------------------------------------------------------------------------------------------------
 
 
@@ -322,6 +350,14 @@ def deep_cut_candidates(plays: DataFrame, sources: DataFrame, catalogue: DataFra
     return best_per_key(fresh, ["username", "track_id"], order).select(*schemas.CANDIDATE_DEEP_CUT.names)
 
 
+def deep_cut_funnel(plays: DataFrame, sources: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Per user: album listings examined, dropped as played, kept (before the dedup)."""
+    found = catalogue_join(sources.select("username", "artist_name"), catalogue.select("artist_name", "track_id", "listings"), "artist_name")
+    played = played_tracks(plays).withColumn("played", F.lit(True))
+    marked = found.join(played, ["username", "track_id"], "left")
+    return _funnel(marked, F.lit(False), F.col("listings")).drop("below_threshold")
+
+
 # ---- forgotten favourites --------------------------------------------------------------------------------------
 
 

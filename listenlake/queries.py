@@ -20,6 +20,7 @@ from listenlake.operators import ranking as R
 from listenlake.operators import recommend as RC
 from listenlake.operators import statistics as ST
 from listenlake.plans import candidates as C
+from listenlake.plans.jobs import EXCLUDED_TRACKS, Jobs
 from listenlake.session import tune
 from listenlake.sources.lake import with_user_bucket
 from listenlake.sources.testbed import AS_OF, DEEP_CUT, SIMILAR, Testbed
@@ -66,6 +67,13 @@ def normalize_names_strict(t):
     return names.select("source", "place", T.normalize_text("name", strict_words=True).alias("normalized"))
 
 
+@query
+def normalize_null_as_empty(t):
+    """Every third name is missing: it becomes the empty form."""
+    name = F.when(F.col("place") % 3 != 0, F.col("name"))
+    return t.messy_names().select("source", "place", T.normalize_text(name, null_as_empty=True).alias("normalized"))
+
+
 @query
 def canonical_ids(t):
     """Ids of spelled part names, with and without the raw fallback."""
@@ -222,6 +230,17 @@ def funnel_counts(t):
     return C.similar_artist_funnel(t.plays(), t.similar_sources(), t.similar_artists(), t.artist_top_tracks(), **SIMILAR)
 
 
+@query
+def tag_funnel(t):
+    return C.similar_tag_funnel(t.track_counts(), t.tag_profile(), t.tag_top_tracks())
+
+
+@query
+def deep_cut_funnel(t):
+    catalogue = C.album_catalogue(t.artist_top_albums(), t.album_tracks(), **DEEP_CUT)
+    return C.deep_cut_funnel(t.track_counts(), t.deep_cut_sources(), catalogue)
+
+
 @query
 def sampled_artists(t):
     played = C.user_artists(t.plays(), t.tracks(), t.artists())
@@ -468,6 +487,42 @@ def json_landing(t):
     return I.plays_from_raw(raw)
 
 
+@query
+def upsert_named_users(t):
+    """Plays of users whose names look like numbers, dates or text, upserted twice into one directory per user."""
+    lake = t.scratch_lake()
+    key = ["username", "scrobbled_at"]
+    number = F.col("username").cast("bigint")
+    few = t.plays().filter(number < 60).withColumn(
+        "username",
+        F.when(number % 5 == 0, F.lpad("username", 3, "0"))
+        .when(number % 5 == 1, F.col("username"))
+        .when(number % 5 == 2, F.concat(F.lit("user "), "username"))
+        .when(number % 5 == 3, F.concat(F.lit("2024-01-"), F.lpad("username", 2, "0")))
+        .otherwise(F.concat("username", F.lit("/x=é"))),
+    )
+    for _ in range(2):
+        lake.upsert(few, "silver/plays", key, ["username"])
+    return lake.read("silver/plays").select("username", "scrobbled_at", "track_id")
+
+
+@query
+def restored_exclusions(t):
+    """All exclusions stored, then those of tracks of the first brands taken back."""
+    jobs = Jobs(t.scratch_lake())
+    jobs.exclude_tracks(t.excluded_tracks())
+    jobs.restore_tracks(t.excluded_tracks().filter(F.col("artist_name") < "Brand#2"))
+    return jobs.lake.read(EXCLUDED_TRACKS).select("username", "track_id", "excluded_at")
+
+
+@query
+def top_stored_candidates(t):
+    """Best rows of one user from a stored table."""
+    lake = t.scratch_lake()
+    lake.write(with_user_bucket(t.candidates()), "gold/track_candidates", "error", BUCKET)
+    return lake.top_candidates("gold/track_candidates", "7", 50).select("username", "track_id", "score")
+
+
 @query
 def table_modes(t):
     """Partitioned write, then an append of the loved plays: rows per user."""

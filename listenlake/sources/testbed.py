@@ -354,11 +354,19 @@ class Testbed:
         video_href = F.concat(F.lit(f'<a href="{VIDEO_URL_PREFIX}'), F.lpad(key, 11, "0"), F.lit(f'" class="{css}youtube">play</a>'))
         audio = F.concat(F.lit(f'<a class="{css}spotify" data-spotify-url="{TRACK_URL_PREFIX}'), F.lpad(key, 22, "0"), F.lit('">play</a>'))
         hidden = F.lit(f'<!-- <a class="{css}youtube" href="https://hidden.example/">old</a> -->')
-        kind = F.pmod("page_id", F.lit(4))
+        above = F.concat(F.lit(f'<a title="a > b" class="{css}youtube" data-youtube-url="{VIDEO_URL_PREFIX}'), F.lpad(key, 11, "0"), F.lit('">play</a>'))
+        single = F.concat(F.lit(f"<a class='{css}spotify' title='say \"x\"' data-spotify-url='{TRACK_URL_PREFIX}"), F.lpad(key, 22, "0"), F.lit("'>play</a>"))
+        bare = F.concat(F.lit(f"<a class=play-this-track-playlink--youtube data-youtube-url={VIDEO_URL_PREFIX}"), F.lpad(key, 11, "0"), F.lit(">play</a>"))
+        numbers = F.concat(F.lit(f'<a class="{css}youtube" data-youtube-url="{VIDEO_URL_PREFIX}'), F.lpad(key, 11, "0"), F.lit('&#x26;t=1&#38;u=&#233;">play</a>'))
+        kind = F.pmod("page_id", F.lit(8))
         block = (
             F.when(kind == 0, F.concat(hidden, video, audio))
             .when(kind == 1, video_href)
             .when(kind == 2, F.concat(hidden, audio))
+            .when(kind == 4, above)
+            .when(kind == 5, single)
+            .when(kind == 6, bare)
+            .when(kind == 7, numbers)
             .otherwise(F.lit(""))
         )
         return self.table("pages").select(

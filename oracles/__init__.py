@@ -341,10 +341,10 @@ WHERE class IS NOT NULL AND result_id IS NOT NULL GROUP BY track_id, platform"""
 # What the player block of a page says, by construction of the page.
 PARTS["v_page_links"] = """
 SELECT page_id, 'https://music.example/track/' || page_id AS url,
-       CASE page_id % 4 WHEN 0 THEN 'https://www.youtube.com/watch?v=' || lpad(CAST(page_id AS VARCHAR), 11, '0') || '&t=1'
-                        WHEN 1 THEN 'https://www.youtube.com/watch?v=' || lpad(CAST(page_id AS VARCHAR), 11, '0') END
-         AS youtube_url,
-       CASE WHEN page_id % 4 IN (0, 2) THEN 'https://open.spotify.com/track/' || lpad(CAST(page_id AS VARCHAR), 22, '0') END
+       CASE WHEN page_id % 8 IN (0, 1, 4, 6, 7)
+            THEN 'https://www.youtube.com/watch?v=' || lpad(CAST(page_id AS VARCHAR), 11, '0')
+                 || CASE page_id % 8 WHEN 0 THEN '&t=1' WHEN 7 THEN '&t=1&u=é' ELSE '' END END AS youtube_url,
+       CASE WHEN page_id % 8 IN (0, 2, 5) THEN 'https://open.spotify.com/track/' || lpad(CAST(page_id AS VARCHAR), 22, '0') END
          AS spotify_url
 FROM pages"""
 

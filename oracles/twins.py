@@ -7,6 +7,12 @@ from oracles.regex import normalised, video_regex
 
 # ---- names
 oracle("normalize_names", f"SELECT source, place, {normalised('name')} AS normalized FROM v_messy_names")
+oracle("normalize_names_strict", f"SELECT source, place, {normalised('name', True)} AS normalized FROM v_messy_names")
+oracle(
+    "normalize_null_as_empty",
+    f"""SELECT source, place, coalesce({normalised('CASE WHEN place % 3 <> 0 THEN name END')}, '') AS normalized
+        FROM v_messy_names""",
+)
 oracle(
     "canonical_ids",
     """SELECT p_partkey AS l_partkey, l_linenumber, track_id, track_id AS track_id_or_raw,
@@ -110,6 +116,24 @@ oracle(
               count_if(listeners >= 20 AND x.track_id IS NULL) AS kept
        FROM v_similar_paths p LEFT JOIN v_played x ON x.username = p.username AND x.track_id = p.track_id GROUP BY 1""",
 )
+oracle(
+    "tag_funnel",
+    """WITH found AS (
+         SELECT username, track_id, count(DISTINCT tag) AS tags FROM v_tag_profile JOIN v_tag_top_tracks USING (tag) GROUP BY 1, 2)
+       SELECT f.username, count(*) AS examined, count_if(tags < 2) AS below_threshold,
+              count_if(tags >= 2 AND x.track_id IS NOT NULL) AS already_played,
+              count_if(tags >= 2 AND x.track_id IS NULL) AS kept
+       FROM found f LEFT JOIN v_played x ON x.username = f.username AND x.track_id = f.track_id GROUP BY 1""",
+)
+oracle(
+    "deep_cut_funnel",
+    """WITH sources AS (
+         SELECT * FROM v_user_artists QUALIFY row_number() OVER (PARTITION BY username ORDER BY play_count DESC, artist_id) <= 30)
+       SELECT s.username, count(*) AS examined, count_if(x.track_id IS NOT NULL) AS already_played,
+              count_if(x.track_id IS NULL) AS kept
+       FROM sources s JOIN v_album_tracks a ON a.artist_name = s.artist_name
+       LEFT JOIN v_played x ON x.username = s.username AND x.track_id = a.track_id GROUP BY 1""",
+)
 oracle(
     "sampled_artists",
     """SELECT username, artist_id, play_count FROM (
@@ -234,7 +258,7 @@ oracle(
     "link_ids",
     """SELECT url, CASE WHEN youtube_url IS NOT NULL THEN lpad(CAST(page_id AS VARCHAR), 11, '0') END AS video_id,
               CASE WHEN spotify_url IS NOT NULL THEN lpad(CAST(page_id AS VARCHAR), 22, '0') END AS track_id,
-              replace(youtube_url, '&t=1', '') AS video_url, spotify_url AS track_url FROM v_page_links""",
+              regexp_replace(youtube_url, '&t=1.*$', '') AS video_url, spotify_url AS track_url FROM v_page_links""",
 )
 oracle("best_link", "SELECT * FROM v_best_links")
 oracle(
@@ -290,6 +314,23 @@ oracle("exclusion_store", "SELECT * REPLACE (excluded_at + INTERVAL 1 DAY AS exc
 
 # ---- stored tables
 oracle("json_landing", "SELECT * FROM v_plays")
+oracle(
+    "upsert_named_users",
+    f"""SELECT CASE CAST(username AS BIGINT) % 5 WHEN 0 THEN lpad(username, 3, '0') WHEN 1 THEN username
+                    WHEN 2 THEN 'user ' || username WHEN 3 THEN '2024-01-' || lpad(username, 2, '0')
+                    ELSE username || '/x=é' END AS username, scrobbled_at, track_id
+        FROM ({_once}) WHERE CAST(username AS BIGINT) < 60""",
+)
+oracle(
+    "restored_exclusions",
+    "SELECT username, track_id, excluded_at FROM v_excluded_tracks WHERE artist_name >= 'Brand#2'",
+)
+oracle(
+    "top_stored_candidates",
+    """SELECT username, track_id, score FROM v_candidates WHERE username = '7'
+       ORDER BY score DESC, track_id LIMIT 50""",
+    ("score",),
+)
 oracle("table_modes", "SELECT username, count(*) + count_if(is_loved) AS plays FROM v_plays GROUP BY 1")
 oracle(
     "upsert_table",

@@ -13,19 +13,24 @@ def test_extract(spark):
         (1, f'<a class="{CSS}youtube"\n data-youtube-url="https://y/1?a=1&amp;b=2">x</a><a class="{CSS}spotify" data-spotify-url="https://s/1">'),
         (2, f'<a href="https://y/2" class="{CSS}youtube" data-youtube-url="">x</a>'),
         (3, f'<!-- <a class="{CSS}youtube" href="https://y/3">x</a> --><p>none</p>'),
+        (5, f'<a title="a > b" class="{CSS}youtube" data-youtube-url="https://y/5">x</a>'),
+        (6, f"<A title='say \"x\"' data-youtube-url = 'https://y/6?q=\"a\"' CLASS='{CSS}youtube'>x</a>"),
+        (7, "<a/class=play-this-track-playlink--youtube data-youtube-url=https://y/7?v=1&#x26;t=&#128512;>x</a>"),
+        (8, f'<a data-x="class=\'{CSS}youtube\'" href="https://y/8">x</a><a class="{CSS}youtube" data-youtube-url="&amp;#65;">x</a>'),
+        (9, '<a class="' + "b " * 5000 + f'{CSS}youtube" href="https://y/9" ' + "x=1 " * 2000 + ">x</a>"),
         (4, '<a class="play-this-track-playlink--youtube-old" href="https://y/4">x</a>'),
     ]
     df = spark.createDataFrame(pages, "i int, html string").select("i", L.video_link("html"), L.audio_link("html"))
-    assert rows(df) == [(1, "https://y/1?a=1&b=2", "https://s/1"), (2, "https://y/2", None), (3, None, None), (4, None, None)]
+    assert rows(df) == [(1, "https://y/1?a=1&b=2", "https://s/1"), (2, "https://y/2", None), (3, None, None), (4, None, None), (5, "https://y/5", None), (6, 'https://y/6?q="a"', None), (7, "https://y/7?v=1&t=😀", None), (8, "&#65;", None), (9, "https://y/9", None)]
 
 
 def test_ids(spark):
-    urls = ["https://www.youtube.com/watch?v=fJ9rUzIMcZQ", "https://youtu.be/fJ9rUzIMcZQ", "https://music.youtube.com/watch?v=fJ9rUzIMcZQ&x", "nothing", None]
+    urls = ["https://www.youtube.com/watch?v=aB3-_xYz019", "https://youtu.be/aB3-_xYz019", "https://music.youtube.com/watch?v=aB3-_xYz019&x", "nothing", None]
     got = spark.createDataFrame([(u,) for u in urls], "u string").select(L.video_id("u")).collect()
-    assert [r[0] for r in got] == ["fJ9rUzIMcZQ"] * 3 + [None, None]
-    urls = ["https://open.spotify.com/track/4uLU6hMCjMI75M1A2tKUQC?si=1", "spotify:track:4uLU6hMCjMI75M1A2tKUQC", "spotify:album:4uLU6hMCjMI75M1A2tKUQC"]
+    assert [r[0] for r in got] == ["aB3-_xYz019"] * 3 + [None, None]
+    urls = ["https://open.spotify.com/track/0a1B2c3D4e5F6g7H8i9J0k?si=1", "spotify:track:0a1B2c3D4e5F6g7H8i9J0k", "spotify:album:0a1B2c3D4e5F6g7H8i9J0k"]
     got = spark.createDataFrame([(u,) for u in urls], "u string").select(L.track_id("u")).collect()
-    assert [r[0] for r in got] == ["4uLU6hMCjMI75M1A2tKUQC"] * 2 + [None]
+    assert [r[0] for r in got] == ["0a1B2c3D4e5F6g7H8i9J0k"] * 2 + [None]
 
 
 def test_best_links(spark):
