@@ -166,3 +166,31 @@ def test_keyed_helpers(spark):
     typed = K.union_typed([a, b], schemas.table("username string, track_id string, x bigint"))
     assert rows(typed) == [("u", "t1", 1), ("v", None, 2)]
     assert typed.schema["x"].dataType.simpleString() == "bigint"
+
+
+def test_no_artist_of_a_large_user_is_left_out(spark):
+    played = spark.createDataFrame(
+        [("u", f"a{i}", f"A{i}", None, i + 1) for i in range(80)],
+        "username string, artist_id string, artist_name string, tags string, play_count bigint",
+    )
+    assert C.similar_artist_sources(played).count() == 80
+    assert C.deep_cut_sources(played, top_artists_count=70).count() == 70
+    sampled = C.similar_artist_sources(played, sample_above=30, artist_sample_rate=0.2).count()
+    assert 0 < sampled < 80
+
+
+def test_limits_can_be_lifted(spark):
+    albums = spark.createDataFrame(
+        [("A", f"Album {i}", 100 - i, i + 1) for i in range(30)], "artist_name string, album_name string, playcount bigint, pos int"
+    )
+    listed = spark.createDataFrame([("A", f"Album {i}", f"t{i}x") for i in range(30)], "artist_name string, album_name string, track_name string")
+    assert C.album_catalogue(albums, listed, 0).count() == 10
+    assert C.album_catalogue(albums, listed, 0, None, None).count() == 30
+
+
+def test_a_third_of_the_rows_on_one_artist(spark):
+    users = spark.createDataFrame([(f"u{i}", "hot" if i % 3 == 0 else f"a{i}") for i in range(600)], "username string, artist_name string")
+    catalogue = spark.createDataFrame([("hot", t) for t in range(50)] + [(f"a{i}", 0) for i in range(600)], "artist_name string, t int")
+    joined = K.catalogue_join(users, catalogue, "artist_name")
+    assert joined.count() == users.join(catalogue, "artist_name").count() == 200 * 50 + 400
+    assert joined.columns == ["artist_name", "username", "t"]

@@ -82,3 +82,9 @@ def test_sample_is_repeatable(spark):
     big = [r for r in first if r[0] == "big"]
     assert 50 < len(big) < 150 and len(first) - len(big) == 5
     assert first != rows(R.sample_large(df, "artist_id", 30, 0.2, seed=1))
+
+
+def test_rows_without_a_score_stay(spark):
+    df = spark.createDataFrame([("u", "a", 1.0), ("u", "b", None), ("u", "c", 3.0)], "username string, track_id string, score double")
+    for ranked in (R.rank_normalised(df), R.top_rank_normalised(df, 5)):
+        assert rows(ranked, "track_id", "normalized_score") == [("a", 0.5), ("b", None), ("c", 1.0)]
