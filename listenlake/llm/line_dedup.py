@@ -10,9 +10,10 @@ agree in a variant at the same place; a line with one character more has a varia
 are joined, each group to its earliest line only, so that no group is expanded into its pairs; what is joined is verified
 on the texts.
 
-Only lines that may have a partner emit: two lines within distance 1 share their first or their last half, cut at half
-the length of the shorter. A line that shares neither with any line of fitting length has no partner and is left out, which
-loses no pair.
+Only lines that may have a partner emit. Cut the shorter of two lines within distance 1 into k parts: the edit lies in one
+of them, and what is before and after that part is the same in both. So both have a hash in common of a line without its
+jth part, taken for the length that the shorter has. A line that shares no such hash has no partner and is left out, which
+loses no pair. First k is 2, on the hashes alone; the texts of what is left are fetched, and k is FINE.
 
 Null texts have no lines and stay null; a text all of whose lines are dropped becomes empty. Rows that repeat with equal
 doc_id and text are one document and get the same result; a null doc_id comes before all others. No document goes.
@@ -33,6 +34,7 @@ from listenlake.llm.common import checkpointed, staged
 
 LEAST = 24
 EDITS = 1
+FINE = 16
 SMALL = 500_000  # so many rows of three longs, 12 MB, may be broadcast
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -47,24 +49,23 @@ def bare(line: str) -> str:
     return line.strip(" \t\n\x0b\x0c\r")
 
 
-def _half(line: str, length: int, first: bool) -> int:
-    """Hash of the first or last half of a line whose partner may be so long that the shorter has `length` characters."""
-    cut = length // 2
-    part = line[:cut] if first else line[len(line) - (length - cut) :]
-    return xxhash.xxh64_intdigest(part.encode(), length * 2 + first) - (1 << 63)
-
-
-def halves(line: str) -> list[int]:
-    n = len(line)
-    return [_half(line, m, first) for m in (n - 1, n) for first in (True, False)]
+def anchors(line: str, parts: int) -> list[int]:
+    """Hashes of the line without its jth part, for each j and for a partner of its own length or one less."""
+    n, out = len(line), []
+    for m in (n - 1, n):
+        for j in range(parts):
+            before, after = m * j // parts, m - m * (j + 1) // parts
+            rest = f"{line[:before]}\0{line[n - after :]}"
+            out.append(xxhash.xxh64_intdigest(rest.encode(), m * parts + j) - (1 << 63))
+    return out
 
 
 def _lines(docs: DataFrame, least: int, edits: int) -> DataFrame:
-    """A row for each line that is long enough: its hash, place, and the hashes of its halves."""
+    """A row for each line that is long enough: its hash, place and anchors."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            of, place, chars, ids, anchors = [], [], [], [], []
+            of, place, chars, ids, rests = [], [], [], [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
                 for k, line in enumerate(split(text or "")):
                     line = bare(line)
@@ -73,7 +74,7 @@ def _lines(docs: DataFrame, least: int, edits: int) -> DataFrame:
                         place.append(k)
                         chars.append(len(line))
                         ids.append(xxhash.xxh3_128_digest(line.encode()))
-                        anchors.append(halves(line) if edits else [])
+                        rests.append(anchors(line, 2) if edits else [])
             both = np.frombuffer(b"".join(ids), "<i8").reshape(-1, 2)
             rows = pa.array(of, pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -84,7 +85,7 @@ def _lines(docs: DataFrame, least: int, edits: int) -> DataFrame:
                     batch.column(0).take(rows),
                     batch.column(1).take(rows),
                     pa.array(place, pa.int32()),
-                    pa.array(anchors, pa.list_(pa.int64())),
+                    pa.array(rests, pa.list_(pa.int64())),
                 ],
                 names=["id1", "id2", "chars", "doc_id", "doc_hash", "line_no", "anchors"],
             )
@@ -106,13 +107,23 @@ def _same_document(a: DataFrame, b: DataFrame) -> Column:
 
 
 def _eligible(distinct: DataFrame) -> DataFrame:
-    """Distinct lines that share a half with another one of fitting length."""
+    """Distinct lines that share an anchor with another one."""
     keys = distinct.select("id1", F.explode("anchors").alias("anchor")).distinct()
     shared = keys.groupBy("anchor").agg(F.count("*").alias("lines")).filter("lines > 1")
     ids = keys.join(shared, "anchor").select("id1").distinct()
     return distinct.join(ids, "id1", "left_semi").drop("anchors")
 
 
+def _finer(lines: DataFrame, parts: int = FINE) -> DataFrame:
+    """The same of lines with texts, by finer parts."""
+
+    @F.pandas_udf("array<bigint>")
+    def of(line: pd.Series) -> pd.Series:
+        return pd.Series([anchors(x, parts) for x in line], dtype=object)
+
+    return _eligible(lines.withColumn("anchors", of("line")))
+
+
 def _with_text(eligible: DataFrame, docs: DataFrame) -> DataFrame:
     """Eligible lines with their texts, taken from the documents where they stand first."""
     wanted = eligible.groupBy("doc_id", "doc_hash").agg(
@@ -233,7 +244,7 @@ def kept_lines(docs: DataFrame, least: int = LEAST, edits: int = EDITS) -> DataF
     stay = distinct.drop("anchors")
     if edits:
         eligible = checkpointed(_eligible(distinct))
-        dropped = checkpointed(near_repeats(_with_text(eligible, docs)))
+        dropped = checkpointed(near_repeats(checkpointed(_finer(_with_text(eligible, docs)))))
         stay = stay.join(dropped, ["id1", "id2"], "left_anti")
     return stay.select("doc_id", "doc_hash", "line_no")
 
