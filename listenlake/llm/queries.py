@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from listenlake.llm import ops_join, ops_lines, ops_native, ops_tokens, ops_toxicity
+from listenlake.llm import ops_join, ops_lines, ops_native, ops_tokens, ops_toxicity, twins
 
 QUERIES = {
     **ops_toxicity.QUERIES,
@@ -11,4 +11,4 @@ QUERIES = {
     **ops_native.QUERIES,
     **ops_lines.QUERIES,
 }
-ORACLES: dict[str, str] = {**ops_lines.ORACLES}
+ORACLES: dict[str, str] = {**ops_lines.ORACLES, **twins.ORACLES}
