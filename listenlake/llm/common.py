@@ -45,8 +45,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of a batch between Spark and Python. Texts may be long, so batches are small.
+BATCH_ROWS = 1000
+
+
 def with_code(spark: SparkSession) -> SparkSession:
-    """Sees to it that Python workers can import this package: where their path doesn't name its folder, Spark ships it."""
+    """Sees to it that Python workers can import this package: where their path doesn't name its folder, Spark ships it.
+    Batches are bounded to BATCH_ROWS, so that a worker's memory is."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     package = Path(__file__).resolve().parents[1]
     home, context = str(package.parent), spark.sparkContext
     if home in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(context, "_ships_llm", False):
