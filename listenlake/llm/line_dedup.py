@@ -13,7 +13,7 @@ on the texts.
 Only lines that may have a partner emit. Cut the shorter of two lines within distance 1 into k parts: the edit lies in one
 of them, and what is before and after that part is the same in both. So both have a hash in common of a line without its
 jth part, taken for the length that the shorter has. A line that shares no such hash has no partner and is left out, which
-loses no pair. First k is 2, on the hashes alone; the texts of what is left are fetched, and k is FINE.
+loses no pair. First k is 2, on the hashes alone; the texts of what is left are fetched, and k goes through FINE.
 
 Null texts have no lines and stay null; a text all of whose lines are dropped becomes empty. Rows that repeat with equal
 doc_id and text are one document and get the same result; a null doc_id comes before all others. No document goes.
@@ -34,7 +34,7 @@ from listenlake.llm.common import checkpointed, staged
 
 LEAST = 24
 EDITS = 1
-FINE = 16
+FINE = (16, 64)
 SMALL = 500_000  # so many rows of three longs, 12 MB, may be broadcast
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -114,7 +114,7 @@ def _eligible(distinct: DataFrame) -> DataFrame:
     return distinct.join(ids, "id1", "left_semi").drop("anchors")
 
 
-def _finer(lines: DataFrame, parts: int = FINE) -> DataFrame:
+def _finer(lines: DataFrame, parts: int) -> DataFrame:
     """The same of lines with texts, by finer parts."""
 
     @F.pandas_udf("array<bigint>")
@@ -244,7 +244,10 @@ def kept_lines(docs: DataFrame, least: int = LEAST, edits: int = EDITS) -> DataF
     stay = distinct.drop("anchors")
     if edits:
         eligible = checkpointed(_eligible(distinct))
-        dropped = checkpointed(near_repeats(checkpointed(_finer(_with_text(eligible, docs)))))
+        lines = _with_text(eligible, docs)
+        for parts in FINE:
+            lines = checkpointed(_finer(lines, parts))
+        dropped = checkpointed(near_repeats(lines))
         stay = stay.join(dropped, ["id1", "id2"], "left_anti")
     return stay.select("doc_id", "doc_hash", "line_no")
 

@@ -220,7 +220,7 @@ def test_variants_meet_within_one_edit():
         assert line_dedup.within_one(a, b) and line_dedup.within_one(b, a)
         (va, wa), (vb, wb) = line_dedup.variants(a), line_dedup.variants(b)
         assert (va == vb).any() if len(a) == len(b) else (wb in va or wa in vb)
-        for parts in (2, 5, line_dedup.FINE):
+        for parts in (2, 5, *line_dedup.FINE):
             assert set(line_dedup.anchors(a, parts)) & set(line_dedup.anchors(b, parts))
     assert not line_dedup.within_one("ab", "ba")
 
