@@ -1,15 +1,14 @@
 """Training order: token sequences in an order drawn by a key, in files of fixed stride.
 
 Every document's ids, closed by the end id 0, follow one another as they lie in a partition of the stored table and are
-cut into sequences of LENGTH tokens; only the last of a partition may be shorter. A first pass counts tokens, so that each
-sequence has a number from 0 to N - 1. A keyed Feistel network with cycle-walking permutes these numbers: each sequence
+cut into sequences of LENGTH tokens; only the last of a partition may be shorter. Sequences are stored once, compressed,
+and counted by partition, so that each has a number from 0 to N - 1. A keyed Feistel network with cycle-walking permutes these numbers: each sequence
 has its slot without any sort or draw, and the slot has its sequence by the inverse. Sequences are partitioned by ranges
 of slots, and a range is one file of records of equal size, so that reading from any slot on is a seek and a sequential
 read, and reading can be resumed at any slot.
 
 A record: number of tokens (unsigned 32-bit), then LENGTH ids of 2 or 4 bytes, little-endian, 0 after the last one. A
-file is written under another name and then moved, so a task that is run again leaves the same files. Both passes must see
-the same partitions; a table that changed in between raises an error.
+file is written under another name and then moved, so a task that is run again leaves the same files.
 
 Null and empty texts are the end id alone. Rows that repeat are written as often as they come. An empty table makes no
 file. Extra columns are not looked at.
@@ -23,7 +22,9 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -82,32 +83,17 @@ class Permutation:
         return self._walked(slots, self._back) if len(slots) else np.zeros(0, np.int64)
 
 
-def _counts(rows: DataFrame, path: str) -> dict[int, int]:
-    """Tokens of each partition."""
+def _sequences(rows: DataFrame, path: str, length: int, width: int) -> DataFrame:
+    """(part, place, n_tokens, ids_crc32, doc_ids, ids) of every sequence: its place in its partition; ids in `width` bytes
+    each, compressed."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, total = tokenizer(path), 0
-        for batch in batches:
-            for _, group in in_groups(batch.column(0).to_pylist()):
-                total += sum(tok.counts(group)) + len(group)
-        yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "tokens": [total]})
-
-    return {r["part"]: r["tokens"] for r in rows.select("text").mapInArrow(over, "part bigint, tokens bigint").collect()}
-
-
-def _sequences(rows: DataFrame, path: str, counts: dict[int, int], length: int, width: int, permutation: Permutation) -> DataFrame:
-    """(slot, number, n_tokens, ids_crc32, doc_ids, ids binary in `width` bytes each) of every sequence."""
-    first, at = {}, 0
-    for part in sorted(counts):
-        first[part] = at
-        at += -(-counts[part] // length)
-
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, part, seen, number = tokenizer(path), TaskContext.get().partitionId(), 0, 0
+        tok, part, place = tokenizer(path), TaskContext.get().partitionId(), 0
+        pack = zstandard.ZstdCompressor(level=3).compress
         buffer, owners = b"", []  # tokens not given out yet; (token where it ends, doc_id) of those in the buffer
 
         def cut(last: bool) -> pa.RecordBatch:
-            nonlocal buffer, owners, number
+            nonlocal buffer, owners, place
             ids, docs = [], []
             at, total = 0, len(buffer) // 4
             o = 0
@@ -126,18 +112,18 @@ def _sequences(rows: DataFrame, path: str, counts: dict[int, int], length: int,
                 at = end
             buffer = buffer[4 * at :]
             owners = [(e - at, d) for e, d in owners if e > at]
-            numbers = np.arange(number, number + len(ids), dtype=np.int64) + first.get(part, 0)
-            number += len(ids)
+            places = np.arange(place, place + len(ids), dtype=np.int64)
+            place += len(ids)
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array(permutation.slots(numbers)),
-                    pa.array(numbers),
+                    pa.array(np.full(len(ids), part, np.int64)),
+                    pa.array(places),
                     pa.array([len(x) // 4 for x in ids], pa.int32()),
                     pa.array([zlib.crc32(x) for x in ids], pa.int64()),
                     pa.array(docs, pa.list_(pa.int64())),
-                    pa.array([np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes() for x in ids], pa.binary()),
+                    pa.array([pack(np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes()) for x in ids], pa.binary()),
                 ],
-                names=["slot", "number", "n_tokens", "ids_crc32", "doc_ids", "ids"],
+                names=["part", "place", "n_tokens", "ids_crc32", "doc_ids", "ids"],
             )
 
         for batch in batches:
@@ -147,18 +133,26 @@ def _sequences(rows: DataFrame, path: str, counts: dict[int, int], length: int,
                 for i, ids in enumerate(tok.encode(group), at):
                     parts += [ids, b"\0\0\0\0"]
                     end += len(ids) // 4 + 1
-                    seen += len(ids) // 4 + 1
                     owners.append((end, doc_ids[i]))
                 buffer = b"".join(parts)
                 yield cut(False)
         yield cut(True)
-        if seen != counts.get(part, 0):
-            raise ValueError(f"partition {part} had {counts.get(part, 0)} tokens when counted, now {seen}")
 
-    schema = "slot bigint, number bigint, n_tokens int, ids_crc32 bigint, doc_ids array<bigint>, ids binary"
+    schema = "part bigint, place bigint, n_tokens int, ids_crc32 bigint, doc_ids array<bigint>, ids binary"
     return rows.select("text", F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(over, schema)
 
 
+def _with_slots(sequences: DataFrame, first: dict[int, int], permutation: Permutation) -> DataFrame:
+    """Sequences with their number and slot. first: the number of each partition's first sequence."""
+
+    @F.pandas_udf("number bigint, slot bigint")
+    def of(part: pd.Series, place: pd.Series) -> pd.DataFrame:
+        number = part.map(first).to_numpy(np.int64) + place.to_numpy(np.int64)
+        return pd.DataFrame({"number": number, "slot": permutation.slots(number)})
+
+    return sequences.withColumn("_of", of("part", "place")).select("*", "_of.number", "_of.slot").drop("_of", "part", "place")
+
+
 def _open(folder: str):
     """(file system, path) of a folder that driver and executors share."""
     from pyarrow import fs
@@ -173,6 +167,7 @@ def _written(sequences: DataFrame, folder: str, length: int, width: int, per_sha
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = _open(folder)
         out, shard, name = None, None, None
+        unpack = zstandard.ZstdDecompressor().decompress
 
         def close() -> None:
             if out is not None:
@@ -188,7 +183,7 @@ def _written(sequences: DataFrame, folder: str, length: int, width: int, per_sha
                     shard = slot // per_shard
                     name = f"{base}/writing-{shard:06d}-{uuid.uuid4().hex}"
                     out = system.open_output_stream(name)
-                out.write(n.to_bytes(4, "little") + raw.ljust(length * width, b"\0"))
+                out.write(n.to_bytes(4, "little") + unpack(raw).ljust(length * width, b"\0"))
             at = np.array(slots, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -223,13 +218,16 @@ def materialise(
     """Writes the files and `order.json` to the folder, which all executors share, and returns a row for each sequence."""
     path = path or default_path()
     rows = texts(docs)
-    counts = _counts(rows, path)
-    total = sum(-(-n // length) for n in counts.values())
     width = 2 if tokenizer(path).highest < 1 << 16 else 4
+    sequences = staged(_sequences(rows, path, length, width))
+    first, total = {}, 0
+    for part, count in sorted(tuple(r) for r in sequences.groupBy("part").count().collect()):
+        first[part] = total
+        total += count
     system, base = _open(folder)
     system.create_dir(base, recursive=True)
-    sequences = _sequences(rows, path, counts, length, width, Permutation(total, key))
-    made = staged(_written(sequences, folder, length, width, per_shard, -(-total // per_shard)))
+    placed = _with_slots(sequences, first, Permutation(total, key))
+    made = staged(_written(placed, folder, length, width, per_shard, -(-total // per_shard)))
     about = {"sequences": total, "length": length, "width": width, "per_shard": per_shard, "key": key}
     with system.open_output_stream(f"{base}/order.json") as f:
         f.write(json.dumps(about).encode())

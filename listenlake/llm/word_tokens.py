@@ -8,7 +8,7 @@ signs are merged together by bpe.Merges; all others go through the library.
 from __future__ import annotations
 
 import json
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -33,12 +33,12 @@ def _byte_letters() -> dict[int, str]:
 class WordTokenizer:
     def __init__(self, path: str):
         import regex
-        from tokenizers import Tokenizer
 
         from listenlake.llm.bpe import Merges
 
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            told = json.load(f)
+        model, added = told["model"], [t["id"] for t in told["added_tokens"]]
         vocab, pairs = model["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         suffix = model["end_of_word_suffix"]
         ids = np.array([(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs], np.int64)
@@ -49,45 +49,53 @@ class WordTokenizer:
         self.cut = regex.compile(PATTERN).findall
         # Plain: no white space beside the split ones, nothing that normalisation or case folding may change in length.
         self.plain = regex.compile(r"[\x21-\x7E¡-įı-ɏ]*").fullmatch
-        self.library = Tokenizer.from_file(path)
-        self.highest = max(max(vocab.values()), max(self.library.get_vocab(with_added_tokens=True).values()))
+        self.path = path
+        self.highest = max([*vocab.values(), *added])
         self.known: dict[str, bytes] = {}
 
+    @cached_property
+    def library(self):
+        """Loaded where a text asks for it: it takes as much memory as all the rest."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    def _parts(self, w: str) -> list[str] | None:
+        """What the merges see of a word; None if the library must say."""
+        if w.isalpha() and (w.isascii() or self.plain(w)):
+            return [w.lower()]
+        body = w[:-1]
+        if w[-1:] in ",.!?;:" and body.isalpha() and (body.isascii() or self.plain(body)):
+            return [body.lower(), w[-1]]
+        return self.cut(w.lower()) if "<|" not in w and self.plain(w) else None
+
     def _learn(self, words: list[str]) -> None:
-        """Ids of words not met yet."""
-        parts: list[str] = []
-        counts: list[int] = []
-        plain: list[str] = []
+        """Ids of words not met yet. Words share parts (by case and by signs behind them), which are merged once."""
+        number: dict[str, int] = {}
+        made_of: list[tuple[str, list[int]]] = []
         other: list[str] = []
         for w in words:
-            if w.isalpha() and self.plain(w):
-                parts.append(w.lower())
-                counts.append(1)
-                plain.append(w)
-            elif "<|" not in w and self.plain(w):
-                found = self.cut(w.lower())
-                parts += found
-                counts.append(len(found))
-                plain.append(w)
-            else:
+            parts = self._parts(w)
+            if parts is None:
                 other.append(w)
+            else:
+                made_of.append((w, [number.setdefault(p, len(number)) for p in parts]))
         for w, e in zip(other, self.library.encode_batch_fast(other, add_special_tokens=False) if other else ()):
             self.known[w] = np.array(e.ids, "<u4").tobytes()
-        raw = [p.encode() for p in parts]
+        raw = [p.encode() for p in number]
         size = np.array([len(r) for r in raw], np.int64)
         flat = np.frombuffer(b"".join(raw), np.uint8)
         symbols = self.inner[flat]
         ends = np.cumsum(size) - 1
         symbols[ends] = self.last[flat[ends]]
         made, length = self.merges.merge(symbols, size)
-        data = made.astype("<u4").tobytes()
-        stop = np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)] * 4
-        bounds = stop.tolist()
-        for i, w in enumerate(plain):
-            self.known[w] = data[bounds[i] : bounds[i + 1]]
-
-    def _words(self, texts: list[str]) -> list[list[str]]:
-        """The words of each text, all of them known."""
+        data, stops = made.astype("<u4").tobytes(), (4 * np.cumsum(length)).tolist()
+        of = [data[a:b] for a, b in zip([0, *stops], stops)]
+        for w, parts in made_of:
+            self.known[w] = of[parts[0]] if len(parts) == 1 else b"".join([of[k] for k in parts])
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit numbers."""
         words = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
         if len(self.known) > KEPT:
             self.known.clear()
@@ -97,18 +105,9 @@ class WordTokenizer:
         new.difference_update(self.known)
         if new:
             self._learn(list(new))
-        return words
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit numbers."""
-        words, known = self._words(texts), self.known.__getitem__
+        known = self.known.__getitem__
         return [b"".join(map(known, w)) for w in words]
 
-    def counts(self, texts: list[str]) -> list[int]:
-        """How many ids each text has."""
-        words, known = self._words(texts), self.known.__getitem__
-        return [sum(map(len, map(known, w))) // 4 for w in words]
-
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> WordTokenizer:
@@ -122,7 +121,7 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def in_groups(texts: list[str], most: int = 4_000_000):
+def in_groups(texts: list[str], most: int = 2_000_000):
     """Runs of consecutive texts of about `most` characters: (place of the first, texts)."""
     at, size = 0, 0
     for i, t in enumerate(texts):
