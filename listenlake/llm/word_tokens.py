@@ -7,6 +7,7 @@ signs are merged together by bpe.Merges; all others go through the library.
 
 from __future__ import annotations
 
+import gc
 import json
 from functools import cached_property, lru_cache
 
@@ -96,6 +97,16 @@ class WordTokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
+        # Millions of strings and no cycles: the collector would only walk over them, an eighth of the time.
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         words = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
         if len(self.known) > KEPT:
             self.known.clear()
