@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Iterable
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: What separates words in the operators on shingles.
@@ -77,6 +77,27 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
+def one_row_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Of each component the row with the least (doc_id, text hash), of several such rows the one with the least hash of
+    all columns. Rows without doc_id stay. groups: (doc_id, text_hash, component) of every row."""
+    counted = groups.filter("doc_id IS NOT NULL").groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("rows"))
+    first = counted.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash", "rows")).alias("first"))
+    stay = first.select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"), F.col("first.rows").alias("_rows"))
+    stay = checkpointed(stay)
+    own = docs.withColumn("_own_hash", text_hash())
+    same = (F.col("doc_id") == F.col("_id")) & (F.col("_own_hash") == F.col("_hash"))
+    kept = own.join(stay, same, "left").filter(F.col("_id").isNotNull() | F.col("doc_id").isNull())
+    if not stay.filter("_rows > 1").isEmpty():
+        by = Window.partitionBy("doc_id", "_own_hash").orderBy(F.xxhash64(*docs.columns))
+        again = kept.filter("_rows > 1").withColumn("_rn", F.row_number().over(by)).filter("_rn = 1").drop("_rn")
+        kept = kept.filter("_rows IS NULL OR _rows = 1").unionByName(again)
+    return kept.select(*docs.columns)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value worked out once, though a lambda in body uses it for each element."""
     return F.transform(F.array(value), body)[0]
