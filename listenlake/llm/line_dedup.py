@@ -1,8 +1,10 @@
 """Line dedup by a deletion-neighbourhood join.
 
 Lines are what line ends part, without white space around them. A line of at least LEAST characters is dropped if an
-earlier line, in order of (doc_id, hash of the whole text, line number), equals it or is within edit distance 1 of it;
-shorter lines always stay. An earlier line counts whether or not it stays itself.
+earlier line, in order of (doc_id, hash of the whole text, line number), equals it or is within edit distance 1 of it. An
+earlier line counts whether or not it stays itself. Shorter lines stay, unless `signs` is given: then those with so many
+letters and digits, underscores aside, go too where an earlier line equals them. With signs=1 LEAST is a bound on edits
+alone, and of short lines only blank ones and those of punctuation always stay.
 
 Equal lines meet by a 128-bit hash, and of each distinct line only its first place goes on. For edit distance 1, every
 line emits the hash of each variant with one character left out, and of itself: lines that differ by a replaced character
@@ -49,6 +51,11 @@ def bare(line: str) -> str:
     return line.strip(" \t\n\x0b\x0c\r")
 
 
+def counts_as_line(line: str, least: int, signs: int | None) -> bool:
+    """Whether a bare line may be dropped at all."""
+    return len(line) >= least or (signs is not None and sum(map(str.isalnum, line)) >= signs)
+
+
 def anchors(line: str, parts: int) -> list[int]:
     """Hashes of the line without its jth part, for each j and for a partner of its own length or one less."""
     n, out = len(line), []
@@ -60,8 +67,8 @@ def anchors(line: str, parts: int) -> list[int]:
     return out
 
 
-def _lines(docs: DataFrame, least: int, edits: int) -> DataFrame:
-    """A row for each line that is long enough: its hash, place and anchors."""
+def _lines(docs: DataFrame, least: int, edits: int, signs: int | None) -> DataFrame:
+    """A row for each line that may be dropped: its hash, place and, if it is long enough for edits, anchors."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,12 +76,12 @@ def _lines(docs: DataFrame, least: int, edits: int) -> DataFrame:
             for i, text in enumerate(batch.column(2).to_pylist()):
                 for k, line in enumerate(split(text or "")):
                     line = bare(line)
-                    if len(line) >= least:
+                    if counts_as_line(line, least, signs):
                         of.append(i)
                         place.append(k)
                         chars.append(len(line))
                         ids.append(xxhash.xxh3_128_digest(line.encode()))
-                        rests.append(anchors(line, 2) if edits else [])
+                        rests.append(anchors(line, 2) if edits and len(line) >= least else [])
             both = np.frombuffer(b"".join(ids), "<i8").reshape(-1, 2)
             rows = pa.array(of, pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -234,11 +241,11 @@ def near_repeats(lines: DataFrame) -> DataFrame:
     return _verified(links, lines).select(F.col("a1").alias("id1"), F.col("a2").alias("id2")).distinct()
 
 
-def kept_lines(docs: DataFrame, least: int = LEAST, edits: int = EDITS) -> DataFrame:
-    """(doc_id, doc_hash, line_no) of the long enough lines that stay."""
+def kept_lines(docs: DataFrame, least: int = LEAST, edits: int = EDITS, signs: int | None = None) -> DataFrame:
+    """(doc_id, doc_hash, line_no) of the lines that stay among those that may be dropped."""
     if edits not in (0, 1):
         raise ValueError("the edit bound is 0 or 1")
-    lines = _lines(docs, least, edits)
+    lines = _lines(docs, least, edits, signs)
     distinct = lines.groupBy("id1", "id2").agg(_first("anchors"))
     distinct = staged(distinct.select("id1", "id2", "first.doc_id", "first.doc_hash", "first.line_no", "first.anchors"))
     stay = distinct.drop("anchors")
@@ -252,11 +259,13 @@ def kept_lines(docs: DataFrame, least: int = LEAST, edits: int = EDITS) -> DataF
     return stay.select("doc_id", "doc_hash", "line_no")
 
 
-def dedup_lines(docs: DataFrame, least: int = LEAST, edits: int = EDITS, counts: bool = False) -> DataFrame:
+def dedup_lines(
+    docs: DataFrame, least: int = LEAST, edits: int = EDITS, counts: bool = False, signs: int | None = None
+) -> DataFrame:
     """Documents with repeated lines taken out of `text` and n_chars brought up to date; counts: with n_lines and
     n_dropped."""
     names = docs.columns
-    stay = kept_lines(docs, least, edits).groupBy("doc_id", "doc_hash").agg(F.collect_list("line_no").alias("_stay"))
+    stay = kept_lines(docs, least, edits, signs).groupBy("doc_id", "doc_hash").agg(F.collect_list("line_no").alias("_stay"))
     stay = stay.select(F.col("doc_id").alias("_id"), F.col("doc_hash").alias("_hash"), "_stay")
     marked = docs.withColumn("_own_hash", _doc_hash())
     met = marked.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_own_hash") == F.col("_hash")), "left")
@@ -269,7 +278,7 @@ def dedup_lines(docs: DataFrame, least: int = LEAST, edits: int = EDITS, counts:
                 rows.append((None, 0, 0))
                 continue
             own, s = split(t), set() if s is None else set(s)
-            kept = [x for k, x in enumerate(own) if k in s or len(bare(x)) < least]
+            kept = [x for k, x in enumerate(own) if k in s or not counts_as_line(bare(x), least, signs)]
             rows.append((t if len(kept) == len(own) else "\n".join(kept), len(own), len(own) - len(kept)))
         return pd.DataFrame(rows, columns=["text", "n_lines", "n_dropped"])
 

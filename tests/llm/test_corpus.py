@@ -122,3 +122,13 @@ def test_pipeline_stages(spark, tmp_path):
     direct = corpus_pipeline.run(spark, str(tmp_path)).collect()
     key = lambda r: (r.doc_id, r.piece, r.length, r.ids_crc32)
     assert sorted(map(key, direct)) == sorted(map(key, placed))
+
+
+def test_line_stage_drops_short_equal_lines(spark):
+    rows = [(i, f"body of {i}\n  All rights reserved.\n\n}}\nend {i}") for i in range(6)]
+    rows += [(10, "All rights reserved!"), (11, "All rights reserved.\nAll rights reserved."), (12, None)]
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, n_chars long").repartition(3)
+    got = {r.doc_id: r for r in corpus_pipeline.line_stage(spark, docs, "").collect()}
+    assert got[0].text == rows[0][1]
+    assert all(got[i].text == f"body of {i}\n\n}}\nend {i}" and got[i].n_chars == len(got[i].text) for i in range(1, 6))
+    assert got[10].text == "All rights reserved!" and got[11].text == "" and got[12].text is None  # no edits on short lines
