@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from listenlake.llm.common import checkpointed, staged, texts
+from listenlake.llm.common import checkpointed, one_row_each, staged, text_hash, texts
 from listenlake.llm.components import components
 
 SHINGLE = 3
@@ -60,16 +60,19 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """(doc_id, bits): the fingerprint as a signed long."""
-    rows = texts(docs)
+def fingerprints(docs: DataFrame, width: int = SHINGLE, hashes: bool = False) -> DataFrame:
+    """(doc_id, bits): the fingerprint as a signed long; hashes: and the hash of the text."""
+    rows = texts(docs, *([text_hash().alias("text_hash")] if hashes else []))
+    more = ["text_hash"] if hashes else []
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bits = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits)], names=["doc_id", "bits"])
+            columns = [batch.column(0), pa.array(bits), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "bits", *more])
 
-    return rows.mapInArrow(over, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, bits bigint")
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, bits bigint"
+    return rows.mapInArrow(over, schema + ", text_hash bigint" * hashes)
 
 
 def masks(radius: int = RADIUS) -> list[int]:
@@ -171,28 +174,27 @@ def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Da
     return _small_links(small, radius).unionByName(_large_links(large, radius, tables)).distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """(doc_id, bits, component_id) of every document: component_id is the least doc_id that links lead to."""
-    each = staged(fingerprints(docs, width))
+def _grouped(each: DataFrame, radius: int, bucket: int) -> DataFrame:
+    """Rows of each (doc_id, bits and others) with their component, a fingerprint, and component_id, its least doc_id."""
     distinct = checkpointed(each.groupBy("bits").agg(F.min("doc_id").alias("least")))
     groups = components(links(distinct.select("bits"), radius, bucket))
     labelled = distinct.join(groups, distinct["bits"] == groups["node"], "left")
     labelled = labelled.select("bits", "least", F.coalesce("component", "bits").alias("component"))
     least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = labelled.join(least, "component").select("bits", "component_id")
-    return each.join(named, "bits").select("doc_id", "bits", "component_id")
+    return each.join(labelled.join(least, "component").select("bits", "component", "component_id"), "bits")
+
+
+def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+    """(doc_id, bits, component_id) of every document: component_id is the least doc_id that links lead to."""
+    return _grouped(staged(fingerprints(docs, width)), radius, bucket).select("doc_id", "bits", "component_id")
 
 
 def bits_hex(bits: Column) -> Column:
     return F.lower(F.lpad(F.hex(bits), BITS // 4, "0"))
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """Documents without near-duplicates: of each component the document with the least doc_id stays; of rows that share
-    that doc_id the one with the least text hash. Documents without doc_id stay."""
-    names = docs.columns
-    groups = near_duplicates(docs, **options).filter("doc_id IS NOT NULL")
-    stay = groups.groupBy("component_id").agg(F.min("doc_id").alias("_stay")).select("_stay")
-    kept = docs.join(stay, docs["doc_id"] == stay["_stay"], "left")
-    kept = kept.filter(F.col("_stay").isNotNull() | docs["doc_id"].isNull())
-    return kept.select(*[docs[n] for n in names])
+def keep_one(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+    """Documents without near-duplicates: of each component the row with the least (doc_id, text hash) stays, one of equal
+    rows. Rows without doc_id stay."""
+    each = staged(fingerprints(docs, width, hashes=True))
+    return one_row_each(docs, _grouped(each, radius, bucket).select("doc_id", "text_hash", "component"))

@@ -100,6 +100,15 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_keep_one_keeps_one_row_of_a_component(spark):
+    """Repeated rows, and a row that shares the kept doc_id but stands in a group with an earlier member."""
+    one, two = "a text that stands in one group", "quite another text in a second group"
+    rows = [(5, one)] * 3 + [(5, two), (3, two), (7, one), (9, "a third that is alone"), (None, one)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in simhash.keep_one(docs).collect()]
+    assert sorted(got, key=str) == sorted([(5, one), (3, two), (9, "a third that is alone"), (None, one)], key=str)
+
+
 def test_op3_on_a_table(spark):
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     rows = {r.doc_id: r for r in op3_simhash_near_dedup(spark, SMALL).collect()}
