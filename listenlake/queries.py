@@ -582,8 +582,7 @@ def stream_ingest(t):
 @query
 def stream_without_repeats(t):
     lake = t.scratch_lake()
-    fresh = SP.without_repeats(t.event_stream())
-    SP.append_rows(fresh, lake, "silver/fresh", lake.path("_fresh")).awaitTermination()
+    SP.store_first_copies(t.event_stream(), lake, "silver/fresh", lake.path("_fresh"), BUCKET).awaitTermination()
     return lake.read("silver/fresh").select("username", "scrobbled_at", "track_id", "artist_name")
 
 

@@ -244,6 +244,25 @@ class Lake:
         report.rejected = count - good
         return report
 
+    def insert_new(self, source: DataFrame, name: str, keys: Sequence[str], partition_by: Sequence[str] = ()) -> WriteReport:
+        """Add one row of each key the table lacks; stored rows stay as they are. Partitions the source does not touch are
+        not read. Rows whose key has a NULL go to ``<name>__rejects``."""
+        old = self.version(name)
+        if old is None:
+            return self.upsert(source, name, keys, partition_by)
+        keyed = F.lit(True)
+        for key in keys:
+            keyed = keyed & F.col(key).isNotNull()
+        with self._staged(source.select(old.schema.names)) as rows:
+            rejected = rows.filter(~keyed).count()
+            if rejected:
+                self.write(rows.filter(~keyed), f"{name}__rejects", "append")
+            good = rows.filter(keyed)
+            known = self._rows(name, old, self._values(good, old.partition_by))
+            report = self.write(delete_frame(one_per_key(good, list(keys)), known, keys), name, "append")
+        report.inserted, report.rejected = report.rows, rejected
+        return report
+
     def _upserted(self, source, name, keys, partition_by, old: Version | None, rows: int) -> WriteReport:
         if old is None:
             report = self.write(one_per_key(source, list(keys)), name, "error", partition_by)

@@ -53,10 +53,22 @@ def ingest(plays: DataFrame, lake: Lake, table: str, checkpoint: str, partition_
 
 
 def without_repeats(plays: DataFrame, delay: str = "1 day") -> DataFrame:
-    """First copy of each play; a copy is recognised as long as it comes within ``delay``."""
+    """First copy of each play that comes within ``delay`` of the latest one of earlier batches; later plays are left out,
+    also those never seen before (``store_first_copies`` keeps them)."""
     return plays.withWatermark("scrobbled_at_utc", delay).dropDuplicatesWithinWatermark(PLAY_KEY)
 
 
+def store_first_copies(
+    plays: DataFrame, lake: Lake, table: str, checkpoint: str, partition_by: Sequence[str] = ()
+) -> StreamingQuery:
+    """First copy of each play, however late it comes: a batch adds what the table lacks by (user, time)."""
+
+    def apply(batch: DataFrame, _: int) -> None:
+        lake.insert_new(placed(batch, partition_by), table, PLAY_KEY, partition_by)
+
+    return run_batches(plays, apply, checkpoint)
+
+
 def daily_counts(plays: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Plays per user and day so far. Plays that come later than ``delay`` after their day was closed are not counted;
     ``late_rows`` tells how many."""

@@ -83,3 +83,13 @@ def test_refresh_of_all_statistics(spark, lake, tmp_path):
     assert rows(lake.read("users"), *who.columns) == rows(who)
     expected = artist_play_counts(plays, who, tracks, artists, "2025-02-01 00:00:00")
     assert rows(lake.read("artist_counts"), *expected.columns) == rows(expected)
+
+
+def test_first_copies_are_kept_however_late(spark, lake, tmp_path):
+    source = str(tmp_path / "landed")
+    batches = [land(spark, source, i, data) for i, data in enumerate([DAYS[2], DAYS[2], DAYS[0], DAYS[1]])]
+    stream = SP.landed_files(spark, source, batches[0].schema, files_per_batch=1)
+    SP.store_first_copies(stream, lake, "fresh", lake.path("_f"), ["user_bucket"]).awaitTermination()
+    got = rows(lake.read("fresh"), "username", "scrobbled_at", "track_id")
+    union = batches[0].unionByName(batches[2]).unionByName(batches[3])
+    assert got == rows(one_per_key(union, SP.PLAY_KEY), "username", "scrobbled_at", "track_id") and len(got) == 4
