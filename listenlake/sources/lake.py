@@ -259,7 +259,11 @@ class Lake:
                 self.write(rows.filter(~keyed), f"{name}__rejects", "append")
             good = rows.filter(keyed)
             known = self._rows(name, old, self._values(good, old.partition_by))
-            report = self.write(delete_frame(one_per_key(good, list(keys)), known, keys), name, "append")
+            with self._staged(delete_frame(one_per_key(good, list(keys)), known, keys).select(old.schema.names)) as new:
+                if new.isEmpty():
+                    report = WriteReport(self.path(name), skipped=True, reason="no new key", columns=old.schema.names)
+                else:
+                    report = self.write(new, name, "append")
         report.inserted, report.rejected = report.rows, rejected
         return report
 
