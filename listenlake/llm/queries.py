@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
-from listenlake.llm import ops_join, ops_lines, ops_native, ops_tokens, ops_toxicity, twins
+from listenlake.llm import (
+    ops_join,
+    ops_lines,
+    ops_merkle,
+    ops_native,
+    ops_ngram,
+    ops_ranked,
+    ops_tokens,
+    ops_toxicity,
+    twins,
+)
 
 QUERIES = {
     **ops_toxicity.QUERIES,
@@ -10,5 +20,14 @@ QUERIES = {
     **ops_join.QUERIES,
     **ops_native.QUERIES,
     **ops_lines.QUERIES,
+    **ops_merkle.QUERIES,
+    **ops_ngram.QUERIES,
+    **ops_ranked.QUERIES,
+}
+ORACLES: dict[str, str] = {
+    **ops_lines.ORACLES,
+    **ops_merkle.ORACLES,
+    **ops_ngram.ORACLES,
+    **ops_ranked.ORACLES,
+    **twins.ORACLES,
 }
-ORACLES: dict[str, str] = {**ops_lines.ORACLES, **twins.ORACLES}
