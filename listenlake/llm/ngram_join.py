@@ -53,38 +53,93 @@ CHUNK = 1_000_000  # shingles that a task counts together
 BLOCK = 256
 FEW = 4
 SMALL = 500_000  # so many rows of three longs, 12 MB, may be broadcast
-KNOWN = 500_000  # words whose hash a worker keeps
+SALTS = 4096
+SHARE = 256  # members of a head that count as one task's work
 
 _draw = np.random.default_rng(42)
 TIMES = _draw.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KNOWN:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_words = _Words()
+class _Powers:
+    """Powers of an odd number modulo 2^64, and of its inverse."""
+
+    BASE = int(TIMES[-3])
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = 1 << n.bit_length()
+            self.up, self.down = (np.full(size, x, np.uint64) for x in (self.BASE, pow(self.BASE, -1, 1 << 64)))
+            self.up[0] = self.down[0] = 1
+            np.multiply.accumulate(self.up, out=self.up)
+            np.multiply.accumulate(self.down, out=self.down)
+        return self.up, self.down
+
+
+_powers = _Powers()
+SPACES = np.isin(np.arange(256), [32, *range(9, 14)])
+LETTERS = _draw.integers(0, 1 << 64, 256, dtype=np.uint64)
+LETTERS[65:91] = LETTERS[97:123]
+
+
+def _mixed(values: np.ndarray) -> np.ndarray:
+    for shift, times in ((33, TIMES[-1]), (29, TIMES[-2])):
+        values = (values ^ (values >> np.uint64(shift))) * times
+    return values ^ (values >> np.uint64(32))
+
+
+def _word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words in UTF-8 texts that follow one another and end at `ends`, and the number of words up to each end.
+    A word's hash is a polynomial of its letters: a difference of two sums over all letters before, moved to place 0."""
+    up, down = _powers.upto(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(LETTERS[data] * up[: len(data)], out=sums[1:])
+    inside = ~SPACES[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[0] = edge[ends] = True
+    starts = np.flatnonzero(inside & (edge[:-1] | ~np.concatenate([[False], inside[:-1]])))
+    stops = np.flatnonzero(inside & (edge[1:] | ~np.concatenate([inside[1:], [False]]))) + 1
+    return _mixed((sums[stops] - sums[starts]) * down[starts]), np.searchsorted(starts, ends)
+
+
+def _shingled(data: np.ndarray, ends: np.ndarray, width: int) -> list[np.ndarray]:
+    """The distinct shingle hashes of each text, in order."""
+    h, upto = _word_hashes(data, ends)
+    every = np.zeros(max(0, len(h) - width + 1), np.uint64)
+    for j in range(width if len(every) else 0):
+        every += h[j : len(h) - width + 1 + j] * TIMES[j]
+    every = _mixed(every + np.uint64(width))
+    out, first = [], 0
+    for last in upto.tolist():
+        if last - first >= width:
+            own = every[first : last - width + 1]
+        else:
+            own = (h[first:last] * TIMES[: last - first]).sum(keepdims=True, dtype=np.uint64) + np.uint64(last - first)
+            own = _mixed(own) if last > first else own[:0]
+        own = np.sort(own)
+        out.append(own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) > 1 else own)
+        first = last
+    return out
+
+
+def shingle_sets(column: pa.Array, width: int = WIDTH, most: int = 1_000_000) -> Iterator[np.ndarray]:
+    """The distinct shingle hashes of each text of a column, worked out for about `most` bytes at a time."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    first = 0
+    while first < len(column):
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + most, side="right")) - 1)
+        part = data[offsets[first] : offsets[last]]
+        with np.errstate(over="ignore"):
+            yield from _shingled(part, offsets[first + 1 : last + 1] - offsets[first], width)
+        first = last
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
-    """Distinct hashes of a text's shingles, in order."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    wide = min(width, len(words))
-    with np.errstate(over="ignore"):
-        out = np.full(len(words) - wide + 1, wide, np.uint64)
-        for j in range(wide):
-            out += h[j : len(h) - wide + 1 + j] * TIMES[j]
-        for shift, times in ((33, TIMES[-1]), (29, TIMES[-2])):
-            out = (out ^ (out >> np.uint64(shift))) * times
-        out ^= out >> np.uint64(32)
-    return np.unique(out)
+    return next(shingle_sets(pa.array([text or ""]), width))
 
 
 def head_length(n: int, similarity: int) -> int:
@@ -134,7 +189,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t, width) for t in batch.column(1).to_pylist()]
+            sets = list(shingle_sets(batch.column(1), width))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -163,8 +218,8 @@ def _frequencies(docs: DataFrame, width: int, fragments: int, more_than: int) ->
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.append(keys(shingles(text, width), fragments))
+            for hashes in shingle_sets(batch.column(0), width):
+                held.append(keys(hashes, fragments))
                 size += len(held[-1])
                 if size >= CHUNK:
                     yield from _packed(held)
@@ -235,53 +290,29 @@ class Order:
         return rare, often[np.lexsort((often, df))[: want - len(rare)]]
 
 
-def _heads(docs: DataFrame, width: int, similarity: int, order, frequent: bool) -> DataFrame:
-    """(token, id, n): the frequent shingles in the heads of all sets, or all others in them."""
+def _heads(docs: DataFrame, width: int, similarity: int, order) -> DataFrame:
+    """(token, salt, id): the shingles in the heads of all sets. Frequent ones have a salt from 1 on, others 0."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, ids, sizes = [], [], []
+            tokens, ids, salts = [], [], []
             seen: set[int] = set()
-            for text in batch.column(0).to_pylist():
-                hashes = shingles(text, width)
+            for hashes in shingle_sets(batch.column(0), width):
                 name = xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
-                if len(hashes) and name not in seen:
-                    seen.add(name)
-                    part = order.value.head(hashes, similarity)[frequent]
+                if not len(hashes) or name in seen:
+                    continue
+                seen.add(name)
+                for part, salt in zip(order.value.head(hashes, similarity), (0, 1 + name % SALTS)):
                     tokens.append(part)
                     ids.append(np.full(len(part), name, np.int64))
-                    sizes.append(np.full(len(part), len(hashes), np.int64))
-            join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+                    salts.append(np.full(len(part), salt, np.int32))
+            join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(join(tokens).view(np.int64)), pa.array(join(ids)), pa.array(join(sizes))], names=["token", "id", "n"]
+                [pa.array(join(tokens, np.uint64).view(np.int64)), pa.array(join(salts, np.int32)), pa.array(join(ids, np.int64))],
+                names=["token", "salt", "id"],
             )
 
-    return texts(docs).select("text").mapInArrow(over, "token bigint, id bigint, n bigint")
-
-
-def _segments(docs: DataFrame, sets: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(id, fragment, hashes) of the wanted sets (id), cut at SEGMENTS equal steps of the order."""
-    first = checkpointed(sets.join(wanted, "id", "left_semi").select("id", "first.doc_id", "first.text_hash"))
-    rows = texts(docs, text_hash().alias("text_hash"))
-    same = rows["doc_id"].eqNullSafe(first["doc_id"]) & (rows["text_hash"] == first["text_hash"])
-    met = rows.join(F.broadcast(first) if first.count() <= SMALL else first, same).select("id", "text")
-
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuts = np.array([(f << 64) // SEGMENTS for f in range(1, SEGMENTS)], np.uint64)
-        for batch in batches:
-            ids, numbers, parts = [], [], []
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                hashes = shingles(text, width)
-                for f, part in enumerate(np.split(hashes, np.searchsorted(hashes, cuts))):
-                    ids.append(name)
-                    numbers.append(f)
-                    parts.append(part.astype("<u8").tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(parts, pa.binary())],
-                names=["id", "fragment", "hashes"],
-            )
-
-    return staged(met.mapInArrow(over, "id bigint, fragment int, hashes binary").dropDuplicates(["id", "fragment"]))
+    return texts(docs).select("text").mapInArrow(over, "token bigint, salt int, id bigint")
 
 
 # ---- lists of sets that share a shingle of their heads
@@ -292,39 +323,47 @@ def _ended(batches):
     yield None
 
 
-def _short_lists(rows: DataFrame) -> DataFrame:
-    """(ids) of the sets with one shingle in their heads, where there are two or more. A shingle's rows are neighbours."""
+def _lists(rows: DataFrame) -> DataFrame:
+    """(token, frequent, ids) of the sets with one shingle in their heads; of shingles that are not frequent only where there
+    are two or more. The rows of a shingle and salt are neighbours, and a list of frequent ones is in one row for each salt."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = np.zeros((2, 0), np.int64)
+        rest = [np.zeros(0, np.int64)] * 3
         for batch in _ended(batches):
             if batch is None:
-                token, ids, stop = rest[0], rest[1], rest.shape[1]
+                token, salt, ids = rest
+                stop = len(token)
             else:
-                token = np.concatenate([rest[0], batch.column(0).to_numpy()])
-                ids = np.concatenate([rest[1], batch.column(1).to_numpy()])
-                stop = int(np.searchsorted(token, token[-1])) if len(token) else 0
-            rest = np.stack([token[stop:], ids[stop:]])
-            token, ids = token[:stop], ids[:stop]
+                token, salt, ids = (np.concatenate([r, c.to_numpy()]) for r, c in zip(rest, batch.columns))
+                ends = np.flatnonzero((token[1:] != token[:-1]) | (salt[1:] != salt[:-1]))
+                stop = int(ends[-1]) + 1 if len(ends) else 0
+            rest = [token[stop:], salt[stop:], ids[stop:]]
+            token, salt, ids = token[:stop], salt[:stop], ids[:stop]
             if not stop:
                 continue
-            fresh = np.concatenate([[True], (token[1:] != token[:-1]) | (ids[1:] != ids[:-1])])
-            token, ids = token[fresh], ids[fresh]
-            starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            new = np.concatenate([[True], (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])])
+            fresh = new | np.concatenate([[True], ids[1:] != ids[:-1]])
+            token, salt, ids, new = token[fresh], salt[fresh], ids[fresh], new[fresh]
+            starts = np.flatnonzero(new)
             stops = np.append(starts[1:], len(token))
-            many = stops - starts > 1
-            lists = [ids[a:b] for a, b in zip(starts[many].tolist(), stops[many].tolist())]
-            if lists:
-                yield pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.int64()))], names=["ids"])
+            keep = (stops - starts > 1) | (salt[starts] > 0)
+            starts, stops = starts[keep], stops[keep]
+            if len(starts):
+                lists = [ids[a:b] for a, b in zip(starts.tolist(), stops.tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(token[starts]), pa.array(salt[starts] > 0), pa.array(lists, pa.list_(pa.int64()))],
+                    names=["token", "frequent", "ids"],
+                )
 
-    return rows.repartition("token").sortWithinPartitions("token", "id").select("token", "id").mapInArrow(over, "ids array<bigint>")
+    near = rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "id")
+    return near.mapInArrow(over, "token bigint, frequent boolean, ids array<bigint>")
 
 
 class Join:
-    """What the steps share: sets (id, n, bits, first) and the segments of those that are in lists."""
+    """What the steps share: the texts, and sets (id, n, bits, first)."""
 
-    def __init__(self, sets: DataFrame, segments: DataFrame, similarity: int):
-        self.sets, self.segments, self.similarity = sets, segments, similarity
+    def __init__(self, docs: DataFrame, sets: DataFrame, width: int, similarity: int):
+        self.docs, self.sets, self.width, self.similarity = docs, sets, width, similarity
 
     def _may_link(self, pairs: DataFrame) -> DataFrame:
         """(a, b, size): pairs whose sizes and parities allow a link; size is that of both sets."""
@@ -347,16 +386,60 @@ class Join:
         return checkpointed(met.filter(may("bits_a", "bits_b", "size")).select("a", "b", "size"))
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """(a, b) of the pairs that link: common shingles are counted in each fragment and added up."""
-
-        @F.pandas_udf("long")
-        def common(a: pd.Series, b: pd.Series) -> pd.Series:
-            sets = ((np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) for x, y in zip(a, b))
-            return pd.Series([len(np.intersect1d(x, y, assume_unique=True)) for x, y in sets], dtype="int64")
-
-        side = lambda s: self.segments.select(F.col("id").alias(s), "fragment", F.col("hashes").alias(f"of_{s}"))
-        met = self._may_link(pairs).join(side("b"), "b").join(side("a"), ["a", "fragment"])
-        parts = met.select("a", "b", "size", common("of_a", "of_b").alias("common"))
+        """(a, b) of the pairs that link: common shingles are counted in each fragment and added up. The segments of b go to
+        those of a; an a with many partners is in several places."""
+        pairs = self._may_link(pairs)
+        degrees = pairs.groupBy("a").agg(F.least(F.lit(SALTS), F.ceil(F.count("*") / SHARE)).cast("int").alias("salts"))
+        degrees = checkpointed(degrees)
+        met = pairs.join(F.broadcast(degrees) if degrees.count() <= SMALL else degrees, "a")
+        to = lambda key, salt, member, size: F.struct(key.alias("a"), salt.alias("salt"), member.alias("b"), size.alias("size"))
+        none = F.lit(None).cast("bigint")
+        own = degrees.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+        own = own.select(F.col("a").alias("id"), to(F.col("a"), F.col("salt"), none, none).alias("to"))
+        other = to(F.col("a"), F.pmod(F.xxhash64("b"), "salts").cast("int"), F.col("b"), F.col("size"))
+        sent = own.unionByName(met.select(F.col("b").alias("id"), other.alias("to"))).groupBy("id").agg(F.collect_list("to").alias("to"))
+        sent = checkpointed(sent.join(self.sets.select("id", "first.doc_id", "first.text_hash"), "id"))
+        rows = texts(self.docs, text_hash().alias("text_hash"))
+        same = rows["doc_id"].eqNullSafe(sent["doc_id"]) & (rows["text_hash"] == sent["text_hash"])
+        with_text = rows.join(F.broadcast(sent) if sent.count() <= SMALL else sent, same).select("id", "text", "to")
+        width = self.width
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cuts = np.array([(f << 64) // SEGMENTS for f in range(1, SEGMENTS)], np.uint64)
+            for batch in batches:
+                out = [[] for _ in range(6)]
+                for hashes, to in zip(shingle_sets(batch.column(1), width), batch.column(2).to_pylist()):
+                    for f, part in enumerate(np.split(hashes, np.searchsorted(hashes, cuts))):
+                        part = part.astype("<u8").tobytes()
+                        for t in to:
+                            for column, value in zip(out, (t["a"], t["salt"], f, t["b"], t["size"], part)):
+                                column.append(value)
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+                names = ["a", "salt", "fragment", "b", "size", "hashes"]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=names)
+
+        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            place, head, last = None, None, None
+            for batch in batches:
+                out = [[] for _ in range(4)]
+                for *at, b, size, hashes in zip(*(c.to_pylist() for c in batch.columns)):
+                    hashes = np.frombuffer(hashes, "<u8")
+                    if b is None:
+                        place, head = at, hashes
+                        continue
+                    if at != place:
+                        raise RuntimeError(f"no segment of {at}")
+                    if (at, b) == last:  # the set's first document is there twice
+                        continue
+                    last = (at, b)
+                    both = len(np.intersect1d(head, hashes, assume_unique=True))
+                    for column, value in zip(out, (at[0], b, size, both)):
+                        column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b", "size", "common"])
+
+        segments = with_text.mapInArrow(cut, "a bigint, salt int, fragment int, b bigint, size bigint, hashes binary")
+        near = segments.repartition("a", "salt", "fragment").sortWithinPartitions("a", "salt", "fragment", F.col("b").asc_nulls_first())
+        parts = near.mapInArrow(counted, "a bigint, b bigint, size bigint, common bigint")
         added = parts.groupBy("a", "b").agg(F.first("size").alias("size"), F.sum("common").alias("common"))
         enough = F.col("common") * (100 + self.similarity) >= F.col("size") * self.similarity
         return checkpointed(added.filter(enough).select("a", "b"))
@@ -385,6 +468,15 @@ class Join:
         met = rows.join(known.withColumnRenamed("node", "id"), "id", "left")
         return met.withColumn("component", F.coalesce("component", "id"))
 
+    def apart(self, pairs: DataFrame, known: DataFrame) -> DataFrame:
+        """Pairs (a, b) of different components."""
+        side = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+        met = pairs.join(side("b"), "b", "left").join(side("a"), "a", "left")
+        return met.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+
+    def near(self, long: DataFrame, short: DataFrame, known: DataFrame) -> DataFrame:
+        return self.in_long(long, known, FEW).unionByName(self.in_short(short, known)).distinct()
+
     def in_short(self, lists: DataFrame, known: DataFrame) -> DataFrame:
         """Pairs of lists (list, ids) of few sets."""
         rows = self.placed(lists.filter(F.size("ids") > 2).select("list", F.explode("ids").alias("id")), known)
@@ -441,22 +533,21 @@ def linked(
     fragments = max(1, -(-total // COUNTED))
     order = spark.sparkContext.broadcast(Order(*_hot(_frequencies(docs, width, fragments, frequent), hot), fragments))
 
-    short = _short_lists(_heads(docs, width, similarity, order, False))
-    short = staged(short.withColumn("list", F.xxhash64("ids")).dropDuplicates(["list"]))
-    long = staged(_heads(docs, width, similarity, order, True).select("token", "id").distinct())
-    listed = short.select(F.explode("ids").alias("id")).unionByName(long.select("id")).distinct()
-    join = Join(sets, _segments(docs, sets, listed, width), similarity)
+    lists = staged(_lists(_heads(docs, width, similarity, order)))
+    short = lists.filter("NOT frequent").select(F.xxhash64("ids").alias("list"), "ids").dropDuplicates(["list"])
+    short = checkpointed(short)
+    long = checkpointed(lists.filter("frequent").select("token", F.explode("ids").alias("id")).distinct())
+    join = Join(docs, sets, width, similarity)
+
+    star = short.select(F.get("ids", F.lit(0)).alias("a"), F.explode(F.slice("ids", 2, 1 << 30)).alias("b"))
+    heads = long.groupBy("token").agg(F.min("id").alias("a"))  # at most HOT rows of two longs
+    wide = long.join(F.broadcast(heads), "token").select("a", F.col("id").alias("b")).filter("a != b")
+    star = checkpointed(star.unionByName(wide).distinct())
 
-    star = short.select(F.explode(F.slice("ids", 2, 1 << 30)).alias("a"), F.get("ids", F.lit(0)).alias("b"))
-    heads = long.groupBy("token").agg(F.min("id").alias("b"))  # at most HOT rows of two longs
-    wide = long.join(F.broadcast(heads), "token").select(F.col("id").alias("a"), "b").filter("a != b")
-    links = join.links(star.unionByName(wide).distinct())
+    links = join.links(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     known = checkpointed(components(links))
-    for few in (FEW, None):
-        more = join.in_long(long, known, few)
-        if few:
-            more = more.unionByName(join.in_short(short, known)).distinct()
-        new = join.links(more)
+    for step in (lambda: join.apart(star, known), lambda: join.near(long, short, known), lambda: join.in_long(long, known, None)):
+        new = join.links(step())
         if not new.isEmpty():
             links = links.unionByName(new)
             known = checkpointed(components(links))
