@@ -11,16 +11,18 @@ Which pairs are counted: two sets that link share a shingle among the first n -
 texts, also by fragments, with counts added up within a task first. So the list of sets with one shingle in their head is
 short for all but the frequent ones, which stand in the heads only of sets that hold little else.
 
-    1. In each list all sets are paired with the least; pairs that link give components.
-    2. Lists whose sets lie in one component are done. In short lists the sets of different components are compared; in
-       long ones, in blocks of bounded size, those outside the list's largest component with all.
+    1. In each list all sets are paired with the least; pairs that link give components. Each set first meets the least of
+       all its partners, then those of another component.
+    2. Lists whose sets lie in one component are done. In short lists the sets of different components are compared. Lists
+       of frequent shingles with a set in common form a cluster, in which each set is one row however many lists it is in;
+       blocks of a cluster's sets outside its largest component are compared with one another and with all of that.
     3. Comparisons go by parity bits of the sets: each differing bit is a shingle that one set lacks, so the bits give an
-       upper bound for the common shingles that loses no pair. What passes is counted. Of long lists first FEW partners a
-       set and block are counted, and the components joined; the rest then, which by then is little.
+       upper bound for the common shingles that loses no pair. What passes is counted. Of clusters first FEW partners a
+       set and task are counted, and the components joined; the rest then, which by then is little.
 
 So every pair of different components is either excluded by an exact bound or counted, and no group is expanded into all
-pairs. A list of m sets that stay apart takes m * m / BLOCK rows; it takes sets that share four fifths of frequent shingles
-and still don't link.
+pairs. A cluster of m sets that stay apart takes m * m / BLOCK rows; it takes sets of which four fifths are frequent
+shingles and which still don't link.
 
 At most HOT frequent shingles are told to the tasks (16 bytes each); with more, the bound is raised, which costs longer
 lists and no links. Set ids have 64 bits: of 10^10 different sets about three pairs are taken for equal.
@@ -50,7 +52,7 @@ HOT = 1_000_000
 SEGMENTS = 4  # fragments of the order for common shingles
 COUNTED = 4_000_000  # shingles of a fragment of the counts
 CHUNK = 1_000_000  # shingles that a task counts together
-BLOCK = 256
+BLOCK = 1024
 FEW = 4
 SMALL = 500_000  # so many rows of three longs, 12 MB, may be broadcast
 SALTS = 4096
@@ -157,11 +159,15 @@ def folded(bits: np.ndarray, size: int) -> np.ndarray:
     return bits if len(bits) == size else np.bitwise_xor.reduce(bits.reshape(-1, size), axis=0)
 
 
-def possible(n: np.ndarray, of: np.ndarray, bits: list[np.ndarray], similarity: int, few: int | None = None) -> Iterator[tuple]:
-    """(i, places) of members i and those later ones of another component that may link with it, at most `few`."""
+def possible(
+    n: np.ndarray, of: np.ndarray, bits: list[np.ndarray], similarity: int, few: int | None = None, side: np.ndarray | None = None
+) -> Iterator[tuple]:
+    """(i, places) of members i and those larger ones of another component that may link with it, at most `few`; with sides,
+    of the other side alone (-1: of all)."""
+    side = np.full(len(n), -1) if side is None else side
     size = np.array([len(b) for b in bits])
     order = np.lexsort((np.arange(len(n)), n))
-    n, of, size, bits = n[order], of[order], size[order], [bits[k] for k in order]
+    n, of, size, side, bits = n[order], of[order], size[order], side[order], [bits[k] for k in order]
     for width in np.unique(size):
         near = np.flatnonzero((size == width) | (size == 2 * width))
         level = np.stack([folded(bits[k], width) for k in near])
@@ -171,7 +177,7 @@ def possible(n: np.ndarray, of: np.ndarray, bits: list[np.ndarray], similarity:
             if later >= stop:
                 continue
             other = near[later:stop]
-            apart = of[other] != of[i]
+            apart = (of[other] != of[i]) & ((side[other] != side[i]) | (side[i] < 0))
             other, rows = other[apart], level[later:stop][apart]
             if len(other):
                 differ = np.bitwise_count(rows ^ level[np.searchsorted(near, i)]).sum(axis=1, dtype=np.int64)
@@ -445,7 +451,7 @@ class Join:
         return checkpointed(added.filter(enough).select("a", "b"))
 
     def compared(self, groups: DataFrame, few: int | None) -> DataFrame:
-        """Distinct (a, b) of different components that may link. groups: members (id, component, n, bits)."""
+        """Distinct (a, b) of different components that may link. groups: members (id, component, n, bits, side)."""
         similarity = self.similarity
 
         def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -453,9 +459,9 @@ class Join:
                 a, b = [], []
                 for group in batch.column(0):
                     rows = group.as_py()
-                    ids, of, n = (np.array([r[c] for r in rows], np.int64) for c in ("id", "component", "n"))
+                    ids, of, n, side = (np.array([r[c] for r in rows], np.int64) for c in ("id", "component", "n", "side"))
                     bits = [np.frombuffer(r["bits"], np.uint8) for r in rows]
-                    for i, other in possible(n, of, bits, similarity, few):
+                    for i, other in possible(n, of, bits, similarity, few, side):
                         a.append(np.minimum(ids[other], ids[i]))
                         b.append(np.maximum(ids[other], ids[i]))
                 if a:
@@ -474,8 +480,8 @@ class Join:
         met = pairs.join(side("b"), "b", "left").join(side("a"), "a", "left")
         return met.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
 
-    def near(self, long: DataFrame, short: DataFrame, known: DataFrame) -> DataFrame:
-        return self.in_long(long, known, FEW).unionByName(self.in_short(short, known)).distinct()
+    def near(self, clusters: DataFrame, short: DataFrame, known: DataFrame) -> DataFrame:
+        return self.in_long(clusters, known, FEW).unionByName(self.in_short(short, known)).distinct()
 
     def in_short(self, lists: DataFrame, known: DataFrame) -> DataFrame:
         """Pairs of lists (list, ids) of few sets."""
@@ -483,28 +489,38 @@ class Join:
         mixed = rows.groupBy("list").agg(F.min("component").alias("one"), F.max("component").alias("other"))
         open_rows = rows.join(mixed.filter("one != other").select("list"), "list").join(self.sets.select("id", "n", "bits"), "id")
         # A list longer than a block (where the bound of frequent shingles was raised) is dealt out like those of frequent ones.
-        return self._in_blocks(open_rows.withColumnRenamed("list", "token"), None)
+        return self._in_blocks(open_rows, None)
 
-    def in_long(self, rows: DataFrame, known: DataFrame, few: int | None) -> DataFrame:
-        """Pairs of lists of frequent shingles; rows: (token, id), at most HOT tokens."""
-        placed = self.placed(rows, known)
-        mixed = placed.groupBy("token").agg(F.min("component").alias("one"), F.max("component").alias("other"))
-        mixed = checkpointed(mixed.filter("one != other").select("token"))
-        return self._in_blocks(placed.join(mixed, "token").join(self.sets.select("id", "n", "bits"), "id"), few)
+    def in_long(self, clusters: DataFrame, known: DataFrame, few: int | None) -> DataFrame:
+        """Pairs of sets with frequent shingles in their heads; clusters: (cluster, id), one row a set."""
+        placed = self.placed(clusters, known)
+        mixed = placed.groupBy("cluster").agg(F.min("component").alias("one"), F.max("component").alias("other"))
+        open_rows = placed.join(mixed.filter("one != other").select("cluster"), "cluster")
+        return self._in_blocks(open_rows.join(self.sets.select("id", "n", "bits"), "id").withColumnRenamed("cluster", "list"), few)
 
     def _in_blocks(self, rows: DataFrame, few: int | None) -> DataFrame:
-        """A list's sets are dealt to blocks of about BLOCK; those outside its largest component go to every block."""
-        rows = checkpointed(rows.select("token", "id", "component", "n", "bits"))
-        sizes = rows.groupBy("token", "component").agg(F.count("*").alias("rows"))
-        lists = sizes.groupBy("token").agg(
-            F.max_by("component", F.struct("rows", "component")).alias("main"), F.ceil(F.sum("rows") / BLOCK).alias("blocks")
-        )
-        met = rows.join(lists, "token")
-        own = F.pmod(F.xxhash64("id"), "blocks")
-        every = F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)
-        where = F.when((F.col("component") == F.col("main")) | (F.col("blocks") == 1), F.array(own)).otherwise(every)
-        dealt = met.select("token", F.explode(where).alias("block"), F.struct("id", "component", "n", "bits").alias("member"))
-        return self.compared(dealt.groupBy("token", "block").agg(F.collect_list("member").alias("members")), few)
+        """A list's sets are dealt to blocks of about BLOCK: those of its largest component, and the others. The others' blocks
+        meet one another and the first kind; a task compares two blocks."""
+        rows = checkpointed(rows.select("list", "id", "component", "n", "bits"))
+        sizes = rows.groupBy("list", "component").agg(F.count("*").alias("rows"))
+        lists = sizes.groupBy("list").agg(F.max_by("component", F.struct("rows", "component")).alias("main"), F.max("rows").alias("most"), F.sum("rows").alias("all"))
+        blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+        lists = lists.select("list", "main", blocks(F.col("most")).alias("mains"), blocks(F.col("all") - F.col("most")).alias("others"))
+        met = rows.join(lists, "list")
+        outside = F.col("component") != F.col("main")
+        met = met.withColumn("own", F.pmod(F.xxhash64("id"), F.when(outside, F.col("others")).otherwise(F.col("mains"))).cast("int"))
+        upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+        own = F.col("own")
+        task = lambda i, j, k: F.struct(i.alias("i"), j.alias("j"), F.lit(k).alias("with_main"))
+        to_others = F.transform(upto("others"), lambda j: task(F.least(own, j), F.greatest(own, j), False))
+        to_mains = F.transform(upto("mains"), lambda j: task(own, j, True))
+        from_main = F.transform(upto("others"), lambda i: task(i, own, True))
+        tasks = F.explode(F.when(outside, F.concat(to_others, to_mains)).otherwise(from_main)).alias("task")
+        dealt = met.select("list", tasks, "id", "component", "n", "bits", outside.alias("outside"), "own")
+        side = F.when(F.col("task.with_main"), F.col("outside").cast("int")).when(F.expr("task.i = task.j"), -1)
+        side = side.otherwise((F.col("own") == F.col("task.i")).cast("int"))
+        member = F.struct("id", "component", "n", "bits", side.alias("side"))
+        return self.compared(dealt.groupBy("list", "task").agg(F.collect_list(member).alias("members")), few)
 
 
 def _hot(found: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -542,11 +558,14 @@ def linked(
     star = short.select(F.get("ids", F.lit(0)).alias("a"), F.explode(F.slice("ids", 2, 1 << 30)).alias("b"))
     heads = long.groupBy("token").agg(F.min("id").alias("a"))  # at most HOT rows of two longs
     wide = long.join(F.broadcast(heads), "token").select("a", F.col("id").alias("b")).filter("a != b")
+    wide = checkpointed(wide.distinct())
     star = checkpointed(star.unionByName(wide).distinct())
+    joined = components(wide).withColumnRenamed("node", "id").withColumnRenamed("component", "cluster")
+    clusters = checkpointed(joined.select("cluster", "id"))
 
     links = join.links(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     known = checkpointed(components(links))
-    for step in (lambda: join.apart(star, known), lambda: join.near(long, short, known), lambda: join.in_long(long, known, None)):
+    for step in (lambda: join.apart(star, known), lambda: join.near(clusters, short, known), lambda: join.in_long(clusters, known, None)):
         new = join.links(step())
         if not new.isEmpty():
             links = links.unionByName(new)
