@@ -26,27 +26,26 @@ def _average_rank(below: Column, ties: Column) -> Column:
     return below + (ties + 1) / 2
 
 
-def top_rank_normalised(df: DataFrame, n: int) -> DataFrame:
-    """Best ``n`` rows per user with ``normalized_score`` = average ascending rank / greatest rank, over all rows.
+def top_rank_normalised(df: DataFrame, n: int, by: Sequence[str] = ("username",)) -> DataFrame:
+    """Best ``n`` rows per group with ``normalized_score`` = average ascending rank / greatest rank, over all rows.
 
-    Only the ``n`` best distinct scores of a user can occur in the result. What lies below them enters as a count,
-    so the window holds at most ``n`` rows per user whatever the user's share of the data.
+    Only the ``n`` best distinct scores of a group can occur in the result. What lies below them enters as a count,
+    so the window holds at most ``n`` rows per group whatever the group's share of the data.
     """
-    by_score = df.filter(F.col("score").isNotNull()).groupBy("username", "score").agg(F.count("*").alias("ties"))
-    totals = by_score.groupBy("username").agg(
+    by = list(by)
+    by_score = df.filter(F.col("score").isNotNull()).groupBy(*by, "score").agg(F.count("*").alias("ties"))
+    totals = by_score.groupBy(*by).agg(
         F.sum("ties").alias("total"), F.max_by("ties", "score").alias("top_ties")
     )
-    top = best_per_key(by_score, ["username"], [F.col("score").desc_nulls_last()], n)
-    higher = Window.partitionBy("username").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    top = best_per_key(by_score, by, [F.col("score").desc_nulls_last()], n)
+    higher = Window.partitionBy(*by).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)
     above = F.coalesce(F.sum("ties").over(higher), F.lit(0))
-    top = top.withColumn("above", above).join(totals, "username")
+    top = top.withColumn("above", above).join(totals, by)
     below = F.col("total") - F.col("above") - F.col("ties")
     best = _average_rank(F.col("total") - F.col("top_ties"), F.col("top_ties"))
-    scale = top.select(
-        "username", "score", (_average_rank(below, F.col("ties")) / best).alias("normalized_score")
-    )
+    scale = top.select(*by, "score", (_average_rank(below, F.col("ties")) / best).alias("normalized_score"))
     # A NULL score has no rank; it ranks behind all others in the cut and keeps its row.
-    return cap(df, ["username"], n).join(scale, ["username", "score"], "left")
+    return cap(df, by, n).join(scale, [*by, "score"], "left")
 
 
 def rank_normalised(df: DataFrame, bands: int = BANDS, key: str = "track_id") -> DataFrame:

@@ -18,6 +18,7 @@ from listenlake.functions.text import canonical_track_id, split_tags
 from listenlake.operators.keyed import best_per_key, catalogue_join, delete_frame, join_spread
 from listenlake.operators.ranking import cap, sample_large
 from listenlake.operators.statistics import plays_per_artist
+from listenlake.sources.shared import stored
 
 
 def played_tracks(plays: DataFrame) -> DataFrame:
@@ -193,6 +194,58 @@ def tag_gate(profile: DataFrame, previous: DataFrame, min_share: float = S.MIN_N
 
 
 TAGS_PER_WORD = 62
+#: So many entries (a track under a tag) are told to every task, 8 bytes each; a longer catalogue is joined by tag.
+TAG_ENTRIES = 20_000_000
+PLAYED = -1  # the place among a user's tags at which the played tracks stand
+
+
+def tag_catalogue(tag_top_tracks: DataFrame, tracks_per_tag: int | None, min_tag_matches: int) -> DataFrame:
+    """One row per listed track: track_id, names, tags. A track under fewer tags than must match can't qualify for anyone."""
+    artist = F.coalesce("artist_name", F.lit(""))
+    named = _first(tag_top_tracks, tracks_per_tag).select("tag", "track_name", artist.alias("artist_name"))
+    spelled = named.groupBy("track_name", "artist_name").agg(F.collect_set("tag").alias("tags"))
+    spelled = spelled.withColumn("track_id", canonical_track_id("track_name", "artist_name"))
+    listed = spelled.groupBy("track_id").agg(
+        F.min(F.struct("track_name", "artist_name")).alias("names"),
+        F.array_distinct(F.flatten(F.collect_list("tags"))).alias("tags"),
+    )
+    return listed.filter(F.size("tags") >= min_tag_matches)
+
+
+def _word_columns(words: list[str]) -> list[Column]:
+    bit = F.expr(f"shiftleft(1L, place % {TAGS_PER_WORD})")
+    in_word = F.floor(F.col("place") / TAGS_PER_WORD)
+    return [F.bit_or(F.when(in_word == i, bit).otherwise(F.lit(0))).alias(w) for i, w in enumerate(words)]
+
+
+def _matches_by_user(user_tags: DataFrame, played: DataFrame, listed: DataFrame, words: list[str], least: int) -> DataFrame:
+    """Matches where the catalogue is told to every task: a user's tags are unfolded, looked up and counted in the partition
+    of the user, so no row of the expansion is exchanged. The tracks a user has played stand among the tags as one more
+    list; a track that is on it is dropped by the same count. A user has at most the profile's tags and, of the played
+    tracks, those of the catalogue, so no user is too large for a partition."""
+    numbers = F.broadcast(listed.select("track_id", "number"))
+    heard = played.join(numbers, "track_id").groupBy("username").agg(F.collect_list("number").alias("heard"))
+    users = user_tags.join(heard, "username", "left")
+    lists = F.transform("user_tags", lambda t, i: F.struct(i.alias("place"), t.alias("tag"), F.lit(None).cast("array<bigint>").alias("heard")))
+    own = F.struct(F.lit(PLAYED).alias("place"), F.lit(None).cast("string").alias("tag"), F.col("heard"))
+    rows = users.select("username", F.inline(F.concat(lists, F.array(own))))
+    entries = listed.select(F.explode("tags").alias("tag"), "number").groupBy("tag").agg(F.collect_list("number").alias("listed"))
+    rows = rows.join(F.broadcast(entries), "tag", "left").select("username", "place", F.explode(F.coalesce("listed", "heard")).alias("number"))
+    matches = rows.groupBy("username", "number").agg(
+        *_word_columns(words), F.count("*").alias("tag_match_count"), F.min("place").alias("first_place")
+    )
+    matches = matches.filter((F.col("tag_match_count") >= least) & (F.col("first_place") != PLAYED)).drop("first_place")
+    return matches.join(user_tags.hint("shuffle_hash"), "username").join(listed.select("number", "track_id", "names"), "number")
+
+
+def _matches_by_tag(user_tags: DataFrame, played: DataFrame, listed: DataFrame, words: list[str], least: int) -> DataFrame:
+    """Matches by a salted join on the tag and an exchange of all it makes, for catalogues of any size."""
+    numbered = user_tags.select("username", F.posexplode("user_tags").alias("place", "tag"))
+    found = catalogue_join(numbered, listed.select("track_id", F.explode("tags").alias("tag")), "tag")
+    matches = found.groupBy("username", "track_id").agg(*_word_columns(words), F.count("*").alias("tag_match_count"))
+    fresh = delete_frame(matches.filter(F.col("tag_match_count") >= least), played, ["username", "track_id"])
+    # Nothing is grouped by user after this join, so Spark may split a hot user's rows, or broadcast the tag lists.
+    return fresh.join(user_tags, "username").join(listed.select("track_id", "names"), "track_id")
 
 
 def similar_tag_candidates(
@@ -203,14 +256,17 @@ def similar_tag_candidates(
     min_tag_matches: int = S.MIN_TAG_MATCHES,
     previous: DataFrame | None = None,
     top_tags_count: int = S.TOP_TAGS,
+    most_entries: int = TAG_ENTRIES,
 ) -> DataFrame:
     """Unplayed tracks listed under at least ``min_tag_matches`` tags of the user; the score is that number.
 
     A track listed twice under one tag counts once. With ``previous`` candidates, users whose profile has hardly
     changed are left out.
 
-    The tags of a user are numbered, and the tags a track matched are or-ed into bit words, so the large aggregate
-    over (user, track) moves a few integers instead of lists of text. Names and tags are put back on what is left.
+    The catalogue is stored once with a number for each track and its entries are counted; up to ``most_entries`` it goes to
+    every task, and the count of matches takes place where the user's tags are. The tags of a user are numbered, and the
+    tags a track matched are or-ed into bit words, so the large aggregate holds a few integers instead of lists of text.
+    Names and tags are put back on what is left.
     """
     if previous is not None:
         run = tag_gate(profile, previous).filter("run").select("username")
@@ -218,35 +274,15 @@ def similar_tag_candidates(
     # The sorted tags of a user serve twice: their places number the tags, and they put the matched tags back.
     profile = cap(profile, ["username"], top_tags_count, "tag_count", "tag")
     user_tags = profile.groupBy("username").agg(F.sort_array(F.collect_list("tag")).alias("user_tags"))
-    numbered = user_tags.select("username", F.posexplode("user_tags").alias("place", "tag"))
-
-    # One row per listed track with all its tags. A track under fewer tags than must match can't qualify for anyone.
-    artist = F.coalesce("artist_name", F.lit(""))
-    named = _first(tag_top_tracks, tracks_per_tag).select("tag", "track_name", artist.alias("artist_name"))
-    spelled = named.groupBy("track_name", "artist_name").agg(F.collect_set("tag").alias("tags"))
-    spelled = spelled.withColumn("track_id", canonical_track_id("track_name", "artist_name"))
-    listed = spelled.groupBy("track_id").agg(
-        F.min(F.struct("track_name", "artist_name")).alias("names"),
-        F.array_distinct(F.flatten(F.collect_list("tags"))).alias("tags"),
-    )
-    listed = listed.filter(F.size("tags") >= min_tag_matches)
-    names = listed.select("track_id", "names")
-    found = catalogue_join(numbered, listed.select("track_id", F.explode("tags").alias("tag")), "tag")
 
+    listed = stored(tag_catalogue(tag_top_tracks, tracks_per_tag, min_tag_matches).withColumn("number", F.monotonically_increasing_id()))
+    entries = listed.agg(F.sum(F.size("tags"))).first()[0] or 0
     words = [f"word{i}" for i in range(-(-top_tags_count // TAGS_PER_WORD))]
-    bit = F.expr(f"shiftleft(1L, place % {TAGS_PER_WORD})")
-    in_word = F.floor(F.col("place") / TAGS_PER_WORD)
-    matches = found.groupBy("username", "track_id").agg(
-        *[F.bit_or(F.when(in_word == i, bit).otherwise(F.lit(0))).alias(w) for i, w in enumerate(words)],
-        F.count("*").alias("tag_match_count"),
-    )
-    matches = matches.filter(F.col("tag_match_count") >= min_tag_matches)
-    fresh = delete_frame(matches, played_tracks(plays), ["username", "track_id"])
+    make = _matches_by_user if entries <= most_entries else _matches_by_tag
+    labelled = make(user_tags, played_tracks(plays), listed, words, min_tag_matches)
     matched_tags = F.expr(
         f"filter(user_tags, (t, i) -> getbit(array({', '.join(words)})[CAST(i DIV {TAGS_PER_WORD} AS INT)], i % {TAGS_PER_WORD}) = 1)"
     )
-    # Nothing is grouped by user after this join, so Spark may split a hot user's rows, or broadcast the tag lists.
-    labelled = fresh.join(user_tags, "username").join(names, "track_id")
     return labelled.select(
         "username",
         "track_id",

@@ -5,8 +5,9 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from listenlake import schemas
 from listenlake.functions.text import label_from_id
@@ -18,23 +19,37 @@ from listenlake.settings import TRACKS_PER_SOURCE
 FLAGS = ("similar_artist", "similar_tag", "deep_cut_same_artist", "old_favorite")
 
 
-def _source_label(df: DataFrame, artists: DataFrame) -> tuple[DataFrame, Column]:
-    """Display name of the source artist; the id made readable where the dimension lacks it."""
-    names = artists.select(F.col("artist_id").alias("source_artist_id"), F.col("artist_name").alias("source_name"))
-    joined = df.join(names, "source_artist_id", "left")
-    return joined, F.coalesce("source_name", label_from_id("source_artist_id"))
+#: What a source's rows keep besides user, track and score.
+DETAILS = "track_name string, artist_name string, similarity double, source_artist_id string, source_tags string, tag_match_count bigint"
+
+
+def _sources(frames: dict[str, DataFrame], tracks: DataFrame) -> DataFrame:
+    """Rows of all sources in one shape; ``source`` names the flag they set."""
+    favourites = frames.get("old_favorite")
+    if favourites is not None and "track_name" not in favourites.columns:
+        names = tracks.select("track_id", "track_name", "artist_name")
+        frames = {**frames, "old_favorite": favourites.join(names, "track_id", "left")}
+    shape = StructType.fromDDL(f"username string, track_id string, score double, {DETAILS}, source string")
+    return union_typed([df.withColumn("source", F.lit(flag)) for flag, df in frames.items()], shape)
 
 
-def _flagged(df: DataFrame, flag: str, **why: Column) -> DataFrame:
-    """Columns of one source in the shape of the merged table."""
-    return df.select(
+def _reasons(rows: DataFrame, artists: DataFrame) -> DataFrame:
+    """Flags and reasons of rows that have their place already: at most 500 of a user and source reach the names."""
+    names = artists.select(F.col("artist_id").alias("source_artist_id"), F.col("artist_name").alias("source_name"))
+    name = F.coalesce("source_name", label_from_id("source_artist_id"))
+    only = lambda flag, value: F.when(F.col("source") == flag, value)
+    return rows.join(names, "source_artist_id", "left").select(
         "username",
         "track_id",
         "track_name",
         "artist_name",
         F.col("normalized_score").alias("score"),
-        *[F.lit(f == flag).alias(f) for f in FLAGS],
-        *[value.alias(name) for name, value in why.items()],
+        *[(F.col("source") == f).alias(f) for f in FLAGS],
+        only("similar_artist", name).alias("why_similar_artist_name"),
+        only("similar_artist", F.bround(F.col("similarity") * 100, 1)).alias("why_similar_artist_pct"),
+        only("similar_tag", F.col("source_tags")).alias("why_similar_tags"),
+        only("similar_tag", F.col("tag_match_count")).alias("why_tag_match_count"),
+        only("deep_cut_same_artist", name).alias("why_deep_cut_artist"),
     )
 
 
@@ -55,39 +70,21 @@ def merge_candidates(
     (flags or-ed, scores added) and enriched from the tracks dimension. A user gets a track once, and a video once.
     Rows are merged on id and spelled names; with ``group_on_id`` two spellings of a track also share one row.
     """
-    played = played_tracks(plays)
-
-    def top(df: DataFrame, unplayed: bool = True) -> DataFrame:
-        return top_rank_normalised(delete_frame(df, played, ["username", "track_id"]) if unplayed else df, tracks_per_source)
-
-    # The cap comes before the joins with names: at most 500 rows per user and source reach them.
-    similar, similar_name = _source_label(top(similar_artist), artists)
-    cuts, cut_name = _source_label(top(deep_cut), artists)
-    tags = top(similar_tag)
-    sources = [
-        _flagged(
-            similar,
-            "similar_artist",
-            why_similar_artist_name=similar_name,
-            why_similar_artist_pct=F.bround(F.col("similarity") * 100, 1),
-        ),
-        _flagged(
-            tags, "similar_tag", why_similar_tags=F.col("source_tags"), why_tag_match_count=F.col("tag_match_count")
-        ),
-        _flagged(cuts, "deep_cut_same_artist", why_deep_cut_artist=cut_name),
-    ]
-    if old_favorite is not None:
-        favourites = top(old_favorite, unplayed=False)
-        if "track_name" not in favourites.columns:
-            favourites = favourites.join(tracks.select("track_id", "track_name", "artist_name"), "track_id", "left")
-        sources.append(_flagged(favourites, "old_favorite"))
+    frames = {"similar_artist": similar_artist, "similar_tag": similar_tag, "deep_cut_same_artist": deep_cut}
+    known = _sources(frames if old_favorite is None else {**frames, "old_favorite": old_favorite}, tracks)
+    # One probe of what was played for all sources. An old favourite is played by nature; its track is asked for as none.
+    asked = F.when(F.col("source") != "old_favorite", F.col("track_id"))
+    fresh = delete_frame(known.withColumn("_asked", asked), played_tracks(plays).withColumnRenamed("track_id", "_asked"), ["username", "_asked"])
+    rows = _reasons(top_rank_normalised(fresh.drop("_asked"), tracks_per_source, ["username", "source"]), artists)
 
     names = ["track_name", "artist_name"]
     keys = ["username", "track_id"] + ([] if group_on_id else names)
     why = [c for c in schemas.TRACK_CANDIDATES.names if c.startswith("why_")]
     spelled = F.min(F.struct(*names)).alias("spelled")
+    # A user has at most 500 rows of a source here, so all that follows within a user takes one exchange.
     merged = (
-        union_typed(sources, schemas.TRACK_CANDIDATES)
+        union_typed([rows], schemas.TRACK_CANDIDATES)
+        .repartition("username")
         .groupBy(*keys)
         .agg(
             # One row per source and key, added in the order of FLAGS: a retried task gives the very same double.
@@ -100,6 +97,9 @@ def merge_candidates(
     )
     if group_on_id:
         merged = merged.select("*", "spelled.*").drop("spelled")
+    # The two rows a track may have (two spellings) differ in their flags, which makes the order total.
+    best = [F.col("score").desc(), *[F.col(f).desc() for f in FLAGS], *[F.col(c).desc_nulls_last() for c in why]]
+    merged = best_per_key(merged, ["username", "track_id"], best)
     dim = tracks.select(
         "track_id",
         F.col("track_name").alias("dim_track"),
@@ -115,9 +115,6 @@ def merge_candidates(
         .withColumn("artist_name", F.coalesce("dim_artist", "artist_name"))
         .select(*schemas.TRACK_CANDIDATES.names)
     )
-    # The two rows a track may have (two spellings) differ in their flags, which makes the order total.
-    best = [F.col("score").desc(), *[F.col(f).desc() for f in FLAGS], *[F.col(c).desc_nulls_last() for c in why]]
-    rows = best_per_key(rows, ["username", "track_id"], best)
     video = F.coalesce("youtube_url", "track_id")
     rows = rows.withColumn("_video", video)
     return best_per_key(rows, ["username", "_video"], [F.col("score").desc(), F.col("track_id")]).drop("_video")

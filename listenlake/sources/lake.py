@@ -15,7 +15,6 @@ from __future__ import annotations
 import contextlib
 import hashlib
 import json
-import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -26,23 +25,10 @@ from pyspark.sql.types import StructType
 
 from listenlake import schemas
 from listenlake.operators.keyed import delete_frame, matched, one_per_key, upsert_frame
+from listenlake.sources.shared import shared_dir
 
 USER_BUCKETS = 256
 KEPT_VERSIONS = 5
-_local_dir: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir`` of the session. Only a local session without that
-    setting gets a temporary folder of its own."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    if not _local_dir:
-        _local_dir.append(tempfile.mkdtemp(prefix="listenlake-"))
-    return _local_dir[0]
 
 
 def with_user_bucket(df: DataFrame, buckets: int = USER_BUCKETS) -> DataFrame:

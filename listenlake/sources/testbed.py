@@ -22,7 +22,8 @@ from listenlake.operators.recommend import recommend
 from listenlake.operators.statistics import artist_play_counts, track_play_counts
 from listenlake.plans import candidates as C
 from listenlake.plans.merge import merge_candidates
-from listenlake.sources.lake import Files, Lake, shared_dir
+from listenlake.sources.lake import Files, Lake
+from listenlake.sources.shared import shared_dir
 from listenlake.streaming import plays as SP
 
 # Fixed values of this mapping.
