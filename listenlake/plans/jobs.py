@@ -116,7 +116,7 @@ class Jobs:
         found = LK.link_urls(LK.best_links(searched))
         filled = LK.fill_links(tracks, found, LK.popular_version(track_search), LK.page_links(pages))
         changed = filled.select(*tracks.columns).exceptAll(tracks)
-        return self.lake.upsert(changed, TRACKS, ["track_id"], self.lake.version(TRACKS).partition_by)
+        return self.lake.upsert(changed, TRACKS, ["track_id"], self.lake.table(TRACKS).partition_by)
 
     def upsert_tracks(self, raw: DataFrame) -> WriteReport:
         return self._upsert_member(D.dedup_tracks(I.tracks_from_raw(raw)), TRACKS, "track_id")

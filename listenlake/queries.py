@@ -487,23 +487,28 @@ def json_landing(t):
     return I.plays_from_raw(raw)
 
 
+def _awkward(number, text):
+    """A name that looks like a number, a date or a path, for each number."""
+    return (
+        F.when(number % 5 == 0, F.concat(F.lit("00"), text))
+        .when(number % 5 == 1, text)
+        .when(number % 5 == 2, F.concat(F.lit("user "), text))
+        .when(number % 5 == 3, F.concat(F.lit("2024-01-"), text))
+        .otherwise(F.concat(text, F.lit("/x=é")))
+    )
+
+
 @query
 def upsert_named_users(t):
-    """Plays of users whose names look like numbers, dates or text, upserted twice into one directory per user."""
+    """Plays of users whose names look like numbers, dates or paths, upserted twice into partitions of such names."""
     lake = t.scratch_lake()
-    key = ["username", "scrobbled_at"]
     number = F.col("username").cast("bigint")
-    few = t.plays().filter(number < 60).withColumn(
-        "username",
-        F.when(number % 5 == 0, F.lpad("username", 3, "0"))
-        .when(number % 5 == 1, F.col("username"))
-        .when(number % 5 == 2, F.concat(F.lit("user "), "username"))
-        .when(number % 5 == 3, F.concat(F.lit("2024-01-"), F.lpad("username", 2, "0")))
-        .otherwise(F.concat("username", F.lit("/x=é"))),
-    )
+    place = _awkward(number % 100, (number % 100).cast("string")).alias("place")
+    rest = [c for c in t.plays().columns if c != "username"]
+    named = t.plays().select(_awkward(number, F.col("username")).alias("username"), place, *rest)
     for _ in range(2):
-        lake.upsert(few, "silver/plays", key, ["username"])
-    return lake.read("silver/plays").select("username", "scrobbled_at", "track_id")
+        lake.upsert(named, "silver/plays", ["username", "scrobbled_at"], ["place"])
+    return lake.read("silver/plays").select("username", "place", "scrobbled_at", "track_id")
 
 
 @query

@@ -1,11 +1,17 @@
 """Tables on a shared file system: landing, write modes, keyed upsert, delete, replacement per user.
 
-A table is a directory of Parquet files and a log. Each change writes its rows under a directory of its own and then adds
-one small file to the log, which names the table's schema and, for each partition value, the directories that hold its
-rows. Readers follow the last log file, so a change is seen whole or not at all; after a crash the table is as it was and
-the same call can be repeated. Partition columns are stored in the files like any other column, so their types are those
-of the schema, and a partition is found by its value in the log: partitions that a change does not touch are neither
-listed, read nor written, and one that loses its last row just leaves the log.
+A table is a Parquet directory as Spark writes it, partitioned by one text column, ``_part``: a digest of the values of the
+table's partition columns, which themselves stay in the files with their types (``"007"`` stays text, NULL stays NULL). A
+change works out the rows of the partitions it touches, stores them in the shared folder, and puts them in the place of the
+old ones by a dynamic partition overwrite. Partitions it does not touch are neither read nor written: their digests are a
+literal filter on ``_part``, which Spark applies before it lists files. Beside the data lies ``_table``, an empty Parquet
+table: its schema is that of the table, and the metadata of its fields tell the partition columns and the number of user
+buckets.
+
+A change that breaks off before the overwrite leaves the table as it was; one that breaks off within it may have replaced
+some partitions, and the same call repeated completes it, as upsert, delete and replacement give the same rows again. A
+batch of a stream has partitions of its own, which a repeated batch overwrites. There is one writer a table at a time; a
+relation that was read before a change is read anew after it.
 
 Rows whose key has a NULL can't be matched; upserts put them into the table ``<name>__rejects`` and count them.
 """
@@ -14,30 +20,32 @@ from __future__ import annotations
 
 import contextlib
 import hashlib
-import json
 import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from listenlake import schemas
 from listenlake.operators.keyed import delete_frame, matched, one_per_key, upsert_frame
 from listenlake.sources.shared import shared_dir
 
 USER_BUCKETS = 256
-KEPT_VERSIONS = 5
+PART = "_part"
+KEY_LENGTH = 33  # of a digest with its letter in front; a batch's mark follows
 
 
 def with_user_bucket(df: DataFrame, buckets: int = USER_BUCKETS) -> DataFrame:
-    """Partition column for lakes with too many users for one directory each."""
-    return df.withColumn("user_bucket", F.pmod(F.xxhash64("username"), F.lit(buckets)).cast("int"))
+    """Partition column for lakes with too many users for one directory each. The number of buckets goes with the column,
+    and so into the table."""
+    bucket = F.pmod(F.xxhash64("username"), F.lit(buckets)).cast("int")
+    return df.withColumn("user_bucket", bucket).withMetadata("user_bucket", {"buckets": buckets})
 
 
 class Files:
-    """The few file operations a table's log needs, on whatever file system Spark has for the path."""
+    """The few file operations Spark's readers and writers lack, on whatever file system Spark has for the path."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.jvm = spark, spark._jvm
@@ -46,6 +54,10 @@ class Files:
         where = self.jvm.org.apache.hadoop.fs.Path(path)
         return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
 
+    def exists(self, path: str) -> bool:
+        fs, where = self._at(path)
+        return fs.exists(where)
+
     def names(self, path: str) -> list[str]:
         fs, where = self._at(path)
         return [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
@@ -59,25 +71,6 @@ class Files:
         fs, where = self._at(path)
         fs.delete(where, True)
 
-    def text(self, path: str) -> str:
-        fs, where = self._at(path)
-        stream = fs.open(where)
-        try:
-            return bytes(stream.readAllBytes()).decode()
-        finally:
-            stream.close()
-
-    def put(self, path: str, text: str) -> None:
-        """A whole file under a new name, or an error: two writers can't both take it."""
-        fs, where = self._at(path)
-        _, draft = self._at(f"{path}.{uuid.uuid4().hex}")
-        stream = fs.create(draft)
-        stream.write(bytearray(text.encode()))
-        stream.close()
-        if fs.exists(where) or not fs.rename(draft, where):
-            fs.delete(draft, False)
-            raise RuntimeError(f"another change was made meanwhile: {path}")
-
 
 @dataclass
 class WriteReport:
@@ -95,39 +88,33 @@ class WriteReport:
     columns: list[str] = field(default_factory=list)
 
 
-Values = tuple[str | None, ...]
-
-
 @dataclass
-class Version:
-    """A table as of one log file: rows of a partition are in ``parts[its values]``, directories relative to the table."""
+class Table:
+    """What is told of a table: its schema, the columns it is partitioned by, the number of user buckets if it has any."""
 
-    number: int
     schema: StructType
     partition_by: list[str]
-    parts: dict[Values, list[str]]
-    batches: dict[str, int] = field(default_factory=dict)
 
-    def to_json(self) -> str:
-        parts = [[list(v), dirs] for v, dirs in sorted(self.parts.items(), key=str)]
-        head = {"schema": self.schema.jsonValue(), "partition_by": self.partition_by}
-        return json.dumps({**head, "parts": parts, "batches": self.batches})
+    @property
+    def buckets(self) -> int | None:
+        if "user_bucket" not in self.schema.names:
+            return None
+        return self.schema["user_bucket"].metadata.get("buckets")
 
     @staticmethod
-    def from_json(number: int, text: str) -> Version:
-        told = json.loads(text)
-        parts = {tuple(v): dirs for v, dirs in told["parts"]}
-        return Version(number, StructType.fromJson(told["schema"]), told["partition_by"], parts, told["batches"])
+    def of(schema: StructType) -> Table:
+        places = {f.name: f.metadata["partition"] for f in schema.fields if "partition" in f.metadata}
+        return Table(schema, sorted(places, key=places.get))
 
 
-def _digest(values: Values) -> str:
-    """Directory name of a partition."""
-    return hashlib.md5("\x1f".join("\x00" if v is None else v for v in values).encode()).hexdigest()
+def _key(values: Sequence[str | None]) -> str:
+    """Name of a partition. Its first letter keeps Spark from taking it for a number or a date."""
+    return "p" + hashlib.md5("\x1f".join("\x00" if v is None else v for v in values).encode()).hexdigest()
 
 
-def _digest_column(partition_by: Sequence[str]) -> Column:
+def _key_column(partition_by: Sequence[str]) -> Column:
     texts = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in partition_by]
-    return F.md5(F.concat_ws("\x1f", *texts))
+    return F.concat(F.lit("p"), F.md5(F.concat_ws("\x1f", *texts)))
 
 
 class Lake:
@@ -152,39 +139,37 @@ class Lake:
 
     # ---- tables
 
-    def version(self, name: str) -> Version | None:
-        log = f"{self.path(name)}/_log"
-        numbers = [int(n[:-5]) for n in self.files.names(log) if n.endswith(".json")]
-        if not numbers:
-            return None
-        return Version.from_json(max(numbers), self.files.text(f"{log}/{max(numbers):020d}.json"))
+    def table(self, name: str) -> Table | None:
+        where = f"{self.path(name)}/_table"
+        return Table.of(self.spark.read.parquet(where).schema) if self.files.exists(where) else None
 
     def read(self, name: str) -> DataFrame:
-        found = self.version(name)
+        found = self.table(name)
         if found is None:
             raise FileNotFoundError(f"no table {self.path(name)}")
         return self._rows(name, found)
 
     def read_or_empty(self, name: str, schema: StructType) -> DataFrame:
         """Typed empty relation where the table does not exist yet."""
-        found = self.version(name)
+        found = self.table(name)
         return self.spark.createDataFrame([], schema) if found is None else self._rows(name, found)
 
     def read_partitions(self, name: str, like: DataFrame) -> DataFrame:
         """Rows of the partitions that rows of ``like`` lie in; all rows if ``like`` lacks a partition column."""
-        found = self.version(name)
+        found = self.table(name)
         known = set(found.partition_by) <= set(like.columns)
-        return self._rows(name, found, self._values(like, found.partition_by) if known else None)
+        return self._rows(name, found, self._keys(like, found.partition_by) if known else None)
 
     def exists(self, name: str) -> bool:
-        return self.version(name) is not None
+        return self.table(name) is not None
 
-    def _rows(self, name: str, version: Version, only: set[Values] | None = None) -> DataFrame:
-        """Rows of a version, or of some of its partitions: no other directory is looked at."""
-        dirs = [d for v, part in version.parts.items() if only is None or v in only for d in part]
-        if not dirs:
-            return self.spark.createDataFrame([], version.schema)
-        return self.spark.read.schema(version.schema).parquet(*[f"{self.path(name)}/{d}" for d in dirs])
+    def _rows(self, name: str, table: Table, only: set[str] | None = None) -> DataFrame:
+        """Rows of a table, or of some of its partitions: no other is listed or read."""
+        schema = StructType([*table.schema.fields, StructField(PART, StringType())])
+        rows = self.spark.read.schema(schema).parquet(self.path(name))
+        if only is not None:
+            rows = rows.filter(F.substring(PART, 1, KEY_LENGTH).isin(sorted(only)))
+        return rows.drop(PART)
 
     def write(
         self,
@@ -194,31 +179,33 @@ class Lake:
         partition_by: Sequence[str] = (),
         batch: tuple[str, int] | None = None,
     ) -> WriteReport:
-        """``append``, ``overwrite`` (the whole table) or ``error``. ``batch`` (stream, number): a batch that is repeated
-        after a crash is not written again."""
+        """``append``, ``overwrite`` (the whole table) or ``error``. ``batch`` (stream, number): the rows get partitions of
+        their own, so a batch that is repeated after a crash replaces itself."""
         if mode not in ("append", "overwrite", "error"):
             raise ValueError(f"unknown mode {mode}")
-        old = self.version(name)
+        old = self.table(name)
         if old is not None and mode == "error":
             raise FileExistsError(f"PATH_ALREADY_EXISTS: {self.path(name)}")
-        if old is not None and batch and old.batches.get(batch[0], -1) >= batch[1]:
-            return WriteReport(self.path(name), skipped=True, reason="batch is stored already")
-        adds = mode == "append" and old is not None
-        if adds:
+        if mode == "append" and old is not None:
             df, partition_by = df.select(old.schema.names), old.partition_by
         rows, counted = self._counted(df)
-        parts = self._put_rows(rows, name, partition_by)
-        if adds:
-            parts = {v: old.parts.get(v, []) + parts.get(v, []) for v in {**old.parts, **parts}}
-        batches = {**(old.batches if old else {}), **(dict([batch]) if batch else {})}
-        schema = old.schema if adds else df.schema
-        self._commit(name, old, Version(0, schema, list(partition_by), parts, batches))
+        key = _key_column(partition_by)
+        if batch:
+            key = F.concat(key, F.lit("." + hashlib.md5(f"{batch[0]} {batch[1]}".encode()).hexdigest()))
+        if mode == "append" and batch:
+            self._put(rows, name, partition_by, key, "overwrite", "dynamic")
+        elif mode == "append":
+            self._put(rows, name, partition_by, key, "append", "static")
+        else:
+            self._put(rows, name, partition_by, key, "overwrite", "static")
+        if old is None or mode != "append":
+            self._define(name, df.schema, partition_by)
         return WriteReport(self.path(name), rows=counted.get["rows"], columns=df.columns)
 
     def upsert(self, source: DataFrame, name: str, keys: Sequence[str], partition_by: Sequence[str] = ()) -> WriteReport:
         """Replace rows with a known key, add the others; create the table if there is none. Partitions the source does
         not touch are neither read nor written. Partition columns must be functions of the key."""
-        old = self.version(name)
+        old = self.table(name)
         keyed = F.lit(True)
         for key in keys:
             keyed = keyed & F.col(key).isNotNull()
@@ -233,7 +220,7 @@ class Lake:
     def insert_new(self, source: DataFrame, name: str, keys: Sequence[str], partition_by: Sequence[str] = ()) -> WriteReport:
         """Add one row of each key the table lacks; stored rows stay as they are. Partitions the source does not touch are
         not read. Rows whose key has a NULL go to ``<name>__rejects``."""
-        old = self.version(name)
+        old = self.table(name)
         if old is None:
             return self.upsert(source, name, keys, partition_by)
         keyed = F.lit(True)
@@ -244,7 +231,7 @@ class Lake:
             if rejected:
                 self.write(rows.filter(~keyed), f"{name}__rejects", "append")
             good = rows.filter(keyed)
-            known = self._rows(name, old, self._values(good, old.partition_by))
+            known = self._rows(name, old, self._keys(good, old.partition_by))
             with self._staged(delete_frame(one_per_key(good, list(keys)), known, keys).select(old.schema.names)) as new:
                 if new.isEmpty():
                     report = WriteReport(self.path(name), skipped=True, reason="no new key", columns=old.schema.names)
@@ -253,102 +240,86 @@ class Lake:
         report.inserted, report.rejected = report.rows, rejected
         return report
 
-    def _upserted(self, source, name, keys, partition_by, old: Version | None, rows: int) -> WriteReport:
+    def _upserted(self, source, name, keys, partition_by, old: Table | None, rows: int) -> WriteReport:
         if old is None:
             report = self.write(one_per_key(source, list(keys)), name, "error", partition_by)
             report.inserted = report.rows
             return report
         if not rows:
             return WriteReport(self.path(name), columns=old.schema.names)
-        touched = self._values(source, old.partition_by)
+        touched = self._keys(source, old.partition_by)
         frame = upsert_frame(self._rows(name, old, touched), source, list(keys), action="_action")
         seen = Observation(f"upsert-{uuid.uuid4().hex}")
         kinds = ("inserted", "updated", "copied")
         frame = frame.observe(seen, *[F.count_if(F.col("_action") == k).alias(k) for k in kinds]).drop("_action")
-        self._replace_parts(frame, name, old, touched)
+        self._replace(frame, name, old, touched)
         n = seen.get
         return WriteReport(self.path(name), n["inserted"] + n["updated"], *[n[k] for k in kinds], columns=old.schema.names)
 
     def delete(self, gone: DataFrame, name: str, keys: Sequence[str]) -> WriteReport:
         """Delete rows whose key is in ``gone``; a missing table or key is no error."""
-        old = self.version(name)
+        old = self.table(name)
         if old is None:
             return WriteReport(self.path(name), skipped=True, reason="no such table")
         wanted = list(dict.fromkeys([*keys, *[c for c in old.partition_by if c in gone.columns]]))
         with self._staged(gone.select(*wanted).distinct()) as gone:
-            within = self._values(gone, old.partition_by) if set(old.partition_by) <= set(wanted) else None
+            within = self._keys(gone, old.partition_by) if set(old.partition_by) <= set(wanted) else None
             hit = matched(self._rows(name, old, within), gone, keys)
-            hit = hit.groupBy(*[F.col(c).cast("string") for c in old.partition_by]).count().collect()
-            removed = sum(r["count"] for r in hit)
-            if removed:
-                touched = {tuple(r)[:-1] for r in hit}
-                self._replace_parts(delete_frame(self._rows(name, old, touched), gone, keys), name, old, touched)
-        return WriteReport(self.path(name), deleted=removed, columns=old.schema.names)
+            hit = hit.groupBy(_key_column(old.partition_by).alias(PART)).count().collect()
+            if hit:
+                touched = {r[PART] for r in hit}
+                self._replace(delete_frame(self._rows(name, old, touched), gone, keys), name, old, touched)
+        return WriteReport(self.path(name), deleted=sum(r["count"] for r in hit), columns=old.schema.names)
 
     def replace_users(self, df: DataFrame, name: str, users: DataFrame, partition_by: Sequence[str] = ()) -> WriteReport:
         """Put ``df`` in the place of everything stored for ``users``; a user without new rows ends up with none, the
         others keep theirs."""
-        old = self.version(name)
+        old = self.table(name)
         if old is None:
             return self.write(df, name, "error", partition_by)
         wanted = [c for c in users.columns if c in ("username", *old.partition_by)]
         with self._staged(df.select(old.schema.names)) as df, self._staged(users.select(*wanted).distinct()) as users:
             if set(old.partition_by) <= set(wanted):
-                touched = self._values(users, old.partition_by)
+                touched = self._keys(users, old.partition_by)
             else:
-                touched = self._values(matched(self._rows(name, old), users, ["username"]), old.partition_by)
-            touched |= self._values(df, old.partition_by)
+                touched = self._keys(matched(self._rows(name, old), users, ["username"]), old.partition_by)
+            touched |= self._keys(df, old.partition_by)
             kept = delete_frame(self._rows(name, old, touched), users, ["username"])
-            self._replace_parts(kept.unionByName(df), name, old, touched)
+            self._replace(kept.unionByName(df), name, old, touched)
         return WriteReport(self.path(name), columns=old.schema.names)
 
     # ---- how a change is stored
 
-    def _values(self, df: DataFrame, partition_by: Sequence[str]) -> set[Values]:
-        """Partition values of some rows; as many pass the driver as partitions are touched."""
-        if not partition_by:
-            return {()}
-        return {tuple(r) for r in df.select(*[F.col(c).cast("string") for c in partition_by]).distinct().collect()}
-
-    def _put_rows(self, df: DataFrame, name: str, partition_by: Sequence[str]) -> dict[Values, list[str]]:
-        """Writes rows under a directory of their own; the directories of each partition that got any."""
-        where = f"data/{uuid.uuid4().hex}"
-        if not partition_by:
-            df.write.parquet(f"{self.path(name)}/{where}")
-            return {(): [where]}
-        dealt = _sized(df, partition_by).withColumn("part", _digest_column(partition_by))
-        dealt.write.partitionBy("part").parquet(f"{self.path(name)}/{where}")
-        found = {n[5:] for n in self.files.names(f"{self.path(name)}/{where}") if n.startswith("part=")}
-        if not found:
-            return {}
-        written = self.spark.read.schema(df.schema).parquet(f"{self.path(name)}/{where}")
-        by_digest = {_digest(v): v for v in self._values(written, partition_by)}
-        return {by_digest[d]: [f"{where}/part={d}"] for d in sorted(found)}
-
-    def _replace_parts(self, df: DataFrame, name: str, old: Version, touched: set[Values]) -> None:
-        """A version in which ``df`` stands for the touched partitions."""
-        new = self._put_rows(df.select(old.schema.names), name, old.partition_by)
-        kept = {v: dirs for v, dirs in old.parts.items() if v not in touched}
-        if both := kept.keys() & new.keys():
-            raise ValueError(f"partition columns are no function of the key: {sorted(both, key=str)[:3]}")
-        self._commit(name, old, Version(0, old.schema, old.partition_by, {**kept, **new}, old.batches))
-
-    def _commit(self, name: str, old: Version | None, new: Version) -> None:
-        new.number = old.number + 1 if old else 0
-        self.files.put(f"{self.path(name)}/_log/{new.number:020d}.json", new.to_json())
-        self._sweep(name, new)
-
-    def _sweep(self, name: str, now: Version) -> None:
-        """Drops log files that are KEPT_VERSIONS changes old, and data that only they named."""
-        log, gone = f"{self.path(name)}/_log", now.number - KEPT_VERSIONS
-        if f"{gone:020d}.json" not in self.files.names(log):
-            return
-        past = Version.from_json(gone, self.files.text(f"{log}/{gone:020d}.json"))
-        later = [Version.from_json(n, self.files.text(f"{log}/{n:020d}.json")) for n in range(gone + 1, now.number + 1)]
-        named = {d for v in later for dirs in v.parts.values() for d in dirs}
-        for d in {d for dirs in past.parts.values() for d in dirs} - named:
-            self.files.delete(f"{self.path(name)}/{d}")
-        self.files.delete(f"{log}/{gone:020d}.json")
+    def _keys(self, df: DataFrame, partition_by: Sequence[str]) -> set[str]:
+        """The partitions some rows lie in: at most as many as Spark's own index of the table holds on the driver."""
+        return {r[0] for r in df.select(_key_column(partition_by)).distinct().collect()}
+
+    def _put(self, df: DataFrame, name: str, partition_by: Sequence[str], key: Column, mode: str, overwrite: str) -> None:
+        """Files of even size: a hot partition is split into several files, small ones are not cut up by every task."""
+        dealt = df.withColumn(PART, key)
+        if partition_by:
+            dealt = dealt.hint("rebalance", PART)
+        dealt.write.mode(mode).option("partitionOverwriteMode", overwrite).partitionBy(PART).parquet(self.path(name))
+
+    def _define(self, name: str, schema: StructType, partition_by: Sequence[str]) -> None:
+        fields = []
+        for f in schema.fields:
+            place = {"partition": list(partition_by).index(f.name)} if f.name in partition_by else {}
+            kept = {k: v for k, v in f.metadata.items() if k == "buckets"}
+            fields.append(StructField(f.name, f.dataType, True, {**kept, **place}))
+        empty = self.spark.createDataFrame([], StructType(fields))
+        empty.coalesce(1).write.mode("overwrite").parquet(f"{self.path(name)}/_table")
+
+    def _replace(self, df: DataFrame, name: str, old: Table, touched: set[str]) -> None:
+        """``df`` takes the place of the touched partitions; those without rows in it, and the parts that batches of a stream
+        have in them, go."""
+        with self._staged(df.select(old.schema.names)) as rows:
+            kept = {f"{PART}={k}" for k in self._keys(rows, old.partition_by)}
+            self._put(rows, name, old.partition_by, _key_column(old.partition_by), "overwrite", "dynamic")
+        start = len(PART) + 1
+        for part in self.files.names(self.path(name)):
+            if part.startswith(f"{PART}=") and part not in kept and part[start : start + KEY_LENGTH] in touched:
+                self.files.delete(f"{self.path(name)}/{part}")
 
     @contextlib.contextmanager
     def _staged(self, df: DataFrame) -> Iterator[DataFrame]:
@@ -367,18 +338,16 @@ class Lake:
     # ---- serving reads
 
     def user_rows(self, name: str, schema: StructType, username: str) -> DataFrame:
-        """A user's rows; of a table partitioned by user or by ``user_bucket`` only that directory is read."""
-        found = self.version(name)
+        """A user's rows; of a table partitioned by user or by ``user_bucket`` only that partition is read."""
+        found = self.table(name)
         if found is None:
             return self.spark.createDataFrame([], schema)
         only = None
         if found.partition_by == ["username"]:
-            only = {(username,)}
-        elif found.partition_by == ["user_bucket"] and len(found.parts) > 1:
+            only = {_key((username,))}
+        elif found.partition_by == ["user_bucket"] and found.buckets:
             user = self.spark.range(1).select(F.lit(username).alias("username"))
-            bucket = str(with_user_bucket(user).first()["user_bucket"])
-            # Another number of buckets was chosen if the log names one beyond ours; then all of them are read.
-            only = {(bucket,)} if max(int(v[0]) for v in found.parts) >= USER_BUCKETS // 2 else None
+            only = self._keys(with_user_bucket(user, found.buckets), ["user_bucket"])
         return self._rows(name, found, only).filter(F.col("username") == username)
 
     def top_candidates(self, name: str, username: str, limit: int | None = None) -> DataFrame:
@@ -401,8 +370,3 @@ class Lake:
         wanted = self.spark.range(1).select(F.lit(username).alias("username"))
         joined = wanted.join(stored, "username", "left")
         return joined.select("username", *[F.coalesce(c, F.lit(0)).alias(c) for c in schemas.USER_STATS.names[1:]])
-
-
-def _sized(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
-    """Files of even size: a hot partition is split into several files, small ones are not cut up by every task."""
-    return df.hint("rebalance", *partition_by) if partition_by else df

@@ -314,12 +314,14 @@ oracle("exclusion_store", "SELECT * REPLACE (excluded_at + INTERVAL 1 DAY AS exc
 
 # ---- stored tables
 oracle("json_landing", "SELECT * FROM v_plays")
+_awkward = (
+    "CASE CAST({0} AS BIGINT) % 5 WHEN 0 THEN '00' || {0} WHEN 1 THEN CAST({0} AS VARCHAR) WHEN 2 THEN 'user ' || {0} "
+    "WHEN 3 THEN '2024-01-' || {0} ELSE {0} || '/x=é' END"
+)
 oracle(
     "upsert_named_users",
-    f"""SELECT CASE CAST(username AS BIGINT) % 5 WHEN 0 THEN lpad(username, 3, '0') WHEN 1 THEN username
-                    WHEN 2 THEN 'user ' || username WHEN 3 THEN '2024-01-' || lpad(username, 2, '0')
-                    ELSE username || '/x=é' END AS username, scrobbled_at, track_id
-        FROM ({_once}) WHERE CAST(username AS BIGINT) < 60""",
+    f"""SELECT {_awkward.format('username')} AS username, {_awkward.format('(CAST(username AS BIGINT) % 100)')} AS place,
+               scrobbled_at, track_id FROM ({_once})""",
 )
 oracle(
     "restored_exclusions",
