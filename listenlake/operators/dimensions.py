@@ -64,18 +64,21 @@ def known_artists(artists: DataFrame, min_listeners: int = MIN_ARTIST_LISTENERS)
     return artists.filter(F.col("listeners") >= min_listeners)
 
 
+def with_half_life(users: DataFrame) -> DataFrame:
+    """Listening span and half-life of users whose first and last plays are known."""
+    span = whole_days(F.col("first_play_date"), F.col("last_play_date"))
+    users = users.withColumn("listening_span_days", span)
+    return users.withColumn("user_half_life_days", half_life_days(F.col("listening_span_days")))
+
+
 def dim_users(plays: DataFrame) -> DataFrame:
     """Listening span and half-life per user."""
-    span = whole_days(F.col("first_play_date"), F.col("last_play_date"))
-    return (
-        plays.groupBy("username")
-        .agg(
+    return with_half_life(
+        plays.groupBy("username").agg(
             F.min("scrobbled_at_utc").alias("first_play_date"),
             F.max("scrobbled_at_utc").alias("last_play_date"),
             F.count("*").alias("total_plays"),
         )
-        .withColumn("listening_span_days", span)
-        .withColumn("user_half_life_days", half_life_days(F.col("listening_span_days")))
     )
 
 

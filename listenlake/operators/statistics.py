@@ -48,10 +48,14 @@ def _decayed(per_day: DataFrame, half_lives: DataFrame, entity: str, as_of: Colu
 
 def track_play_counts(plays: DataFrame, half_lives: DataFrame, as_of: datetime | str | Column) -> DataFrame:
     """Count, first and last play, average decay per user and track. Of several spellings the least is shown."""
-    now = instant(as_of)
-    per_day = _per_day(plays, ["username", "track_id", "track_name", "artist_name"], now)
+    per_day = _per_day(plays, ["username", "track_id", "track_name", "artist_name"], instant(as_of))
+    return track_counts_by_age(per_day, half_lives, as_of)
+
+
+def track_counts_by_age(per_day: DataFrame, half_lives: DataFrame, as_of: datetime | str | Column) -> DataFrame:
+    """The same from plays counted per user, track and age (``_per_day``, or a history of days)."""
     names = F.min(F.struct("track_name", "artist_name")).alias("names")
-    out = _decayed(per_day, half_lives, "track_id", now, names)
+    out = _decayed(per_day, half_lives, "track_id", instant(as_of), names)
     return out.select("*", "names.*").select(*schemas.TRACK_PLAY_COUNT.names)
 
 
@@ -59,13 +63,18 @@ def artist_play_counts(
     plays: DataFrame, half_lives: DataFrame, tracks: DataFrame, artists: DataFrame, as_of: datetime | str | Column
 ) -> DataFrame:
     """The same per user and artist; plays of tracks without an artist form one group with a NULL id."""
-    now = instant(as_of)
-    per_day = _per_day(plays, ["username", "track_id"], now)
+    per_day = _per_day(plays, ["username", "track_id"], instant(as_of))
+    return artist_counts_by_age(per_day, half_lives, tracks, artists, as_of)
+
+
+def artist_counts_by_age(
+    per_day: DataFrame, half_lives: DataFrame, tracks: DataFrame, artists: DataFrame, as_of: datetime | str | Column
+) -> DataFrame:
     by_artist = per_day.join(tracks.select("track_id", "artist_id"), "track_id", "left")
     by_artist = by_artist.groupBy("username", "artist_id", "days_ago").agg(
         F.sum("n").alias("n"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts")
     )
-    out = _decayed(by_artist, half_lives, "artist_id", now)
+    out = _decayed(by_artist, half_lives, "artist_id", instant(as_of))
     names = artists.select("artist_id", "artist_name").distinct()
     return out.join(names, "artist_id", "left").select(*schemas.ARTIST_PLAY_COUNT.names)
 

@@ -13,6 +13,7 @@ from listenlake.functions import links as L
 from listenlake.functions import text as T
 from listenlake.operators import dimensions as D
 from listenlake.operators import feedback as FB
+from listenlake.operators import history as H
 from listenlake.operators import ingest as I
 from listenlake.operators import keyed as K
 from listenlake.operators import linking as LK
@@ -605,3 +606,31 @@ def stream_refresh(t):
     run = SP.refresh_statistics(stream, lake, "silver/plays", "gold/counts", "2024-02-01 00:00:00", lake.path("_refresh"), BUCKET)
     run.awaitTermination()
     return lake.read("gold/counts").drop("user_bucket")
+
+
+def _history(t):
+    """Day histograms of the event stream."""
+    lake = t.scratch_lake()
+    SP.keep_history(t.event_stream(), lake, "silver/plays", "gold/play_days", lake.path("_history"), BUCKET).awaitTermination()
+    return lake.read("gold/play_days")
+
+
+@query
+def stream_history_tracks(t):
+    days = _history(t)
+    return ST.track_counts_by_age(H.aged(days, "2024-02-01 00:00:00"), H.users_of_days(days), "2024-02-01 00:00:00")
+
+
+@query
+def stream_history_artists(t):
+    """Artists of the events' tracks by their canonical names."""
+    days = _history(t)
+    artists = t.event_plays().select("track_id", "artist_name").distinct()
+    artists = artists.withColumn("artist_id", T.canonical_artist_id("artist_name"))
+    by_age = H.aged(days, "2024-02-01 00:00:00")
+    return ST.artist_counts_by_age(by_age, H.users_of_days(days), artists, artists, "2024-02-01 00:00:00")
+
+
+@query
+def stream_history_users(t):
+    return H.users_of_days(_history(t))

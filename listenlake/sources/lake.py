@@ -112,6 +112,11 @@ def _key(values: Sequence[str | None]) -> str:
     return "p" + hashlib.md5("\x1f".join("\x00" if v is None else v for v in values).encode()).hexdigest()
 
 
+def _mark(batch: tuple[str, int]) -> str:
+    """What a batch of a stream adds to the names of partitions."""
+    return "." + hashlib.md5(f"{batch[0]} {batch[1]}".encode()).hexdigest()
+
+
 def _key_column(partition_by: Sequence[str]) -> Column:
     texts = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in partition_by]
     return F.concat(F.lit("p"), F.md5(F.concat_ws("\x1f", *texts)))
@@ -163,12 +168,16 @@ class Lake:
     def exists(self, name: str) -> bool:
         return self.table(name) is not None
 
-    def _rows(self, name: str, table: Table, only: set[str] | None = None) -> DataFrame:
-        """Rows of a table, or of some of its partitions: no other is listed or read."""
+    def _rows(
+        self, name: str, table: Table, only: set[str] | None = None, apart_from: tuple[str, int] | None = None
+    ) -> DataFrame:
+        """Rows of a table, or of some of its partitions: no other is listed or read. Those of a batch can be left out."""
         schema = StructType([*table.schema.fields, StructField(PART, StringType())])
         rows = self.spark.read.schema(schema).parquet(self.path(name))
         if only is not None:
             rows = rows.filter(F.substring(PART, 1, KEY_LENGTH).isin(sorted(only)))
+        if apart_from is not None:
+            rows = rows.filter(~F.endswith(F.col(PART), F.lit(_mark(apart_from))))
         return rows.drop(PART)
 
     def write(
@@ -191,7 +200,7 @@ class Lake:
         rows, counted = self._counted(df)
         key = _key_column(partition_by)
         if batch:
-            key = F.concat(key, F.lit("." + hashlib.md5(f"{batch[0]} {batch[1]}".encode()).hexdigest()))
+            key = F.concat(key, F.lit(_mark(batch)))
         if mode == "append" and batch:
             self._put(rows, name, partition_by, key, "overwrite", "dynamic")
         elif mode == "append":
@@ -240,6 +249,26 @@ class Lake:
         report.inserted, report.rejected = report.rows, rejected
         return report
 
+    @contextlib.contextmanager
+    def unknown(
+        self, source: DataFrame, name: str, keys: Sequence[str], partition_by: Sequence[str], batch: tuple[str, int]
+    ) -> Iterator[DataFrame]:
+        """One row of each key that the table lacked before this batch, stored as long as they are in use. A batch that is
+        repeated gets the same rows, though it has written some of them. Rows whose key has a NULL go to the rejects."""
+        keyed = F.lit(True)
+        for key in keys:
+            keyed = keyed & F.col(key).isNotNull()
+        old = self.table(name)
+        with self._staged(source if old is None else source.select(old.schema.names)) as rows:
+            if not rows.filter(~keyed).isEmpty():
+                self.write(rows.filter(~keyed), f"{name}__rejects", "append", batch=batch)
+            new = one_per_key(rows.filter(keyed), list(keys)).select(rows.columns)
+            if old is not None:
+                known = self._rows(name, old, self._keys(rows, old.partition_by), batch)
+                new = delete_frame(new, known, keys).select(old.schema.names)
+            with self._staged(new) as stored:
+                yield stored
+
     def _upserted(self, source, name, keys, partition_by, old: Table | None, rows: int) -> WriteReport:
         if old is None:
             report = self.write(one_per_key(source, list(keys)), name, "error", partition_by)

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from listenlake.operators.dimensions import dim_users
+from listenlake.operators.history import day_counts
 from listenlake.operators.statistics import artist_play_counts, track_play_counts
 from listenlake.sources.lake import Lake, with_user_bucket
 
@@ -126,3 +127,25 @@ def refresh_statistics(
             lake.replace_users(placed(by_artist, partition_by), artist_counts_table, users, partition_by)
 
     return run_batches(plays, apply, checkpoint)
+
+
+def fold_batch(
+    batch: DataFrame, lake: Lake, plays_table: str, days_table: str, mark: tuple[str, int], partition_by: Sequence[str] = ()
+) -> None:
+    """Plays that are new go to the facts and, counted per day, to the history. Both are partitions of this batch, so one
+    that is repeated after a crash, wherever it broke off, ends with the same tables."""
+    with lake.unknown(placed(batch, partition_by), plays_table, PLAY_KEY, partition_by, mark) as new:
+        lake.write(placed(day_counts(new), partition_by), days_table, "append", partition_by, mark)
+        lake.write(new, plays_table, "append", partition_by, mark)
+
+
+def keep_history(
+    plays: DataFrame, lake: Lake, plays_table: str, days_table: str, checkpoint: str, partition_by: Sequence[str] = ()
+) -> StreamingQuery:
+    """Ingest into facts and day histograms. Track counts, artist counts and the user dimension of any midnight and any
+    half-life follow from the histograms alone (``operators.history``): a refresh reads no old plays."""
+
+    def apply(batch: DataFrame, number: int) -> None:
+        fold_batch(batch, lake, plays_table, days_table, (checkpoint, number), partition_by)
+
+    return run_batches(plays, apply, checkpoint)

@@ -369,3 +369,24 @@ oracle(
     track_counts("v_event_plays", "user_half_life_days", "2024-02-01", "v_event_users"),
     ("recency_score",),
 )
+oracle(
+    "stream_history_tracks",
+    track_counts("v_event_plays", "user_half_life_days", "2024-02-01", "v_event_users"),
+    ("recency_score",),
+)
+oracle(
+    "stream_history_artists",
+    """SELECT p.username, lower(artist_name) AS artist_id, artist_name, count(*) AS play_count,
+              min(scrobbled_at_utc) AS first_played_on, max(scrobbled_at_utc) AS last_played_on,
+              avg(exp(-date_sub('day', scrobbled_at_utc, TIMESTAMP '2024-02-01') / user_half_life_days)) AS recency_score,
+              CAST(date_sub('day', max(scrobbled_at_utc), TIMESTAMP '2024-02-01') AS INTEGER) AS days_since_last_play
+       FROM v_event_plays p JOIN v_event_users u ON u.username = p.username GROUP BY p.username, artist_name""",
+    ("recency_score",),
+)
+oracle(
+    "stream_history_users",
+    """SELECT *, greatest(listening_span_days / 3.0, 30.0) AS user_half_life_days FROM (
+         SELECT username, min(scrobbled_at_utc) AS first_play_date, max(scrobbled_at_utc) AS last_play_date,
+                count(*) AS total_plays, date_sub('day', min(scrobbled_at_utc), max(scrobbled_at_utc)) AS listening_span_days
+         FROM v_event_plays GROUP BY 1)""",
+)
