@@ -33,6 +33,30 @@ def test_word_ids_are_those_of_the_library():
     assert [np.frombuffer(b, "<u4").tolist() for b in tok.encode(texts)] == expected
 
 
+def test_words_are_cut_at_any_block_and_forgotten(monkeypatch):
+    draw = random.Random(5)
+    parts = ["'", "'s", "'LL", "re", "!", "<|", "|>", " ", "\n", "\t", "7", "42", "É", "×", "÷", "Þ", "ÿ", "Ā", "\u0301", "中", "x" * 17, "=" * 40]
+    texts = ["".join(draw.choices(parts, k=draw.randrange(0, 40))) for _ in range(3000)]
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    expected = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr(word_tokens, "BLOCK", 100)
+    monkeypatch.setattr(word_tokens, "KEPT", 50)
+    assert word_tokens.WordTokenizer(word_tokens.default_path()).encode(texts) == expected
+
+
+def test_op2_ids_are_those_of_the_library(spark):
+    directory = "/root/testdata/sf0.001"
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    expected = set()
+    for row in spark.read.parquet(f"{directory}/documents.parquet").select("doc_id", "text").collect():
+        ids = [*library.encode(row.text or "", add_special_tokens=False).ids, 0]
+        for k, a in enumerate(range(0, len(ids), 2048)):
+            part = np.array(ids[a : a + 2048], "<u4").tobytes()
+            expected.add((row.doc_id, k, a, len(part) // 4, zlib.crc32(part)))
+    got = op2_best_fit_packing(spark, directory).select("doc_id", "piece", "start", "length", "ids_crc32").collect()
+    assert len(got) == len(expected) and {tuple(r) for r in got} == expected
+
+
 def test_pieces_are_those_of_the_library(spark):
     texts = odd_texts(1500, 2)
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
