@@ -1,10 +1,11 @@
 """Line dedup by a deletion-neighbourhood join.
 
-Lines are what line ends part, without white space around them. A line of at least LEAST characters is dropped if an
-earlier line, in order of (doc_id, hash of the whole text, line number), equals it or is within edit distance 1 of it. An
-earlier line counts whether or not it stays itself. Shorter lines stay, unless `signs` is given: then those with so many
-letters and digits, underscores aside, go too where an earlier line equals them. With signs=1 LEAST is a bound on edits
-alone, and of short lines only blank ones and those of punctuation always stay.
+Lines are what line ends part, without white space around them. A line is dropped if an earlier line, in order of (doc_id,
+hash of the whole text, line number), equals it, or if both have LEAST characters or more and are within edit distance 1. An
+earlier line counts whether or not it stays itself. LEAST is a floor for edits alone: in short lines one character more or
+less is often meant (numbers, names), while equal lines go at any length. Blank lines, and those below LEAST without a letter
+or digit (rulers, braces), part the others and always stay; `signs` is how many letters and digits such a line must have to
+be dropped.
 
 Equal lines meet by a 128-bit hash, and of each distinct line only its first place goes on. For edit distance 1, every
 line emits the hash of each variant with one character left out, and of itself: lines that differ by a replaced character
@@ -35,6 +36,7 @@ from pyspark.sql import functions as F
 from listenlake.llm.common import checkpointed, staged
 
 LEAST = 24
+SIGNS = 1
 EDITS = 1
 FINE = (16, 64)
 SMALL = 500_000  # so many rows of three longs, 12 MB, may be broadcast
@@ -51,9 +53,9 @@ def bare(line: str) -> str:
     return line.strip(" \t\n\x0b\x0c\r")
 
 
-def counts_as_line(line: str, least: int, signs: int | None) -> bool:
+def counts_as_line(line: str, least: int, signs: int) -> bool:
     """Whether a bare line may be dropped at all."""
-    return len(line) >= least or (signs is not None and sum(map(str.isalnum, line)) >= signs)
+    return len(line) >= least or sum(map(str.isalnum, line)) >= signs
 
 
 def anchors(line: str, parts: int) -> list[int]:
@@ -67,7 +69,7 @@ def anchors(line: str, parts: int) -> list[int]:
     return out
 
 
-def _lines(docs: DataFrame, least: int, edits: int, signs: int | None) -> DataFrame:
+def _lines(docs: DataFrame, least: int, edits: int, signs: int) -> DataFrame:
     """A row for each line that may be dropped: its hash, place and, if it is long enough for edits, anchors."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +243,7 @@ def near_repeats(lines: DataFrame) -> DataFrame:
     return _verified(links, lines).select(F.col("a1").alias("id1"), F.col("a2").alias("id2")).distinct()
 
 
-def kept_lines(docs: DataFrame, least: int = LEAST, edits: int = EDITS, signs: int | None = None) -> DataFrame:
+def kept_lines(docs: DataFrame, least: int = LEAST, edits: int = EDITS, signs: int = SIGNS) -> DataFrame:
     """(doc_id, doc_hash, line_no) of the lines that stay among those that may be dropped."""
     if edits not in (0, 1):
         raise ValueError("the edit bound is 0 or 1")
@@ -260,7 +262,7 @@ def kept_lines(docs: DataFrame, least: int = LEAST, edits: int = EDITS, signs: i
 
 
 def dedup_lines(
-    docs: DataFrame, least: int = LEAST, edits: int = EDITS, counts: bool = False, signs: int | None = None
+    docs: DataFrame, least: int = LEAST, edits: int = EDITS, counts: bool = False, signs: int = SIGNS
 ) -> DataFrame:
     """Documents with repeated lines taken out of `text` and n_chars brought up to date; counts: with n_lines and
     n_dropped."""

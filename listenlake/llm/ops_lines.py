@@ -31,16 +31,19 @@ WITH l AS (
 ), t AS (
   SELECT *, trim(raw, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM l
 ), d AS (
-  SELECT line, min((doc_id, k)) AS first, length(line) AS n FROM t WHERE length(line) >= 24 GROUP BY line
+  SELECT line, min((doc_id, k)) AS first, length(line) AS n
+  FROM t WHERE length(line) >= 24 OR regexp_matches(line, '[\p{L}\p{N}]') GROUP BY line
+), e AS (
+  SELECT * FROM d WHERE n >= 24
 ), v AS (
   SELECT line, first, i, hash(substr(line, 1, i - 1) || substr(line, i + 1)) AS h
-  FROM (SELECT line, first, unnest(range(1, n + 1)) AS i FROM d)
+  FROM (SELECT line, first, unnest(range(1, n + 1)) AS i FROM e)
 ), late AS (
   SELECT line FROM (SELECT line, first, min(first) OVER (PARTITION BY h, i) AS e FROM v) WHERE e < first
   UNION
-  SELECT CASE WHEN d.first < v.first THEN v.line ELSE d.line END FROM v JOIN d ON v.h = hash(d.line)
+  SELECT CASE WHEN e.first < v.first THEN v.line ELSE e.line END FROM v JOIN e ON v.h = hash(e.line)
 ), m AS (
-  SELECT t.doc_id, t.k, t.raw, length(t.line) < 24 OR ((t.doc_id, t.k) = d.first AND late.line IS NULL) AS stays
+  SELECT t.doc_id, t.k, t.raw, d.line IS NULL OR ((t.doc_id, t.k) = d.first AND late.line IS NULL) AS stays
   FROM t LEFT JOIN d ON t.line = d.line LEFT JOIN late ON t.line = late.line
 )
 SELECT doc_id, CAST(coalesce(count(k), 0) AS BIGINT) AS n_lines,

@@ -211,7 +211,11 @@ def brute_lines(docs, least, edits=1):
         for line in text.split("\n"):
             bare = line.strip(" \t\n\x0b\x0c\r")
             if len(bare) >= least:
-                if not any(s == bare or (edits and line_dedup.within_one(s, bare)) for s in seen):
+                if not any(s == bare or (edits and len(s) >= least and line_dedup.within_one(s, bare)) for s in seen):
+                    kept.append(line)
+                seen.append(bare)
+            elif any(c.isalnum() for c in bare):
+                if bare not in seen:
                     kept.append(line)
                 seen.append(bare)
             else:
@@ -243,7 +247,7 @@ def test_line_dedup_against_brute_force(spark):
         return draw.choice([line, line[:i] + "x" + line[i:], line[:i] + line[i + 1 :], line[:i] + "y" + line[i + 1 :]])
 
     docs = [(i, "\n".join(edited(draw.choice(stock)) for _ in range(draw.randrange(0, 6)))) for i in range(120)]
-    docs += [(200, None), (201, ""), (202, "\n\n"), (203, "  " + stock[0] + "\t\nshort"), (204, "z" * 5000), (205, "z" * 4999)]
+    docs += [(200, None), (201, ""), (202, "\n\n"), (203, "  " + stock[0] + "\t\nshort"), (206, "short\n--\n\n7\né"), (207, " short\n--\n\n7\n8\né"), (204, "z" * 5000), (205, "z" * 4999)]
     table = spark.createDataFrame([(*r, len(r[1] or ""), "e") for r in docs], "doc_id long, text string, n_chars long, line_no string")
     table = table.repartition(4)
     for edits in (0, 1):
