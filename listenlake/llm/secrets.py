@@ -71,27 +71,50 @@ def _none() -> Column:
     return F.array().cast(SPAN)
 
 
+def running(values: Column, join, block: int = 256) -> Column:
+    """The first value, the first two joined, and so on, of an array of longs. A list that grows by one element a step is
+    copied at each step, so it is built in blocks, and what is ahead of a block comes from the totals of those before it."""
+
+    def plain(some: Column) -> Column:
+        def step(done: Column, v: Column) -> Column:
+            before = F.coalesce(join(F.get(done, F.size(done) - 1), v), v)
+            return F.concat(done, F.array(before)).cast("array<bigint>")
+
+        return F.aggregate(some, F.array().cast("array<bigint>"), step)
+
+    def shifted(blocks: Column) -> Column:
+        ahead = plain(F.transform(blocks, lambda b: F.get(b, F.size(b) - 1)))
+        put = lambda b, a: F.transform(b, lambda v: F.coalesce(join(a, v), v))
+        return let(ahead, lambda a: F.flatten(F.transform(blocks, lambda b, i: put(b, F.get(a, i - 1)))))
+
+    def blocks(values: Column) -> Column:
+        cuts = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / block).cast("int"))
+        return F.transform(cuts, lambda i: plain(F.slice(values, i * block + 1, F.lit(block))))
+
+    return let(let(values, blocks), shifted)
+
+
 def _spans(text: Column, pattern: str, kind: int, value_group: int = 0) -> Column:
     """All matches with their places. What lies between matches, and the matches themselves, give the offsets."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)) if value_group else matches
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), matches.alias("match"), values.alias("value"))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), _none().alias("found"))
-
-    def step(state: Column, part: Column) -> Column:
-        at = state["at"] + F.length(part["gap"])
-        end = at + F.length(part["match"])
-        span = F.struct(
-            at.cast("bigint").alias("start"),
-            F.lit(kind).alias("kind"),
-            end.cast("bigint").alias("end"),
-            part["value"].alias("value"),
-        )
-        return F.when(part["match"].isNull(), state).otherwise(
-            F.struct(end.cast("bigint").alias("at"), F.concat(state["found"], F.array(span)).cast(SPAN).alias("found"))
+
+    def over(both: Column) -> Column:
+        sizes = F.transform(
+            both["matches"], lambda m, i: (F.length(F.get(both["gaps"], i)) + F.length(m)).cast("bigint")
         )
 
-    found = F.aggregate(parts, start, step)["found"]
+        def span(m: Column, end: Column) -> Column:
+            return F.struct(
+                (end - F.length(m)).cast("bigint").alias("start"),
+                F.lit(kind).alias("kind"),
+                end.alias("end"),
+                (F.regexp_extract(m, pattern, value_group) if value_group else m).alias("value"),
+            )
+
+        ends = running(sizes, lambda a, v: a + v)
+        return let(ends, lambda e: F.transform(both["matches"], lambda m, i: span(m, F.get(e, i)))).cast(SPAN)
+
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("matches")
+    found = let(F.struct(matches, F.split(text, pattern, -1).alias("gaps")), over)
     return F.when(text.rlike(pattern), found).otherwise(_none())
 
 
@@ -197,19 +220,32 @@ def spans_text(findings: Column) -> Column:
 
 def redacted(text: Column, findings: Column, mark: str = MARK) -> Column:
     """The text with each stretch of overlapping or touching findings replaced by the mark. findings: in order of start."""
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-
-    def step(state: Column, s: Column) -> Column:
-        apart = (s["start"] > state["at"]) | (state["out"] == "")
-        gap = F.substr(text, (state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int"))
-        return F.struct(
-            F.greatest(state["at"], s["end"]).alias("at"),
-            F.when(apart, F.concat(state["out"], gap, F.lit(mark))).otherwise(state["out"]).alias("out"),
-        )
-
-    done = F.aggregate(findings, start, step)
-    rest = let(done, lambda d: F.concat(d["out"], F.substr(text, (d["at"] + 1).cast("int"), F.length(text))))
-    return F.when(F.size(findings) == 0, text).otherwise(rest)
+    block = 256  # a place in a text is found from its beginning, so gaps are cut from the stretch of their block
+    piece = lambda whole, a, b: F.substr(whole, (a + 1).cast("int"), (b - a).cast("int"))
+
+    def cut(some: Column) -> Column:
+        """Gaps of a block, each with the mark behind it."""
+        a = some[0]["a"]
+        stretch = piece(text, a, F.get(some, F.size(some) - 1)["b"])
+        marked = lambda s: F.transform(some, lambda g: F.concat(piece(s, g["a"] - a, g["b"] - a), F.lit(mark)))
+        return let(stretch, lambda s: F.array_join(marked(s), ""))
+
+    def blocks(gaps: Column) -> Column:
+        cuts = F.sequence(F.lit(0), F.floor((F.size(gaps) - 1) / block).cast("int"))
+        return F.array_join(F.transform(cuts, lambda i: let(F.slice(gaps, i * block + 1, F.lit(block)), cut)), "")
+
+    def over(found: Column) -> Column:
+        def masked(ends: Column) -> Column:
+            before = lambda i: F.coalesce(F.get(ends, i - 1), F.lit(0))
+            gap = lambda s, i: F.struct(before(i).alias("a"), s["start"].alias("b"), i.alias("i"))
+            gaps = F.filter(F.transform(found, gap), lambda g: (g["b"] > g["a"]) | (g["i"] == 0))
+            rest = F.substr(text, (F.get(ends, F.size(ends) - 1) + 1).cast("int"), F.length(text))
+            return F.concat(let(gaps, blocks), rest)
+
+        ends = running(F.transform(found, lambda s: s["end"]), lambda a, v: F.when(a > v, a).otherwise(v))
+        return F.when(F.size(found) == 0, text).otherwise(let(ends, masked))
+
+    return let(findings, over)
 
 
 def redact(docs: DataFrame, **options) -> DataFrame:

@@ -169,3 +169,22 @@ def test_sketches_merge_and_estimate(spark):
         (sketch.sketch_of_hex(sketch.sketch_hex(F.col("a"))) == F.col("a")).alias("back"),
     ).first()
     assert abs(r.j - 0.5) < 0.15 and r.c > 0.8 and abs(r.n - 1996) < 500 and r.back
+
+
+def test_places_and_masks_over_many_blocks(spark):
+    draw = random.Random(8)
+    texts = ["", "deadbeefdeadbeef"]
+    for n in (255, 256, 257, 700):
+        gap = lambda: draw.choice([" ", "", " é ", "\n"])
+        texts.append("".join(gap() + draw.choice(["deadbeefdeadbeef", "AKIA" + "A" * 14, "x"]) for _ in range(n)) + gap())
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in secrets.find_secrets(docs).collect()}
+    masked = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    for i, text in enumerate(texts):
+        assert sorted((f.start, f.kind, f.end) for f in rows[i].base_findings) == sorted(brute_base(text))
+        out, at = "", 0
+        for a, _, b, *_ in rows[i].findings:
+            if a > at or not out:
+                out += text[at:a] + secrets.MARK
+            at = max(at, b)
+        assert masked[i] == out + text[at:]
