@@ -539,7 +539,7 @@ def _hot(found: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
 def linked(
     docs: DataFrame, width: int = WIDTH, similarity: int = SIMILARITY, frequent: int = FREQUENT, hot: int = HOT
 ) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, id, n) of every document and (node, component) of the set ids that link with another."""
+    """(doc_id, text_hash, id, n) of every document and (node, component) of the set ids that link with another."""
     spark = with_code(docs.sparkSession)
     each = _sets(docs, width)
     first = F.min(F.struct("doc_id", "text_hash")).alias("first")
@@ -570,7 +570,7 @@ def linked(
         if not new.isEmpty():
             links = links.unionByName(new)
             known = checkpointed(components(links))
-    return each.select("doc_id", "id", "n"), known
+    return each.select("doc_id", "text_hash", "id", "n"), known
 
 
 def near_documents(docs: DataFrame, **options) -> DataFrame:

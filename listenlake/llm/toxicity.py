@@ -5,12 +5,13 @@ and patterns of form. A generative label model estimates, from how often voters
 balance, each voter's rate of firing on toxic and on other texts, and the correlations that remain within a class;
 correlated voters share their weight. Its posterior labels train a linear classifier, whose output is the score.
 
-Labels are learnt only from rows whose crc32 of doc_id as text is no multiple of 5, of which at most about FIT_ROWS are
-used, drawn by a hash of doc_id; the classifier is fitted on as many rows at most. The statistics of the label model cover
-all documents. A score depends on the text alone.
+Labels are learnt only from rows whose crc32 of doc_id as text is no multiple of 5. They choose the voters and set the class
+balance, and nothing else: the classifier is fitted on posteriors alone. Terms are counted and rated over all rows that may
+be learnt from; at most about FIT_ROWS of these, drawn by a hash of doc_id, are what the lexicon has to cover, and the
+classifier is fitted on as many rows at most. The statistics of the label model cover all documents. A score depends on the text alone.
 
 Null and empty texts are scored like a text without findings. Labels may miss, repeat (toxic if any row says so) or be
-null (not learnt from). Without toxic labels, or without documents, every score is the class balance, 0.01 at least and
+null (not learnt from). Without toxic labels, documents, or a term that passes, every score is the class balance, 0.01 at least and
 0.4 at most. Rows that repeat are scored each for itself; extra columns of the input stay in drop_toxic() and go elsewhere.
 """
 
@@ -27,20 +28,20 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from listenlake.llm.common import staged, texts
 
 FIT_ROWS = 20_000
 STEMS = (4, 5, 6, 7, 8)  # lengths of the word beginnings that may enter the lexicon
 DENSE = 0.008  # an entry may ask for this part of a text's words
-ENTRIES = 400
-TERMS = 50_000  # candidates for the lexicon, by number of toxic texts
+HELD = 500_000  # terms that a task counts together
 LEAST_TEXTS = 3
 LEAST_LIFT = 8.0
 LEAST_PURITY = 0.6  # part of an entry's labelled texts that must be toxic
-RATED = 4_000  # terms that the choice of entries looks at, most strongly associated first
 COVER = 2  # entries that a toxic text needs; one that adds little to texts with fewer is left out
 FOLDS = 8
+UNKNOWN = 100  # texts of a form's overall rate that are added to either class
 
 WORD = re.compile(r"\w+").findall
 SHOUT = re.compile(r"!{2,}|\?{2,}").search
@@ -53,7 +54,6 @@ PATTERNS = (
     ("masked words", lambda t: float(MASKED(t) is not None), 0.5),
     ("short", lambda t: float(len(t) < 80), 0.5),
 )
-GOLD = 0.995  # how far a given label is trusted
 
 
 @dataclass
@@ -117,21 +117,24 @@ class Model:
 
 
 VOTERS = FOLDS + 3 + len(PATTERNS)
+FORMS = np.isin(np.arange(VOTERS), range(FOLDS + 2, FOLDS + 2 + len(PATTERNS)))
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(5)) == 0, F.lit(False))
 
 
-def fit_labels(labels: DataFrame, most: int = FIT_ROWS) -> DataFrame:
-    """(doc_id, toxic) of at most about `most` rows that may be learnt from."""
+def learnable(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of the labels that may be learnt from."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    return known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+
+
+def fit_labels(known: DataFrame, most: int = FIT_ROWS) -> DataFrame:
+    """At most about `most` of the rows, drawn by a hash of doc_id."""
     count = known.count()
-    if count > most:
-        draw = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30))
-        known = known.filter(draw < int(most / count * (1 << 30)))
-    return known
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30))
+    return known.filter(draw < int(most / count * (1 << 30))) if count > most else known
 
 
 def _terms(text: str) -> set[str]:
@@ -146,18 +149,29 @@ def _terms(text: str) -> set[str]:
     return {*counts, *[t + "@" for t, n in counts.items() if n >= bound]}
 
 
-def _term_counts(rows: DataFrame, among: frozenset[str] | None) -> DataFrame:
-    """(term, texts) of a column of texts."""
+def _term_counts(rows: DataFrame) -> DataFrame:
+    """(term, pos, neg): in how many toxic and other texts each term stands; rows: (text, toxic). A task adds up what it sees
+    and hands it on whenever it holds HELD terms."""
 
     def over(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: Counter[str] = Counter()
+        held: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
+
+        def handed() -> Iterator[pd.DataFrame]:
+            for toxic, counts in enumerate(held):
+                frame = pd.DataFrame({"term": pd.Series(list(counts), dtype=object), "n": pd.Series(list(counts.values()), dtype="int64")})
+                yield frame.assign(toxic=np.int32(toxic))[["term", "toxic", "n"]]
+                counts.clear()
+
         for frame in frames:
-            for text in frame["text"]:
-                found = _terms(text)
-                counts.update(found if among is None else found & among)
-        yield pd.DataFrame({"term": list(counts), "texts": list(counts.values())}).astype({"term": str, "texts": "int64"})
+            for text, toxic in zip(frame["text"], frame["toxic"]):
+                held[int(toxic == 1)].update(_terms(text))
+                if len(held[0]) + len(held[1]) > HELD:
+                    yield from handed()
+        yield from handed()
 
-    return rows.select("text").mapInPandas(over, "term string, texts bigint").groupBy("term").agg(F.sum("texts").alias("texts"))
+    found = rows.select("text", "toxic").mapInPandas(over, "term string, toxic int, n bigint")
+    one = lambda k: F.sum(F.when(F.col("toxic") == k, F.col("n")).otherwise(0))
+    return found.groupBy("term").agg(one(1).alias("pos"), one(0).alias("neg"))
 
 
 def _terms_of_each(rows: DataFrame, among: frozenset[str]) -> list[list[str]]:
@@ -170,40 +184,37 @@ def _terms_of_each(rows: DataFrame, among: frozenset[str]) -> list[list[str]]:
     return [r["terms"] for r in rows.select(found("text").alias("terms")).collect()]
 
 
-def _g2(pos: int, neg: int, all_pos: int, all_neg: int) -> float:
-    """Log-likelihood ratio of a term's association with toxic texts."""
-    total, seen = all_pos + all_neg, pos + neg
+def _g2(all_pos: int, all_neg: int) -> Column:
+    """Log-likelihood ratio of a term's association with toxic texts, from its counts pos and neg."""
+    total, seen = float(all_pos + all_neg), F.col("pos") + F.col("neg")
+    sum_ = F.lit(0.0)
+    for o, n in (("pos", float(all_pos)), ("neg", float(all_neg))):
+        for seen_here, of in ((F.col(o).cast("double"), seen), (n - F.col(o), total - seen)):
+            ratio = seen_here * total / (of * n)
+            sum_ = sum_ + F.when(seen_here > 0, seen_here * F.log(ratio)).otherwise(0.0)
+    return 2 * sum_
 
-    def cell(o: float, e: float) -> float:
-        return o * math.log(o / e) if o else 0.0
 
-    rows = ((pos, all_pos), (neg, all_neg))
-    return 2 * sum(cell(o, seen * n / total) + cell(n - o, (total - seen) * n / total) for o, n in rows if n)
-
-
-def mine_lexicon(labelled: DataFrame) -> Model:
-    """A model with a lexicon alone. labelled: (text, toxic) of the rows to learn from; at most TERMS terms and their
-    counts pass the driver. A term enters if its association would be rare by chance among all terms tried; of terms of
-    which one begins the other, the more strongly associated enters, of equals the longer."""
+def mine_lexicon(labelled: DataFrame, sample: DataFrame) -> Model:
+    """A model with a lexicon alone. labelled: (text, toxic) of all rows that may be learnt from, over which terms are counted
+    and rated; sample: a bounded part of them, whose toxic texts the entries have to cover. A term enters if its association
+    would be rare by chance among all terms tried; of terms of which one begins the other, the more strongly associated
+    enters, of equals the longer. What passes the driver are terms that stand in LEAST_TEXTS toxic texts of the sample."""
     sizes = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
     all_pos, all_neg = sizes.get(1, 0), sizes.get(0, 0)
     if not all_pos or not all_neg:
         return Model()
-    toxic = _term_counts(labelled.filter("toxic = 1"), None).filter(F.col("texts") >= LEAST_TEXTS)
-    pos = {r["term"]: r["texts"] for r in toxic.orderBy(F.desc("texts"), "term").limit(TERMS).collect()}
-    among = frozenset(pos)
-    neg = {r["term"]: r["texts"] for r in _term_counts(labelled.filter("toxic = 0"), among).collect()}
-    bound = 2 * math.log(20 * max(1, len(pos)))
-    rated = []
-    for term, p in pos.items():
-        n = neg.get(term, 0)
-        lift = (p / all_pos) / ((n + 0.5) / (all_neg + 1))
-        g2 = _g2(p, n, all_pos, all_neg)
-        if lift >= LEAST_LIFT and g2 >= bound and p >= LEAST_PURITY * (p + n):
-            rated.append((-g2, -len(term.rstrip("*@")), term))
-    rated = [term for _, _, term in sorted(rated)[:RATED]]
+    counts = staged(_term_counts(labelled).filter(F.col("pos") >= LEAST_TEXTS))
+    lift = (F.col("pos") / all_pos) / ((F.col("neg") + 0.5) / (all_neg + 1))
+    bound = 2 * math.log(20 * max(1, counts.count()))
+    firm = (lift >= LEAST_LIFT) & (F.col("pos") >= LEAST_PURITY * (F.col("pos") + F.col("neg")))
+    firm = counts.withColumn("g2", F.round(_g2(all_pos, all_neg), 6)).filter(firm & (F.col("g2") >= bound))
+    there = _term_counts(sample.filter("toxic = 1")).filter(F.col("pos") >= LEAST_TEXTS).select("term")
+    found = firm.join(there, "term").collect()
+    pos, neg = ({r["term"]: r[c] for r in found} for c in ("pos", "neg"))
+    rated = [t for _, _, t in sorted((-r["g2"], -len(r["term"].rstrip("*@")), r["term"]) for r in found)]
     where: dict[str, list[int]] = {term: [] for term in rated}
-    for i, found in enumerate(_terms_of_each(labelled.filter("toxic = 1"), frozenset(rated))):
+    for i, found in enumerate(_terms_of_each(sample.filter("toxic = 1"), frozenset(rated))):
         for term in found:
             where[term].append(i)
     chosen: list[str] = []
@@ -215,10 +226,8 @@ def mine_lexicon(labelled: DataFrame) -> Model:
         if not related and open_ >= max(LEAST_TEXTS, 0.2 * len(where[term])):
             chosen.append(term)
             covered.update(where[term])
-        if len(chosen) == ENTRIES:
-            break
     model = Model(prior=min(0.4, max(0.01, all_pos / (all_pos + all_neg))))
-    chosen.sort(key=lambda t: (neg.get(t, 0) / pos[t], t))
+    chosen.sort(key=lambda t: (neg[t] / pos[t], t))
     for k, term in enumerate(chosen):
         (model.stems if "*" in term else model.words)[term.rstrip("*@")] = k
         model.least.append(DENSE if term.endswith("@") else 0.0)
@@ -259,35 +268,36 @@ def _moments(x: np.ndarray, n: np.ndarray, prior: float) -> tuple[np.ndarray, np
     return np.stack([on, off], axis=1), dependent
 
 
-def label_model(patterns: list[tuple[int, int, int, int]], prior: float, rounds: int = 60):
-    """(posterior of each pattern, prior, rates, shares) from (votes as bits, rows, rows labelled 1, rows labelled 0).
+def label_model(patterns: list[tuple[int, int]], prior: float, rounds: int = 60):
+    """(posterior of each pattern, rates, shares) from (votes as bits, rows) and the class balance. No label is looked at.
 
     Begins with the rates and dependences that the covariances give, then alternates between posteriors and rates. The
     correlation of two voters within the classes, as the posteriors weigh them, lessens the share that both have in the log
-    odds."""
+    odds. A form leans to neither class until it fires more often in one than UNKNOWN texts of the overall rate make up for."""
     bits = np.array([p[0] for p in patterns], np.int64)
-    n, pos, neg = (np.array([p[k] for p in patterns], float) for k in (1, 2, 3))
+    n = np.array([p[1] for p in patterns], float)
     x = _places(bits)
     rates, dependent = _moments(x, n, prior)
     shares = 1 / (1 + dependent.sum(axis=1))
-    gold = math.log(GOLD / (1 - GOLD))
+    held = UNKNOWN * FORMS * np.average(x, axis=0, weights=n)
     odds = None
     for _ in range(rounds):
         on, off = rates[:, 0], rates[:, 1]
         single = x * np.log(on / off)  # a voter that abstains says nothing
         odds = math.log(prior / (1 - prior)) + single @ shares
-        free = 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
-        told = lambda s: 1 / (1 + np.exp(-np.clip(odds + s * gold, -40, 40)))
-        toxic = free * (n - pos - neg) + told(1) * pos + told(-1) * neg
+        toxic = n / (1 + np.exp(-np.clip(odds, -40, 40)))
         clean = n - toxic
-        rates = np.stack(
-            [
-                np.clip((toxic @ x + 0.5) / (toxic.sum() + 1), 1e-6, 1 - 1e-6),
-                np.clip((clean @ x + 0.05) / (clean.sum() + 1), 1e-6, 1 - 1e-6),
-            ],
-            axis=1,
+        rates = np.clip(
+            np.stack(
+                [
+                    (toxic @ x + 0.5 * ~FORMS + held) / (toxic.sum() + 1 + UNKNOWN * FORMS),
+                    (clean @ x + 0.05 * ~FORMS + held) / (clean.sum() + 1 + UNKNOWN * FORMS),
+                ],
+                axis=1,
+            ),
+            1e-6,
+            1 - 1e-6,
         )
-        prior = float(np.clip(toxic.sum() / n.sum(), 0.005, 0.5))
         both = np.zeros((VOTERS, VOTERS))
         for weight in (toxic, clean):
             mean = weight @ x / max(1e-9, weight.sum())
@@ -296,7 +306,7 @@ def label_model(patterns: list[tuple[int, int, int, int]], prior: float, rounds:
             both += cov / np.outer(sd, sd) * weight.sum() / n.sum()
         np.fill_diagonal(both, 0)
         shares = 1 / (1 + np.where(both > 0.1, both, 0).sum(axis=1))
-    return 1 / (1 + np.exp(-np.clip(odds, -40, 40))), prior, rates, shares
+    return 1 / (1 + np.exp(-np.clip(odds, -40, 40))), rates, shares
 
 
 def train_linear(x: np.ndarray, target: np.ndarray, ridge: float = 0.05, rounds: int = 30) -> list[float]:
@@ -317,10 +327,10 @@ def train_linear(x: np.ndarray, target: np.ndarray, ridge: float = 0.05, rounds:
     return w.tolist()
 
 
-def _featured(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, x, votes) of all documents."""
-    rows = texts(docs)
-    kind = rows.schema["doc_id"].dataType.simpleString()
+def _featured(docs: DataFrame, model: Model, carried: list[str]) -> DataFrame:
+    """(row, x, votes) of all documents: row holds the columns carried, x the features."""
+    row = F.struct(*[F.col(f"`{c}`") for c in carried]) if carried else F.lit(None).cast("struct<none:int>")
+    rows = docs.select(row.alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -329,69 +339,52 @@ def _featured(docs: DataFrame, model: Model) -> DataFrame:
             x = np.stack([model.features(t) for t in batch.column(1).to_pylist()])
             votes = (model.votes(x) @ (1 << np.arange(VOTERS))).astype(np.int32)
             lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(votes)], names=["doc_id", "x", "votes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(votes)], names=["row", "x", "votes"])
 
-    return rows.mapInArrow(over, f"doc_id {kind}, x array<float>, votes int")
+    schema = T.StructType([rows.schema["row"], *T._parse_datatype_string("x array<float>, votes int").fields])
+    return staged(rows.mapInArrow(over, schema))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> tuple[Model, DataFrame]:
-    """The fitted model and (doc_id, x, votes) of all documents, written once."""
-    known = staged(fit_labels(labels, most))  # at most about `most` rows, so it may be broadcast
-    labelled = texts(docs).join(F.broadcast(known), "doc_id").select("text", "toxic").dropDuplicates()
-    model = mine_lexicon(labelled)
-    seen = staged(_featured(docs, model))
-    told = seen.join(F.broadcast(known), "doc_id", "left")
-    one = lambda k: F.sum(F.when(F.col("toxic") == k, 1).otherwise(0))
-    patterns = told.groupBy("votes").agg(F.count("*"), one(1), one(0)).collect()  # at most 2^VOTERS rows
-    patterns = sorted(tuple(p) for p in patterns)
+def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS, carried: list[str] | None = None) -> tuple[Model, DataFrame]:
+    """The fitted model and (row, x, votes) of all documents, written once; row holds the columns carried, doc_id alone if
+    not told. Labels choose the voters and set the class balance; what the classifier is trained on are posteriors of votes."""
+    learnt = staged(learnable(labels))
+    known = staged(fit_labels(learnt, most))  # at most about `most` rows, so it may be broadcast
+    model = mine_lexicon(texts(docs).join(learnt, "doc_id"), texts(docs).join(F.broadcast(known), "doc_id"))
+    carried = carried or ["doc_id"]
+    seen = _featured(docs, model, carried)
+    patterns = sorted(tuple(p) for p in seen.groupBy("votes").count().collect())  # at most 2^VOTERS rows
     if not model.entries or not patterns:
         return model, seen
-    posterior, model.prior, rates, shares = label_model(patterns, model.prior)
+    posterior, rates, shares = label_model(patterns, model.prior)
     model.rates, model.shares = [tuple(r) for r in rates.tolist()], shares.tolist()
-    open_ = told.filter(~held_out(F.col("doc_id")))
+    open_ = seen.filter(~held_out(F.col("row.doc_id")))
     count = open_.count()
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 30))
-    rows = open_.filter(draw < int(min(1.0, most / max(1, count)) * (1 << 30))).select("x", "votes", "toxic").collect()
+    draw = F.pmod(F.xxhash64("row.doc_id", F.lit(2)), F.lit(1 << 30))
+    rows = open_.filter(draw < int(min(1.0, most / max(1, count)) * (1 << 30))).select("x", "votes").collect()
     if not rows:
         return model, seen
     by = dict(zip([p[0] for p in patterns], posterior.tolist()))
-    gold = GOLD / (1 - GOLD)
-
-    def target(votes: int, toxic: int | None) -> float:
-        p = by[votes]
-        if toxic is None:
-            return p
-        odds = p / max(1e-12, 1 - p) * (gold if toxic else 1 / gold)
-        return odds / (1 + odds)
-
     x = np.array([r["x"] for r in rows], np.float32)
-    model.weights = train_linear(x, np.array([target(r["votes"], r["toxic"]) for r in rows]))
+    model.weights = train_linear(x, np.array([by[r["votes"]] for r in rows]))
     return model, seen
 
 
 def scored(seen: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) from the features of fit()."""
+    return seen.select("row.doc_id", score_features(F.col("x"), model).alias("score"))
+
 
+def score_features(features: Column, model: Model) -> Column:
     @F.pandas_udf("double")
     def score(x: pd.Series) -> pd.Series:
         return pd.Series(model.score(np.stack(x.to_list()).astype(float)) if len(x) else [], dtype=float)
 
-    return seen.select("doc_id", score("x").alias("score"))
-
-
-def score_text(text: Column, model: Model) -> Column:
-    """Score of a text column, null and empty texts included."""
-
-    @F.pandas_udf("double")
-    def score(t: pd.Series) -> pd.Series:
-        if not len(t):
-            return pd.Series([], dtype=float)
-        return pd.Series(model.score(np.stack([model.features(x) for x in t]).astype(float)))
-
-    return score(F.coalesce(text, F.lit("")))
+    return score(features)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, bound: float = 0.5) -> DataFrame:
-    """The documents whose score is below the bound, unchanged."""
-    model, _ = fit(docs, labels)
-    return docs.filter(score_text(F.col("text"), model) < bound)
+    """The documents whose score is below the bound, unchanged. Each text is looked at once for its features, which are
+    written beside the row."""
+    model, seen = fit(docs, labels, carried=docs.columns)
+    return seen.filter(score_features(F.col("x"), model) < bound).select("row.*")
