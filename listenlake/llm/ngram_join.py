@@ -50,7 +50,7 @@ WIDTH, SIMILARITY = 5, 80
 FREQUENT = 64
 HOT = 1_000_000
 SEGMENTS = 4  # fragments of the order for common shingles
-COUNTED = 4_000_000  # shingles of a fragment of the counts
+COUNTED = 1_000_000  # shingles of a fragment of the counts, which one task adds up in memory
 CHUNK = 1_000_000  # shingles that a task counts together
 BLOCK = 1024
 FEW = 4
@@ -236,8 +236,9 @@ def _frequencies(docs: DataFrame, width: int, fragments: int, more_than: int) ->
     def added(table: pa.Table) -> pa.Table:
         low = np.frombuffer(b"".join(table.column("low").to_pylist()), "<u4")
         times = np.frombuffer(b"".join(table.column("times").to_pylist()), "<u4")
-        order = np.argsort(low, kind="stable")
-        low, times = low[order], times[order]
+        both = low.astype(np.uint64) << np.uint64(32) | times
+        both.sort()
+        low, times = both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)
         starts = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]])) if len(low) else np.zeros(0, np.int64)
         df = np.add.reduceat(times.astype(np.int64), starts) if len(low) else np.zeros(0, np.int64)
         keep = df > more_than
