@@ -105,6 +105,9 @@ STEPS = (
 )
 # ---- End of fixed values. --------------------------------------------------------------------------------------
 
+# The steps that need a bracket; a name without one skips them.
+BRACKETED = slice(2, 8)
+
 # FEATURED with word borders around its words.
 FEATURED_WORDS = r"\s*[\(\[]?\b(feat\.?|ft\.?|featuring|with|vs\.?|versus)\b.*?[\)\]]?$"
 
@@ -139,7 +142,12 @@ def normalize_text(value: Column | str, *, null_as_empty: bool = False, strict_w
     steps = tuple((FEATURED_WORDS if strict_words and p is FEATURED else p, r) for p, r in STEPS)
     lowered = F.lower(_column(value))
     marked = lowered.rlike(java_regex(MARKER))
-    out = F.when(marked, _replace_all(lowered, steps)).otherwise(_replace_all(lowered, SHORT_STEPS))
+    first, last = BRACKETED.start, BRACKETED.stop
+    before = _replace_all(lowered, steps[:first])
+    within = F.transform(  # a lambda, so that what comes before is worked out once
+        F.array(before), lambda x: F.when(x.rlike(r"[(\[]"), _replace_all(x, steps[first:last])).otherwise(x)
+    )
+    out = F.when(marked, _replace_all(within[0], steps[last:])).otherwise(_replace_all(lowered, SHORT_STEPS))
     return F.coalesce(out, F.lit("")) if null_as_empty else out
 
 

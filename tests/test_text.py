@@ -119,3 +119,9 @@ def test_expected_names(spark):
     df = spark.createDataFrame([(n,) for n in EXPECTED], "name string")
     got = {r.name: r.n for r in df.select("name", T.normalize_text("name").alias("n")).collect()}
     assert got == EXPECTED
+
+
+def test_steps_that_may_be_skipped_need_a_bracket():
+    """All between the first dash suffix and the featured artists begin with an opening bracket, and no other step does."""
+    needs = [p.startswith(r"\s*[\(\[](") for p, _ in T.STEPS]
+    assert [i for i, need in enumerate(needs) if need] == list(range(*T.BRACKETED.indices(len(T.STEPS))))
