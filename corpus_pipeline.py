@@ -6,8 +6,9 @@ docs. All but the last keep the columns of documents.
     toxicity     documents with a score of 0.5 or more go
     line_dedup   a line with a letter or digit that equals an earlier line goes, and of 24 characters or more also one within
                  an edit of an earlier one; documents stay
-    simhash      of documents linked by a Jaccard similarity of 0.8 or more of five-word shingles the one with the least
-                 doc_id stays (near_copies, exact: no radius of op3's masks reaches that far)
+    simhash      of documents whose SimHash fingerprints are linked at two or fewer differing bits (op3) the one with the least
+                 doc_id stays; of those left, the one of each group linked by a Jaccard similarity of 0.8 or more of five-word
+                 shingles (near_copies, exact: no radius of op3's masks reaches that far)
     secrets      findings are masked; documents stay
     packing      every piece of every document gets its place in a sequence
 """
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from listenlake.llm import line_dedup, near_copies, packing, secrets, toxicity
+from listenlake.llm import line_dedup, near_copies, packing, secrets, simhash, toxicity
 from listenlake.llm.common import staged, with_code
 
 
@@ -31,7 +32,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     with_code(spark)
-    return near_copies.keep_one(docs)
+    return near_copies.keep_one(staged(simhash.keep_one(docs)))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

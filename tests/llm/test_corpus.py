@@ -147,3 +147,12 @@ def test_line_stage_drops_short_equal_lines(spark):
     assert got[0].text == rows[0][1]
     assert all(got[i].text == f"body of {i}\n\n}}\nend {i}" and got[i].n_chars == len(got[i].text) for i in range(1, 6))
     assert got[10].text == "All rights reserved!" and got[11].text == "" and got[12].text is None  # no edits on short lines
+
+
+def test_simhash_stage_links_by_fingerprints(spark):
+    """Texts that repeat one passage and end differently: fingerprints are equal, the Jaccard similarity is below a half."""
+    texts = ["one two three four five " * 40 + end for end in ("six seven eight", "ten eleven twelve")]
+    rows = [(1, texts[0], "en", "web", 9), (2, texts[1], "en", "web", 9), (3, "something else that stands alone here", "en", "web", 9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    left = corpus_pipeline.simhash_stage(spark, docs, "")
+    assert sorted(r.doc_id for r in left.collect()) == [1, 3]
