@@ -35,6 +35,7 @@ from listenlake.llm.common import staged, texts
 FIT_ROWS = 20_000
 STEMS = (4, 5, 6, 7, 8)  # lengths of the word beginnings that may enter the lexicon
 DENSE = 0.008  # an entry may ask for this part of a text's words
+FILTER_BITS = 16  # for each label, of the filter in front of the join
 HELD = 500_000  # terms that a task counts together
 LEAST_TEXTS = 3
 LEAST_LIFT = 8.0
@@ -137,6 +138,20 @@ def fit_labels(known: DataFrame, most: int = FIT_ROWS) -> DataFrame:
     return known.filter(draw < int(most / count * (1 << 30))) if count > most else known
 
 
+def _labelled(docs: DataFrame, learnt: DataFrame) -> DataFrame:
+    """Documents with their labels. Most documents have none: bits of hashes of the labelled ids, FILTER_BITS of them per
+    label, keep nearly all of their texts out of the exchange. Sorted and merged at any size."""
+    if docs.schema["doc_id"].dataType == learnt.schema["doc_id"].dataType:  # else equal ids may have other hashes
+        place = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(FILTER_BITS * max(1, learnt.count())))
+        bucket, bit = F.bitmap_bucket_number(place), F.bitmap_bit_position(place)
+        bits = learnt.groupBy(bucket.alias("_bucket")).agg(F.bitmap_construct_agg(bit).alias("_bits"))
+        met = docs.withColumn("_bucket", bucket).withColumn("_bit", bit).join(F.broadcast(bits), "_bucket")
+        byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        power = F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), (F.col("_bit") % 8).cast("int") + 1)
+        docs = met.filter(byte.bitwiseAND(power) != 0).select(*docs.columns)
+    return docs.join(learnt.hint("merge"), "doc_id")
+
+
 def _terms(text: str) -> set[str]:
     """Words, beginnings (marked *) and those of either that make up DENSE of the words (marked @)."""
     words = WORD(text.lower())
@@ -350,7 +365,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS, carried: list[
     not told. Labels choose the voters and set the class balance; what the classifier is trained on are posteriors of votes."""
     learnt = staged(learnable(labels))
     known = staged(fit_labels(learnt, most))  # at most about `most` rows, so it may be broadcast
-    model = mine_lexicon(texts(docs).join(learnt, "doc_id"), texts(docs).join(F.broadcast(known), "doc_id"))
+    model = mine_lexicon(_labelled(texts(docs), learnt), texts(docs).join(F.broadcast(known), "doc_id"))
     carried = carried or ["doc_id"]
     seen = _featured(docs, model, carried)
     patterns = sorted(tuple(p) for p in seen.groupBy("votes").count().collect())  # at most 2^VOTERS rows

@@ -149,6 +149,19 @@ def test_line_stage_drops_short_equal_lines(spark):
     assert got[10].text == "All rights reserved!" and got[11].text == "" and got[12].text is None  # no edits on short lines
 
 
+def test_texts_without_a_label_stay_out_of_the_exchange(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    docs = docs.unionByName(docs.filter("doc_id = 7")).unionByName(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+    marks = spark.range(0, 8000, 40).select(F.col("id").alias("doc_id"), (F.col("id") % 3 == 0).cast("int").alias("toxic"))
+    marks = marks.unionByName(spark.createDataFrame([(7, 1)], "doc_id bigint, toxic int"))
+    made = toxicity._labelled(docs, marks)
+    want = docs.join(marks, "doc_id")
+    assert sorted(map(tuple, made.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "bitmap_construct_agg" in plan and "strategy=merge" in plan
+    assert toxicity._labelled(docs, marks.limit(0)).isEmpty()
+
+
 def test_simhash_stage_links_by_fingerprints(spark):
     """Texts that repeat one passage and end differently: fingerprints are equal, the Jaccard similarity is below a half."""
     texts = ["one two three four five " * 40 + end for end in ("six seven eight", "ten eleven twelve")]
