@@ -38,12 +38,12 @@ def join_spread(
     """Join many ``rows`` with at most one ``per_key`` row on ``key``, a hot key cut into ``salts`` pieces.
 
     ``_salt`` stays in the result: grouping by ``(key, _salt, ...)`` afterwards needs no second exchange as long as
-    ``spread_by`` is made of group columns. Small ``per_key`` sides are still broadcast by Spark after it has seen
-    their size.
+    ``spread_by`` is made of group columns. The copies are ``salts`` times what Spark expects from the size of
+    ``per_key``, and a broadcast once planned stays; so both sides are sorted and merged.
     """
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
     copies = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [key, "_salt"], how)
+    return salted.join(copies.hint("merge"), [key, "_salt"], how)
 
 
 def catalogue_join(rows: DataFrame, catalogue: DataFrame, key: str, salts: int = SALTS) -> DataFrame:

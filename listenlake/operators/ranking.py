@@ -83,7 +83,7 @@ def rank_normalised(df: DataFrame, bands: int = BANDS, key: str = "track_id") ->
     )
     salt = F.pmod(F.xxhash64(F.col(key)), F.lit(SALTS)).cast("int")
     copies = scale.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return df.withColumn("_salt", salt).join(copies, ["username", "score", "_salt"], "left").drop("_salt")
+    return df.withColumn("_salt", salt).join(copies.hint("merge"), ["username", "score", "_salt"], "left").drop("_salt")
 
 
 def share_of_best(df: DataFrame, score: str = "weighted_score", name: str = "score_pct") -> DataFrame:
