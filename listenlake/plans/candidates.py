@@ -364,9 +364,9 @@ def album_catalogue(
     )
     if albums_kept is not None:
         kept = best_per_key(kept, ["artist_name"], [F.col("pos"), F.col("album_name")], albums_kept)
-    listed = kept.select("artist_name", "album_name", "playcount").join(
-        album_tracks.select("artist_name", "album_name", "track_name"), ["artist_name", "album_name"]
-    )
+    # The catalogue's names are many times the file they come from, which Spark would broadcast by its size.
+    entries = album_tracks.select("artist_name", "album_name", "track_name").hint("merge")
+    listed = kept.select("artist_name", "album_name", "playcount").join(entries, ["artist_name", "album_name"])
     listed = listed.withColumn("track_id", canonical_track_id("track_name", "artist_name"))
     return listed.groupBy("artist_name", "track_id").agg(
         F.max("playcount").alias("album_playcount"),

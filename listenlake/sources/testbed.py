@@ -458,7 +458,7 @@ class Testbed:
         parts = self.table("part").select(
             F.col("p_partkey").alias("o_orderkey"), canonical_track_id("p_name", "p_brand").alias("track_id")
         )
-        picked = orders.select("o_orderkey", "o_custkey", "o_orderdate").join(parts, "o_orderkey")
+        picked = orders.select("o_orderkey", "o_custkey", "o_orderdate").join(parts.hint("merge"), "o_orderkey")
         names = self.tracks().select("track_id", "track_name", "artist_name")
         return picked.join(names, "track_id").groupBy(
             F.col("o_custkey").cast("string").alias("username"), "track_id", "track_name", "artist_name"
@@ -469,7 +469,7 @@ class Testbed:
         orders = self.table("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate")
         lines = self.table("lineitem").filter(F.col("l_returnflag") == "R").select("l_orderkey", "l_partkey")
         parts = self.table("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("artist_name"))
-        back = lines.join(orders, "l_orderkey").join(parts, "l_partkey")
+        back = lines.join(orders, "l_orderkey").join(parts.hint("merge"), "l_partkey")
         counts = back.groupBy(F.col("o_custkey").cast("string").alias("username"), "artist_name").agg(
             F.count("*").alias("n"), F.max(F.col("o_orderdate").cast("timestamp")).alias("excluded_at")
         )
