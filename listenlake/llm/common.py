@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import itertools
 import os
 import shutil
 import tempfile
@@ -37,8 +39,23 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: So many small tables are stored from one call of released() to the next.
+RELEASE_EVERY = 4
+_stored = itertools.count(1)
+
+
+def released(spark: SparkSession) -> None:
+    """Files of finished shuffles go. Spark keeps them until the driver happens to collect its garbage, which may be long: steps
+    on small tables fill no heap, but each leaves three files for every task that writes to a shuffle."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """As staged(), for small tables in loops: Spark removes the files once nothing refers to them."""
+    """As staged(), for small tables in loops: Spark removes the files once nothing refers to them, and those of shuffles
+    behind them."""
+    if next(_stored) % RELEASE_EVERY == 0:
+        released(df.sparkSession)
     shared_folder(df.sparkSession)
     if df.sparkSession.sparkContext.getCheckpointDir() is None:
         df.sparkSession.sparkContext.setCheckpointDir(shared_folder(df.sparkSession))

@@ -126,7 +126,7 @@ def _shingled(data: np.ndarray, ends: np.ndarray, width: int) -> list[np.ndarray
     return out
 
 
-def shingle_sets(column: pa.Array, width: int = WIDTH, most: int = 1_000_000) -> Iterator[np.ndarray]:
+def shingle_sets(column: pa.Array, width: int = WIDTH, most: int = 250_000) -> Iterator[np.ndarray]:
     """The distinct shingle hashes of each text of a column, worked out for about `most` bytes at a time."""
     column = column.cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
