@@ -7,6 +7,7 @@ import itertools
 import os
 import shutil
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable
 from pathlib import Path
@@ -41,13 +42,17 @@ def staged(df: DataFrame) -> DataFrame:
 
 #: So many small tables are stored from one call of released() to the next.
 RELEASE_EVERY = 4
+#: Seconds to wait where large shuffles are let go.
+LARGE_WAIT = 1.5
 _stored = itertools.count(1)
 
 
-def released(spark: SparkSession) -> None:
+def released(spark: SparkSession, wait: float = 0) -> None:
     """Files of finished shuffles go. Spark keeps them until the driver happens to collect its garbage, which may be long: steps
-    on small tables fill no heap, but each leaves three files for every task that writes to a shuffle."""
+    on small tables fill no heap, but each leaves three files for every task that writes to a shuffle. wait: so many seconds,
+    for the JVM is told of what Python has dropped by a thread that looks once a second; without, that goes next time."""
     gc.collect()
+    time.sleep(wait)
     spark.sparkContext._jvm.System.gc()
 
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from listenlake.llm.common import checkpointed, staged
+from listenlake.llm.common import LARGE_WAIT, checkpointed, released, staged
 
 LEAST = 24
 SIGNS = 1
@@ -117,8 +117,10 @@ def _same_document(a: DataFrame, b: DataFrame) -> Column:
 
 def _eligible(distinct: DataFrame) -> DataFrame:
     """Distinct lines that share an anchor with another one."""
-    keys = distinct.select("id1", F.explode("anchors").alias("anchor")).distinct()
-    shared = keys.groupBy("anchor").agg(F.count("*").alias("lines")).filter("lines > 1")
+    keys = distinct.select("id1", F.explode("anchors").alias("anchor"))
+    # Two lines or more if the least and the greatest differ; this needs no exchange of the distinct pairs before.
+    ends = keys.groupBy("anchor").agg(F.min("id1").alias("least"), F.max("id1").alias("most"))
+    shared = ends.filter("least < most").select("anchor")
     ids = keys.join(shared, "anchor").select("id1").distinct()
     return distinct.join(ids, "id1", "left_semi").drop("anchors")
 
@@ -252,11 +254,14 @@ def kept_lines(docs: DataFrame, least: int = LEAST, edits: int = EDITS, signs: i
     distinct = staged(distinct.select("id1", "id2", "first.doc_id", "first.doc_hash", "first.line_no", "first.anchors"))
     stay = distinct.drop("anchors")
     if edits:
+        # Files of finished shuffles go before all texts are exchanged: after anchors, and after variants.
         eligible = checkpointed(_eligible(distinct))
+        released(docs.sparkSession, LARGE_WAIT)
         lines = _with_text(eligible, docs)
         for parts in FINE:
             lines = checkpointed(_finer(lines, parts))
         dropped = checkpointed(near_repeats(lines))
+        released(docs.sparkSession, LARGE_WAIT)
         stay = stay.join(dropped, ["id1", "id2"], "left_anti")
     return stay.select("doc_id", "doc_hash", "line_no")
 
