@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import itertools
 import os
@@ -9,9 +10,10 @@ import shutil
 import tempfile
 import time
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -67,6 +69,25 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spare() -> None:
+    """What this process has freed goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim is not None:
+        trim(0)
+
+
+def lean(over: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """over, a function of mapInArrow or mapInPandas, with a worker that keeps no memory of a finished task. Workers wait for
+    their next task, several of them a core, and what each still holds of its largest one counts against the executor."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from over(batches)
+        spare()
+
+    return run
+
+
 #: Rows of a batch between Spark and Python. Texts may be long, so batches are small.
 BATCH_ROWS = 1000
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from listenlake.llm.common import LARGE_WAIT, checkpointed, released, staged
+from listenlake.llm.common import LARGE_WAIT, checkpointed, lean, released, staged
 
 LEAST = 24
 SIGNS = 1
@@ -100,7 +100,7 @@ def _lines(docs: DataFrame, least: int, edits: int, signs: int) -> DataFrame:
             )
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _doc_hash().alias("doc_hash"), "text")
-    return keyed.mapInArrow(over, f"{PLACE}, anchors array<bigint>")
+    return keyed.mapInArrow(lean(over), f"{PLACE}, anchors array<bigint>")
 
 
 def _doc_hash() -> Column:
@@ -158,7 +158,7 @@ def _with_text(eligible: DataFrame, docs: DataFrame) -> DataFrame:
             made["doc_id"] = made["doc_id"].astype("Int64")
             yield made
 
-    found = met.mapInPandas(over, "id1 bigint, id2 bigint, doc_id bigint, doc_hash bigint, line_no int, line string")
+    found = met.mapInPandas(lean(over), "id1 bigint, id2 bigint, doc_id bigint, doc_hash bigint, line_no int, line string")
     return staged(found.dropDuplicates(["id1", "id2"]))
 
 
@@ -195,7 +195,7 @@ def _variant_rows(lines: DataFrame) -> DataFrame:
 
     schema = "variant bigint, left_out int, id1 bigint, id2 bigint, doc_id bigint, doc_hash bigint, line_no int"
     place = F.struct("doc_id", "doc_hash", "line_no").alias("place")
-    return lines.mapInPandas(over, schema).select("variant", "left_out", "id1", "id2", place)
+    return lines.mapInPandas(lean(over), schema).select("variant", "left_out", "id1", "id2", place)
 
 
 def within_one(a: str, b: str) -> bool:

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listenlake.llm.common import checkpointed, staged, text_hash, texts, with_code
+from listenlake.llm.common import checkpointed, lean, staged, text_hash, texts, with_code
 from listenlake.llm.components import components
 
 WIDTH, SIMILARITY = 5, 80
@@ -208,7 +208,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
             )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return staged(rows.mapInArrow(over, f"doc_id {kind}, text_hash bigint, id bigint, n bigint, bits binary"))
+    return staged(rows.mapInArrow(lean(over), f"doc_id {kind}, text_hash bigint, id bigint, n bigint, bits binary"))
 
 
 def keys(hashes: np.ndarray, fragments: int) -> np.ndarray:
@@ -246,7 +246,7 @@ def _frequencies(docs: DataFrame, width: int, fragments: int, more_than: int) ->
         key = (np.int64(fragment) << 32) | low[starts][keep].astype(np.int64)
         return pa.table({"key": pa.array(key), "df": pa.array(df[keep])})
 
-    rows = texts(docs).select("text").mapInArrow(counted, "fragment int, low binary, times binary")
+    rows = texts(docs).select("text").mapInArrow(lean(counted), "fragment int, low binary, times binary")
     return checkpointed(rows.groupBy("fragment").applyInArrow(added, "key bigint, df bigint"))
 
 
@@ -319,7 +319,7 @@ def _heads(docs: DataFrame, width: int, similarity: int, order) -> DataFrame:
                 names=["token", "salt", "id"],
             )
 
-    return texts(docs).select("text").mapInArrow(over, "token bigint, salt int, id bigint")
+    return texts(docs).select("text").mapInArrow(lean(over), "token bigint, salt int, id bigint")
 
 
 # ---- lists of sets that share a shingle of their heads
@@ -363,7 +363,7 @@ def _lists(rows: DataFrame) -> DataFrame:
                 )
 
     near = rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "id")
-    return near.mapInArrow(over, "token bigint, frequent boolean, ids array<bigint>")
+    return near.mapInArrow(lean(over), "token bigint, frequent boolean, ids array<bigint>")
 
 
 class Join:
@@ -444,9 +444,9 @@ class Join:
                         column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b", "size", "common"])
 
-        segments = with_text.mapInArrow(cut, "a bigint, salt int, fragment int, b bigint, size bigint, hashes binary")
+        segments = with_text.mapInArrow(lean(cut), "a bigint, salt int, fragment int, b bigint, size bigint, hashes binary")
         near = segments.repartition("a", "salt", "fragment").sortWithinPartitions("a", "salt", "fragment", F.col("b").asc_nulls_first())
-        parts = near.mapInArrow(counted, "a bigint, b bigint, size bigint, common bigint")
+        parts = near.mapInArrow(lean(counted), "a bigint, b bigint, size bigint, common bigint")
         added = parts.groupBy("a", "b").agg(F.first("size").alias("size"), F.sum("common").alias("common"))
         enough = F.col("common") * (100 + self.similarity) >= F.col("size") * self.similarity
         return checkpointed(added.filter(enough).select("a", "b"))
@@ -468,7 +468,7 @@ class Join:
                 if a:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], names=["a", "b"])
 
-        return groups.select("members").mapInArrow(over, "a bigint, b bigint").distinct()
+        return groups.select("members").mapInArrow(lean(over), "a bigint, b bigint").distinct()
 
     def placed(self, rows: DataFrame, known: DataFrame) -> DataFrame:
         """rows with the component of their id."""

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from listenlake.llm.common import checkpointed, staged, texts
+from listenlake.llm.common import checkpointed, lean, staged, texts
 from listenlake.llm.word_tokens import default_path, in_groups, tokenizer
 
 CAPACITY = 2048
@@ -67,7 +67,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 
-    return rows.mapInArrow(over, schema)
+    return rows.mapInArrow(lean(over), schema)
 
 
 # ---- packings of one shard: arrays `bin_of` (bin of each piece) and nothing else
@@ -199,7 +199,7 @@ def _bred(islands: DataFrame, round_: int, level: int, capacity: int, kept: int)
                 rows.append((r.shard, r.island, r.uids, r.sizes, made[0][0], [p.astype("<i4").tobytes() for _, p in made]))
             yield pd.DataFrame(rows, columns=["shard", "island", "uids", "sizes", "best", "elite"])
 
-    return islands.mapInPandas(over, ISLAND)
+    return islands.mapInPandas(lean(over), ISLAND)
 
 
 def _packed_once(items: DataFrame, shards: int, level: int, capacity: int) -> DataFrame:

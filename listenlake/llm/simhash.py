@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from listenlake.llm.common import checkpointed, one_row_each, staged, text_hash, texts
+from listenlake.llm.common import checkpointed, lean, one_row_each, staged, text_hash, texts
 from listenlake.llm.components import components
 
 SHINGLE = 3
@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE, hashes: bool = False) ->
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "bits", *more])
 
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, bits bigint"
-    return rows.mapInArrow(over, schema + ", text_hash bigint" * hashes)
+    return rows.mapInArrow(lean(over), schema + ", text_hash bigint" * hashes)
 
 
 def masks(radius: int = RADIUS) -> list[int]:
@@ -126,7 +126,7 @@ def _small_links(groups: DataFrame, radius: int) -> DataFrame:
                 [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (a, b)], names=["a", "b"]
             )
 
-    return groups.select("members").mapInArrow(over, "a bigint, b bigint")
+    return groups.select("members").mapInArrow(lean(over), "a bigint, b bigint")
 
 
 def _large_links(rows: DataFrame, radius: int, tables: list[int]) -> DataFrame:
@@ -152,7 +152,7 @@ def _large_links(rows: DataFrame, radius: int, tables: list[int]) -> DataFrame:
                         }
                     )
 
-    spread = rows.mapInPandas(over, "table int, choice int, rest bigint, bits bigint")
+    spread = rows.mapInPandas(lean(over), "table int, choice int, rest bigint, bits bigint")
     ranges = spread.groupBy("table", "choice", "rest").agg(F.min("bits").alias("b"), F.max("bits").alias("most"))
     shared = ranges.filter(F.col("b") != F.col("most")).drop("most")
     return spread.join(shared, ["table", "choice", "rest"]).select(F.col("bits").alias("a"), "b").filter("a != b").distinct()

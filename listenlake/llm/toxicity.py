@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from listenlake.llm.common import staged, texts
+from listenlake.llm.common import lean, staged, texts
 
 FIT_ROWS = 20_000
 STEMS = (4, 5, 6, 7, 8)  # lengths of the word beginnings that may enter the lexicon
@@ -184,7 +184,7 @@ def _term_counts(rows: DataFrame) -> DataFrame:
                     yield from handed()
         yield from handed()
 
-    found = rows.select("text", "toxic").mapInPandas(over, "term string, toxic int, n bigint")
+    found = rows.select("text", "toxic").mapInPandas(lean(over), "term string, toxic int, n bigint")
     one = lambda k: F.sum(F.when(F.col("toxic") == k, F.col("n")).otherwise(0))
     return found.groupBy("term").agg(one(1).alias("pos"), one(0).alias("neg"))
 
@@ -357,7 +357,7 @@ def _featured(docs: DataFrame, model: Model, carried: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(votes)], names=["row", "x", "votes"])
 
     schema = T.StructType([rows.schema["row"], *T._parse_datatype_string("x array<float>, votes int").fields])
-    return staged(rows.mapInArrow(over, schema))
+    return staged(rows.mapInArrow(lean(over), schema))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS, carried: list[str] | None = None) -> tuple[Model, DataFrame]:

@@ -29,3 +29,27 @@ def test_shuffle_files_of_finished_steps_go(spark):
             break
         time.sleep(0.2)
     assert shuffle_files(spark) < made
+
+
+def test_workers_give_back_what_a_task_has_freed(spark):
+    """Many small pieces between others are kept by the allocator until it is told to give them back."""
+
+    def anonymous():
+        with open("/proc/self/smaps_rollup") as f:
+            return next(int(x.split()[1]) for x in f if x.startswith("Anonymous:")) // 1024
+
+    def over(batches):
+        held = [bytes(1000) for _ in range(200_000)]
+        last = [bytes(1000) for _ in range(100)]  # lies behind them, so that the heap does not shrink by itself
+        held.clear()
+        keep.append(last)
+        yield from batches
+
+    keep, found = [], []
+    for run in (over, common.lean(over)):
+        before = anonymous()
+        list(run(iter([1])))
+        found.append(anonymous() - before)
+    assert found[1] < 100, found
+    rows = spark.range(10).mapInArrow(common.lean(lambda batches: batches), "id bigint")
+    assert sorted(r["id"] for r in rows.collect()) == list(range(10))
