@@ -69,6 +69,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of a few longs each that are one task's work.
+TASK_ROWS = 16_384
+
+
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """df, of at most so many rows of a few longs, in no more partitions than these need. Each task that writes to a shuffle
+    leaves files of its own, and a table of one partition is grouped and joined with another such without a shuffle."""
+    return df.coalesce(max(1, -(-rows // TASK_ROWS)))
+
+
 def spare() -> None:
     """What this process has freed goes back to the system."""
     pa.default_memory_pool().release_unused()
@@ -94,7 +104,9 @@ BATCH_ROWS = 1000
 
 def with_code(spark: SparkSession) -> SparkSession:
     """Sees to it that Python workers can import this package: where their path doesn't name its folder, Spark ships it.
-    Batches are bounded to BATCH_ROWS, so that a worker's memory is."""
+    Batches are bounded to BATCH_ROWS, so that a worker's memory is. A table gathered in one partition is taken for what it
+    is: Spark's guess of its size, a product over the joins behind it, would have it dealt out again."""
+    spark.conf.set("spark.sql.maxSinglePartitionBytes", (1 << 63) - 1)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     package = Path(__file__).resolve().parents[1]

@@ -37,13 +37,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listenlake.llm.common import checkpointed, lean, staged, text_hash, texts, with_code
+from listenlake.llm.common import TASK_ROWS, checkpointed, gathered, lean, staged, text_hash, texts, with_code
 from listenlake.llm.components import components
 
 WIDTH, SIMILARITY = 5, 80
@@ -54,6 +53,7 @@ COUNTED = 1_000_000  # shingles of a fragment of the counts, which one task adds
 CHUNK = 1_000_000  # shingles that a task counts together
 BLOCK = 1024
 FEW = 4
+HEAVY = 4  # rows with bits or hashes count as so many of a few longs
 SMALL = 500_000  # so many rows of three longs, 12 MB, may be broadcast
 SALTS = 4096
 SHARE = 256  # members of a head that count as one task's work
@@ -247,7 +247,8 @@ def _frequencies(docs: DataFrame, width: int, fragments: int, more_than: int) ->
         return pa.table({"key": pa.array(key), "df": pa.array(df[keep])})
 
     rows = texts(docs).select("text").mapInArrow(lean(counted), "fragment int, low binary, times binary")
-    return checkpointed(rows.groupBy("fragment").applyInArrow(added, "key bigint, df bigint"))
+    found = rows.groupBy("fragment").applyInArrow(added, "key bigint, df bigint")
+    return checkpointed(gathered(found, fragments * TASK_ROWS))
 
 
 def _packed(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -330,9 +331,10 @@ def _ended(batches):
     yield None
 
 
-def _lists(rows: DataFrame) -> DataFrame:
+def _lists(rows: DataFrame, about: int) -> DataFrame:
     """(token, frequent, ids) of the sets with one shingle in their heads; of shingles that are not frequent only where there
-    are two or more. The rows of a shingle and salt are neighbours, and a list of frequent ones is in one row for each salt."""
+    are two or more. The rows of a shingle and salt are neighbours, and a list of frequent ones is in one row for each salt. about: a
+    measure of the rows, by which tasks are made."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = [np.zeros(0, np.int64)] * 3
@@ -363,7 +365,16 @@ def _lists(rows: DataFrame) -> DataFrame:
                 )
 
     near = rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "id")
-    return near.mapInArrow(lean(over), "token bigint, frequent boolean, ids array<bigint>")
+    return gathered(near, about).mapInArrow(lean(over), "token bigint, frequent boolean, ids array<bigint>")
+
+
+def _little(df: DataFrame, most: int | None = None) -> tuple[DataFrame, int]:
+    """A table of a few longs a row, of at most `most` rows, stored in no more partitions than it needs, to be broadcast if it
+    is small; and its rows."""
+    df = checkpointed(df if most is None else gathered(df, most))
+    rows = df.count()
+    df = gathered(df, rows)
+    return (F.broadcast(df) if rows <= SMALL else df), rows
 
 
 class Join:
@@ -372,40 +383,47 @@ class Join:
     def __init__(self, docs: DataFrame, sets: DataFrame, width: int, similarity: int):
         self.docs, self.sets, self.width, self.similarity = docs, sets, width, similarity
 
-    def _may_link(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, size): pairs whose sizes and parities allow a link; size is that of both sets."""
+    def _may_link(self, pairs: DataFrame, rows: int) -> tuple[DataFrame, int]:
+        """(a, b, size): pairs whose sizes and parities allow a link; size is that of both sets. And their number."""
         side = lambda s: self.sets.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}"))
         similarity = self.similarity
 
-        @F.pandas_udf("boolean")
-        def may(a: pd.Series, b: pd.Series, n: pd.Series) -> pd.Series:
-            out = []
-            for x, y, size in zip(a, b, n):
-                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-                least = min(len(x), len(y))
-                differ = int(np.bitwise_count(folded(x, least) ^ folded(y, least)).sum())
-                out.append(differ * (100 + similarity) <= size * (100 - similarity))
-            return pd.Series(out, dtype=bool)
-
-        met = pairs.join(side("b"), "b").join(side("a"), "a")
+        def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = []
+                for x, y, size in zip(*(batch.column(c).to_pylist() for c in ("bits_a", "bits_b", "size"))):
+                    x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                    least = min(len(x), len(y))
+                    differ = int(np.bitwise_count(folded(x, least) ^ folded(y, least)).sum())
+                    keep.append(differ * (100 + similarity) <= size * (100 - similarity))
+                yield batch.select(["a", "b", "size"]).filter(pa.array(keep, pa.bool_()))
+
+        met = side("b").join(pairs, "b").join(side("a"), "a")
         least, most = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
         met = met.filter(least * 100 >= most * similarity).withColumn("size", F.col("n_a") + F.col("n_b"))
-        return checkpointed(met.filter(may("bits_a", "bits_b", "size")).select("a", "b", "size"))
+        met = gathered(met.select("a", "b", "size", "bits_a", "bits_b"), HEAVY * rows)
+        return _little(met.mapInArrow(lean(over), "a bigint, b bigint, size bigint"), rows)
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """(a, b) of the pairs that link: common shingles are counted in each fragment and added up. The segments of b go to
         those of a; an a with many partners is in several places."""
-        pairs = self._may_link(pairs)
+        pairs, many = _little(pairs)
+        if many:
+            pairs, many = self._may_link(pairs, many)
+        if not many:
+            return pairs.select("a", "b")
         degrees = pairs.groupBy("a").agg(F.least(F.lit(SALTS), F.ceil(F.count("*") / SHARE)).cast("int").alias("salts"))
-        degrees = checkpointed(degrees)
-        met = pairs.join(F.broadcast(degrees) if degrees.count() <= SMALL else degrees, "a")
+        degrees, _ = _little(degrees, many)
+        met = pairs.join(degrees, "a")
         to = lambda key, salt, member, size: F.struct(key.alias("a"), salt.alias("salt"), member.alias("b"), size.alias("size"))
         none = F.lit(None).cast("bigint")
         own = degrees.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
         own = own.select(F.col("a").alias("id"), to(F.col("a"), F.col("salt"), none, none).alias("to"))
         other = to(F.col("a"), F.pmod(F.xxhash64("b"), "salts").cast("int"), F.col("b"), F.col("size"))
-        sent = own.unionByName(met.select(F.col("b").alias("id"), other.alias("to"))).groupBy("id").agg(F.collect_list("to").alias("to"))
-        sent = checkpointed(sent.join(self.sets.select("id", "first.doc_id", "first.text_hash"), "id"))
+        each = gathered(own.unionByName(met.select(F.col("b").alias("id"), other.alias("to"))), 2 * many)  # a has a pair or more
+        sent = each.groupBy("id").agg(F.collect_list("to").alias("to"))
+        sent = F.broadcast(sent) if many <= SMALL else sent
+        sent = checkpointed(self.sets.select("id", "first.doc_id", "first.text_hash").join(sent, "id"))
         rows = texts(self.docs, text_hash().alias("text_hash"))
         same = rows["doc_id"].eqNullSafe(sent["doc_id"]) & (rows["text_hash"] == sent["text_hash"])
         with_text = rows.join(F.broadcast(sent) if sent.count() <= SMALL else sent, same).select("id", "text", "to")
@@ -446,10 +464,10 @@ class Join:
 
         segments = with_text.mapInArrow(lean(cut), "a bigint, salt int, fragment int, b bigint, size bigint, hashes binary")
         near = segments.repartition("a", "salt", "fragment").sortWithinPartitions("a", "salt", "fragment", F.col("b").asc_nulls_first())
-        parts = near.mapInArrow(lean(counted), "a bigint, b bigint, size bigint, common bigint")
+        parts = gathered(near, HEAVY * SEGMENTS * many).mapInArrow(lean(counted), "a bigint, b bigint, size bigint, common bigint")
         added = parts.groupBy("a", "b").agg(F.first("size").alias("size"), F.sum("common").alias("common"))
         enough = F.col("common") * (100 + self.similarity) >= F.col("size") * self.similarity
-        return checkpointed(added.filter(enough).select("a", "b"))
+        return _little(added.filter(enough).select("a", "b"), many)[0]
 
     def compared(self, groups: DataFrame, few: int | None) -> DataFrame:
         """Distinct (a, b) of different components that may link. groups: members (id, component, n, bits, side)."""
@@ -487,27 +505,28 @@ class Join:
     def in_short(self, lists: DataFrame, known: DataFrame) -> DataFrame:
         """Pairs of lists (list, ids) of few sets."""
         rows = self.placed(lists.filter(F.size("ids") > 2).select("list", F.explode("ids").alias("id")), known)
-        mixed = rows.groupBy("list").agg(F.min("component").alias("one"), F.max("component").alias("other"))
-        open_rows = rows.join(mixed.filter("one != other").select("list"), "list").join(self.sets.select("id", "n", "bits"), "id")
         # A list longer than a block (where the bound of frequent shingles was raised) is dealt out like those of frequent ones.
-        return self._in_blocks(open_rows, None)
+        return self._in_blocks(rows, None)
 
     def in_long(self, clusters: DataFrame, known: DataFrame, few: int | None) -> DataFrame:
         """Pairs of sets with frequent shingles in their heads; clusters: (cluster, id), one row a set."""
-        placed = self.placed(clusters, known)
-        mixed = placed.groupBy("cluster").agg(F.min("component").alias("one"), F.max("component").alias("other"))
-        open_rows = placed.join(mixed.filter("one != other").select("cluster"), "cluster")
-        return self._in_blocks(open_rows.join(self.sets.select("id", "n", "bits"), "id").withColumnRenamed("cluster", "list"), few)
+        return self._in_blocks(self.placed(clusters.withColumnRenamed("cluster", "list"), known), few)
 
     def _in_blocks(self, rows: DataFrame, few: int | None) -> DataFrame:
-        """A list's sets are dealt to blocks of about BLOCK: those of its largest component, and the others. The others' blocks
-        meet one another and the first kind; a task compares two blocks."""
-        rows = checkpointed(rows.select("list", "id", "component", "n", "bits"))
+        """Pairs of the lists whose sets (list, id, component) lie in several components. Such a list's sets are dealt to blocks
+        of about BLOCK: those of its largest component, and the others. The others' blocks meet one another and the first kind;
+        a task compares two blocks."""
+        mixed = rows.groupBy("list").agg(F.min("component").alias("one"), F.max("component").alias("other"))
+        rows = rows.join(mixed.filter("one != other").select("list"), "list").select("list", "id", "component")
+        rows, many = _little(rows)
+        if not many:
+            return rows.select(F.col("id").alias("a"), F.col("id").alias("b"))
         sizes = rows.groupBy("list", "component").agg(F.count("*").alias("rows"))
         lists = sizes.groupBy("list").agg(F.max_by("component", F.struct("rows", "component")).alias("main"), F.max("rows").alias("most"), F.sum("rows").alias("all"))
         blocks = lambda n: F.ceil(n / BLOCK).cast("int")
         lists = lists.select("list", "main", blocks(F.col("most")).alias("mains"), blocks(F.col("all") - F.col("most")).alias("others"))
         met = rows.join(lists, "list")
+        met = self.sets.select("id", "n", "bits").join(F.broadcast(met) if many <= SMALL else met, "id")
         outside = F.col("component") != F.col("main")
         met = met.withColumn("own", F.pmod(F.xxhash64("id"), F.when(outside, F.col("others")).otherwise(F.col("mains"))).cast("int"))
         upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
@@ -521,14 +540,15 @@ class Join:
         side = F.when(F.col("task.with_main"), F.col("outside").cast("int")).when(F.expr("task.i = task.j"), -1)
         side = side.otherwise((F.col("own") == F.col("task.i")).cast("int"))
         member = F.struct("id", "component", "n", "bits", side.alias("side"))
-        return self.compared(dealt.groupBy("list", "task").agg(F.collect_list(member).alias("members")), few)
+        tasks = dealt.groupBy("list", "task").agg(F.collect_list(member).alias("members"))
+        return self.compared(gathered(tasks, TASK_ROWS // BLOCK * many), few)
 
 
 def _hot(found: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys and frequencies of at most `most` shingles, the most frequent ones."""
     power = F.floor(F.log2("df")).alias("power")
     left, bound = most, 0
-    for row in found.groupBy(power).count().orderBy(F.col("power").desc()).collect():
+    for row in sorted(found.groupBy(power).count().collect(), reverse=True):
         if row["count"] > left:
             bound = 2 ** (row["power"] + 1)
             break
@@ -545,32 +565,37 @@ def linked(
     each = _sets(docs, width)
     first = F.min(F.struct("doc_id", "text_hash")).alias("first")
     sets = each.filter("n > 0").groupBy("id").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), first)
-    sets = staged(sets)
-    total = each.agg(F.sum("n")).first()[0] or 0
+    rows, total = each.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    sets = staged(gathered(sets, HEAVY * rows))
     fragments = max(1, -(-total // COUNTED))
     order = spark.sparkContext.broadcast(Order(*_hot(_frequencies(docs, width, fragments, frequent), hot), fragments))
 
-    lists = staged(_lists(_heads(docs, width, similarity, order)))
+    lists = staged(_lists(_heads(docs, width, similarity, order), total // HEAVY))
     short = lists.filter("NOT frequent").select(F.xxhash64("ids").alias("list"), "ids").dropDuplicates(["list"])
-    short = checkpointed(short)
+    short = checkpointed(gathered(short, total // HEAVY))
+    listed = short.agg(F.sum(F.size("ids"))).first()[0] or 0
+    short = gathered(short, listed)
     long = checkpointed(lists.filter("frequent").select("token", F.explode("ids").alias("id")).distinct())
+    wider = long.count()
+    long = gathered(long, wider)
     join = Join(docs, sets, width, similarity)
 
     star = short.select(F.get("ids", F.lit(0)).alias("a"), F.explode(F.slice("ids", 2, 1 << 30)).alias("b"))
     heads = long.groupBy("token").agg(F.min("id").alias("a"))  # at most HOT rows of two longs
     wide = long.join(F.broadcast(heads), "token").select("a", F.col("id").alias("b")).filter("a != b")
-    wide = checkpointed(wide.distinct())
-    star = checkpointed(star.unionByName(wide).distinct())
+    wide = checkpointed(gathered(wide.distinct(), wider))
+    star, _ = _little(star.unionByName(wide).distinct(), listed + wider)
     joined = components(wide).withColumnRenamed("node", "id").withColumnRenamed("component", "cluster")
-    clusters = checkpointed(joined.select("cluster", "id"))
+    clusters = checkpointed(gathered(joined.select("cluster", "id"), 2 * wider))
 
     links = join.links(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    known = checkpointed(components(links))
+    known, _ = _little(components(links))
     for step in (lambda: join.apart(star, known), lambda: join.near(clusters, short, known), lambda: join.in_long(clusters, known, None)):
         new = join.links(step())
         if not new.isEmpty():
-            links = links.unionByName(new)
-            known = checkpointed(components(links))
+            links = checkpointed(links.unionByName(new))
+            links = gathered(links, links.count())
+            known, _ = _little(components(links))
     return each.select("doc_id", "text_hash", "id", "n"), known
 
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import time
 
 from listenlake.llm import common
+from listenlake.llm.components import _star, components
 
 
 def shuffle_files(spark):
@@ -53,3 +54,17 @@ def test_workers_give_back_what_a_task_has_freed(spark):
     assert found[1] < 100, found
     rows = spark.range(10).mapInArrow(common.lean(lambda batches: batches), "id bigint")
     assert sorted(r["id"] for r in rows.collect()) == list(range(10))
+
+
+def test_small_tables_are_grouped_and_joined_in_one_task(spark):
+    """Rounds over few links leave no shuffle, whatever Spark takes their size for."""
+    common.with_code(spark)
+    links = common.checkpointed(spark.range(1, 200, 1, 8).selectExpr("id AS a", "id - 1 AS b"))
+    now = common.gathered(links, 199)
+    assert now.rdd.getNumPartitions() == 1
+    assert common.gathered(links, 3 * common.TASK_ROWS + 1).rdd.getNumPartitions() == 4
+    for larger_only in (True, False):
+        now = _star(now, larger_only)
+        assert "Exchange hashpartitioning" not in now._jdf.queryExecution().executedPlan().toString()
+    found = components(links)
+    assert found.count() == 200 and {r["component"] for r in found.collect()} == {0}
