@@ -1,4 +1,5 @@
-"""Operators on keys: deterministic best row, upsert and delete as pure frames, joins that spread a hot key."""
+"""Operators on keys: deterministic best row, upsert and delete as pure frames, joins that spread a hot key, and steps
+that stay in the partition of a user."""
 
 from __future__ import annotations
 
@@ -9,6 +10,10 @@ from pyspark.sql import functions as F
 
 
 SALTS = 16
+#: So many users at most are dealt to a task where what is made of them is many times what they bring.
+USERS_PER_TASK = 250
+#: A catalogue of up to so many rows is told to every task.
+TOLD_ROWS = 500_000
 
 
 def best_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], top: int = 1) -> DataFrame:
@@ -39,11 +44,12 @@ def join_spread(
 
     ``_salt`` stays in the result: grouping by ``(key, _salt, ...)`` afterwards needs no second exchange as long as
     ``spread_by`` is made of group columns. The copies are ``salts`` times what Spark expects from the size of
-    ``per_key``, and a broadcast once planned stays; so both sides are sorted and merged.
+    ``per_key``, and a broadcast once planned stays; so both sides are sorted and merged. They are dealt by the salt, as
+    ``per_key`` may lie by the key alone, which Spark would take for the join.
     """
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
     copies = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies.hint("merge"), [key, "_salt"], how)
+    return salted.join(copies.repartition(key, "_salt").hint("merge"), [key, "_salt"], how)
 
 
 def catalogue_join(rows: DataFrame, catalogue: DataFrame, key: str, salts: int = SALTS) -> DataFrame:
@@ -58,6 +64,39 @@ def catalogue_join(rows: DataFrame, catalogue: DataFrame, key: str, salts: int =
     return salted.join(copies, [key, "_salt"]).drop("_salt")
 
 
+def user_tasks(rows: DataFrame) -> int:
+    """In how many partitions the users of ``rows`` lie where lists are made of them. Spark deals rows by their size, which
+    tells little of what a catalogue makes of them; users are about as many as they are, so they are counted."""
+    users = rows.agg(F.approx_count_distinct("username")).first()[0]
+    return max(1, -(-users // USERS_PER_TASK))
+
+
+def by_user(rows: DataFrame, tasks: int) -> DataFrame:
+    """Rows in the partition of their user. Joins and groups by the user and more then need no exchange, also after a
+    union, as long as all sides lie in as many ``tasks``."""
+    return rows.repartition(tasks, "username")
+
+
+def told(catalogue: DataFrame, most: int = TOLD_ROWS) -> DataFrame:
+    """A catalogue that goes to every task if it has few rows; otherwise Spark chooses. It should be stored: it is counted."""
+    return F.broadcast(catalogue) if catalogue.count() <= most else catalogue
+
+
+def expanded(rows: DataFrame, catalogue: DataFrame, key: str, tasks: int, most: int = TOLD_ROWS) -> DataFrame:
+    """Rows of users, each in the partition of its user, with all catalogue rows of their key. A short catalogue comes to the
+    rows and nothing the join makes is exchanged; a long one is joined by its key, and what it makes goes to the users."""
+    if catalogue.count() <= most:
+        return rows.join(F.broadcast(catalogue), key)
+    return by_user(catalogue_join(rows, catalogue, key), tasks)
+
+
+def without_by_user(rows: DataFrame, gone: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``delete_frame`` where both sides lie by user: what is gone is looked up in the partition of the user, and the rows
+    are neither exchanged nor sorted. (An anti join would be pushed below what made the rows, and their dealing with it.)"""
+    marks = gone.select(*keys).distinct().withColumn("_gone", F.lit(True))
+    return rows.join(marks.hint("shuffle_hash"), list(keys), "left").filter(F.col("_gone").isNull()).drop("_gone")
+
+
 def upsert_frame(target: DataFrame, source: DataFrame, keys: Sequence[str], action: str | None = None) -> DataFrame:
     """Keyed upsert as a relation: source rows replace target rows with the same key, others are added.
 

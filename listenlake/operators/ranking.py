@@ -1,12 +1,15 @@
 """Ranks, caps and samples per user.
 
-A user may hold a third of all rows, so no operator here sends all rows of a user to one task: caps use the
-``rank <= n`` form that Spark cuts before the exchange, and the full percentile rank works on score bands.
+A user may hold a third of all rows, so operators here don't send all rows of a user to one task: caps use the
+``rank <= n`` form that Spark cuts before the exchange, and the full percentile rank works on score bands. Only
+``top_rank_by_user`` counts on rows that lie by user already.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,6 +51,23 @@ def top_rank_normalised(df: DataFrame, n: int, by: Sequence[str] = ("username",)
     return cap(df, by, n).join(scale, [*by, "score"], "left")
 
 
+def top_rank_by_user(df: DataFrame, n: int, by: Sequence[str] = ("username",)) -> DataFrame:
+    """``top_rank_normalised`` where rows lie by user and a user has a bounded number (what a catalogue holds for one): places,
+    ties and totals are windows over one order, so the rows are sorted once and neither exchanged nor joined again."""
+    by = list(by)
+    group = Window.partitionBy(*by)
+    falling = group.orderBy(F.col("score").desc_nulls_last())
+    ordered = group.orderBy(F.col("score").desc_nulls_last(), F.col("track_id").asc_nulls_first())
+    placed = df.withColumn("_place", F.row_number().over(ordered))
+    placed = placed.withColumns({"_above": F.rank().over(falling) - 1, "_upto": F.count("score").over(falling)})
+    first = F.max(F.when(F.col("_above") == 0, F.col("_upto")))
+    placed = placed.withColumns({"_total": F.count("score").over(group), "_first": first.over(group)}).filter(F.col("_place") <= n)
+    rank = _average_rank(F.col("_total") - F.col("_upto"), F.col("_upto") - F.col("_above"))
+    best = _average_rank(F.col("_total") - F.col("_first"), F.col("_first"))
+    ranked = reduce(and_, [F.col(c).isNotNull() for c in [*by, "score"]])
+    return placed.withColumn("normalized_score", F.when(ranked, rank / best)).drop("_place", "_above", "_upto", "_total", "_first")
+
+
 def rank_normalised(df: DataFrame, bands: int = BANDS, key: str = "track_id") -> DataFrame:
     """All rows with ``normalized_score``; NULL where the score is NULL.
 
@@ -78,12 +98,13 @@ def rank_normalised(df: DataFrame, bands: int = BANDS, key: str = "track_id") ->
     best = _average_rank(F.col("total") - F.col("top_ties"), F.col("top_ties"))
     scale = (
         banded.withColumn("lower", lower_scores)
-        .join(offsets, ["username", "band"])
+        .join(offsets.repartition("username", "band"), ["username", "band"])
         .select("username", "score", (_average_rank(below, F.col("ties")) / best).alias("normalized_score"))
     )
     salt = F.pmod(F.xxhash64(F.col(key)), F.lit(SALTS)).cast("int")
     copies = scale.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return df.withColumn("_salt", salt).join(copies.hint("merge"), ["username", "score", "_salt"], "left").drop("_salt")
+    copies = copies.repartition("username", "_salt").hint("merge")
+    return df.withColumn("_salt", salt).join(copies, ["username", "score", "_salt"], "left").drop("_salt")
 
 
 def share_of_best(df: DataFrame, score: str = "weighted_score", name: str = "score_pct") -> DataFrame:

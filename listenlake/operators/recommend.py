@@ -28,13 +28,14 @@ def without_excluded(
     candidates: DataFrame, excluded_tracks: DataFrame | None = None, excluded_artists: DataFrame | None = None
 ) -> DataFrame:
     """Drop what the user has excluded: artists by name, tracks by track and artist name. Ids play no part, so another
-    spelling with the same id stays. Only the user's own exclusions count."""
+    spelling with the same id stays. Only the user's own exclusions count; they are few and are looked up, so that candidates
+    are not sorted for it, nor exchanged where both lie by user."""
     if excluded_artists is not None:
         artist_keys = ["username", "artist_name"]
-        candidates = candidates.join(excluded_artists.select(artist_keys).distinct(), artist_keys, "left_anti")
+        candidates = candidates.join(excluded_artists.select(artist_keys).distinct().hint("shuffle_hash"), artist_keys, "left_anti")
     if excluded_tracks is not None:
         track_keys = ["username", "track_name", "artist_name"]
-        candidates = candidates.join(excluded_tracks.select(track_keys).distinct(), track_keys, "left_anti")
+        candidates = candidates.join(excluded_tracks.select(track_keys).distinct().hint("shuffle_hash"), track_keys, "left_anti")
     return candidates
 
 

@@ -1,7 +1,10 @@
 """Candidate generators: similar artists, shared tags, deep cuts, forgotten favourites.
 
 Each is one plan over all users. Answers of the music service are landed tables; what belongs to the catalogue
-(canonical ids, best album per track, quality filters) is done once on those tables before users are joined.
+(canonical ids, best album per track, quality filters) is done once on those tables before users are joined, and stored.
+
+What a catalogue makes of a user is many times what the user brings. So users' sources and played tracks are dealt by user,
+the catalogue comes to them, and the rows it makes stay in that partition up to the result: they are not exchanged.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from listenlake import schemas
 from listenlake import settings as S
 from listenlake.functions.recency import MIN_HALF_LIFE_DAYS, decay_2, instant, whole_days
 from listenlake.functions.text import canonical_track_id, split_tags
-from listenlake.operators.keyed import best_per_key, catalogue_join, delete_frame, join_spread
+from listenlake.operators.keyed import best_per_key, by_user, catalogue_join, delete_frame, expanded, join_spread, told, user_tasks, without_by_user
 from listenlake.operators.ranking import cap, sample_large
 from listenlake.operators.statistics import plays_per_artist
 from listenlake.sources.shared import stored
@@ -41,6 +44,21 @@ def user_artists(
     return counts.join(names, "artist_id")
 
 
+def _numbered(catalogue: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The catalogue, stored, with a number for each track in place of its long id, and the stored tracks and numbers;
+    ``listings`` tells under how many values of ``key`` a track stands."""
+    listed = stored(catalogue)
+    tracks = listed.groupBy("track_id").agg(F.count_distinct(key).alias("listings"))
+    tracks = stored(tracks.withColumn("number", F.monotonically_increasing_id()))
+    return stored(listed.join(tracks.select("track_id", "number"), listed["track_id"].eqNullSafe(tracks["track_id"])).drop(tracks["track_id"])), tracks
+
+
+def _played_numbers(plays: DataFrame, numbers: DataFrame, tasks: int) -> DataFrame:
+    """User and number of the tracks of a catalogue that were played, in the partition of the user. Other tracks can't match."""
+    known = numbers.filter(F.col("track_id").isNotNull()).select("track_id", "number")
+    return by_user(plays.select("username", "track_id").join(told(known), "track_id").select("username", "number"), tasks)
+
+
 def _not_processed(sources: DataFrame, previous: DataFrame | None) -> DataFrame:
     """Sources (user, artist) that no stored candidate came from yet."""
     if previous is None:
@@ -69,19 +87,21 @@ def similar_artist_paths(
     similar_artists: DataFrame,
     similarity_threshold: float = S.SIMILARITY_THRESHOLD,
     similar_per_artist: int | None = S.SIMILAR_ARTISTS_PER_ARTIST,
+    tasks: int | None = None,
 ) -> DataFrame:
-    """Best source per user and similar artist.
+    """Best source per user and similar artist, in the partition of the user.
 
     The score of a track is ``match * user plays * track plays``. The first two factors do not depend on the track,
     so the best source of a similar artist is chosen before the tracks are joined; ``paths`` keeps how many there
     were. This makes the expansion as large as (users x similar artists x 50) instead of 20 times that.
     """
+    tasks = user_tasks(sources) if tasks is None else tasks
     edges = _first(similar_artists, similar_per_artist).filter(
         (F.col("match") <= similarity_threshold)
         & F.col("similar_name").isNotNull()
         & (F.col("similar_name") != "")
     ).select("artist_name", "similar_name", "match")
-    paths = sources.join(edges, "artist_name").withColumn("weight", F.col("match") * F.col("play_count"))
+    paths = expanded(by_user(sources, tasks), stored(edges), "artist_name", tasks).withColumn("weight", F.col("match") * F.col("play_count"))
     best = F.min_by(F.struct("match", "weight", "artist_id"), F.struct(-F.col("weight"), F.col("artist_id")))
     return (
         paths.groupBy("username", "similar_name")
@@ -126,13 +146,20 @@ def similar_artist_candidates(
     similar_per_artist: int | None = S.SIMILAR_ARTISTS_PER_ARTIST,
     top_tracks_per_artist: int | None = S.TOP_TRACKS_PER_ARTIST,
 ) -> DataFrame:
-    """Unplayed top tracks of artists similar to the played ones; per user and track the best score."""
-    paths = similar_artist_paths(sources, similar_artists, similarity_threshold, similar_per_artist)
+    """Unplayed top tracks of artists similar to the played ones; per user and track the best score.
+
+    Where each track of the catalogue stands under one similar artist, a user meets it once and there is nothing to choose.
+    """
+    tasks = user_tasks(plays)
+    paths = similar_artist_paths(sources, similar_artists, similarity_threshold, similar_per_artist, tasks)
     tracks = _artist_top_tracks(artist_top_tracks, top_tracks_per_artist).filter(F.col("listeners") >= min_listeners)
-    found = catalogue_join(paths, _best_versions(tracks), "similar_name").withColumn("score", F.col("weight") * F.col("playcount"))
-    fresh = delete_frame(found, played_tracks(plays), ["username", "track_id"])
-    order = [F.col("score").desc(), F.col("source_artist_id"), F.col("track_name"), F.col("artist_name")]
-    return best_per_key(fresh, ["username", "track_id"], order).select(*schemas.CANDIDATE_SIMILAR_ARTIST.names)
+    versions, numbers = _numbered(_best_versions(tracks), "similar_name")
+    found = expanded(paths, versions, "similar_name", tasks).withColumn("score", F.col("weight") * F.col("playcount"))
+    fresh = without_by_user(found, _played_numbers(plays, numbers, tasks), ["username", "number"])
+    if not numbers.filter("listings > 1").isEmpty():
+        order = [F.col("score").desc(), F.col("source_artist_id"), F.col("track_name"), F.col("artist_name")]
+        fresh = best_per_key(fresh, ["username", "track_id"], order)
+    return fresh.select(*schemas.CANDIDATE_SIMILAR_ARTIST.names)
 
 
 def similar_artist_funnel(
@@ -145,18 +172,19 @@ def similar_artist_funnel(
     similar_per_artist: int | None = S.SIMILAR_ARTISTS_PER_ARTIST,
     top_tracks_per_artist: int | None = S.TOP_TRACKS_PER_ARTIST,
 ) -> DataFrame:
-    """Per user: answers examined, dropped for few listeners, dropped as played, kept (before the dedup)."""
-    paths = similar_artist_paths(sources, similar_artists, similarity_threshold, similar_per_artist)
-    found = catalogue_join(paths, _artist_top_tracks(artist_top_tracks, top_tracks_per_artist), "similar_name")
-    played = played_tracks(plays).withColumn("played", F.lit(True))
-    marked = found.join(played, ["username", "track_id"], "left")
+    """Per user: answers examined, dropped for few listeners, dropped as played, kept (before the dedup).
+
+    An answer counts alike for everyone but for having been played. So what a similar artist brings is added up once for
+    the catalogue, and only a user's played tracks are looked up among the answers.
+    """
+    tasks = user_tasks(plays)
+    paths = similar_artist_paths(sources, similar_artists, similarity_threshold, similar_per_artist, tasks)
     few = F.col("listeners") < min_listeners
-    seen = F.coalesce("played", F.lit(False))
-    return marked.groupBy("username").agg(
-        F.sum("paths").alias("examined"),
-        F.sum(F.when(few, F.col("paths")).otherwise(0)).alias("few_listeners"),
-        F.sum(F.when(~few & seen, F.col("paths")).otherwise(0)).alias("already_played"),
-        F.sum(F.when(~few & ~seen, F.col("paths")).otherwise(0)).alias("kept"),
+    answers = _artist_top_tracks(artist_top_tracks, top_tracks_per_artist).groupBy("similar_name", "track_id").agg(
+        F.count("*").alias("n"), F.count_if(few).alias("few")
+    )
+    return _user_funnel(plays, paths.select("username", "similar_name", "paths"), answers, "similar_name", tasks).withColumnRenamed(
+        "below_threshold", "few_listeners"
     )
 
 
@@ -218,14 +246,13 @@ def _word_columns(words: list[str]) -> list[Column]:
     return [F.bit_or(F.when(in_word == i, bit).otherwise(F.lit(0))).alias(w) for i, w in enumerate(words)]
 
 
-def _matches_by_user(user_tags: DataFrame, played: DataFrame, listed: DataFrame, words: list[str], least: int) -> DataFrame:
+def _matches_by_user(user_tags: DataFrame, plays: DataFrame, listed: DataFrame, words: list[str], least: int, tasks: int) -> DataFrame:
     """Matches where the catalogue is told to every task: a user's tags are unfolded, looked up and counted in the partition
     of the user, so no row of the expansion is exchanged. The tracks a user has played stand among the tags as one more
     list; a track that is on it is dropped by the same count. A user has at most the profile's tags and, of the played
-    tracks, those of the catalogue, so no user is too large for a partition."""
-    numbers = F.broadcast(listed.select("track_id", "number"))
-    heard = played.join(numbers, "track_id").groupBy("username").agg(F.collect_list("number").alias("heard"))
-    users = user_tags.join(heard, "username", "left")
+    tracks, those of the catalogue, so no user is too large for a partition; ``tasks`` says how many partitions there are."""
+    heard = _played_numbers(plays, listed, tasks).groupBy("username").agg(F.collect_set("number").alias("heard"))
+    users = user_tags.join(heard.hint("shuffle_hash"), "username", "left")
     lists = F.transform("user_tags", lambda t, i: F.struct(i.alias("place"), t.alias("tag"), F.lit(None).cast("array<bigint>").alias("heard")))
     own = F.struct(F.lit(PLAYED).alias("place"), F.lit(None).cast("string").alias("tag"), F.col("heard"))
     rows = users.select("username", F.inline(F.concat(lists, F.array(own))))
@@ -235,15 +262,16 @@ def _matches_by_user(user_tags: DataFrame, played: DataFrame, listed: DataFrame,
         *_word_columns(words), F.count("*").alias("tag_match_count"), F.min("place").alias("first_place")
     )
     matches = matches.filter((F.col("tag_match_count") >= least) & (F.col("first_place") != PLAYED)).drop("first_place")
-    return matches.join(user_tags.hint("shuffle_hash"), "username").join(listed.select("number", "track_id", "names"), "number")
+    named = matches.join(user_tags.hint("shuffle_hash"), "username")
+    return named.join(told(listed.select("number", "track_id", "names")), "number")
 
 
-def _matches_by_tag(user_tags: DataFrame, played: DataFrame, listed: DataFrame, words: list[str], least: int) -> DataFrame:
-    """Matches by a salted join on the tag and an exchange of all it makes, for catalogues of any size."""
+def _matches_by_tag(user_tags: DataFrame, plays: DataFrame, listed: DataFrame, words: list[str], least: int, tasks: int) -> DataFrame:
+    """Matches by a salted join on the tag and an exchange of all it makes, for catalogues of any size. Spark deals the rows."""
     numbered = user_tags.select("username", F.posexplode("user_tags").alias("place", "tag"))
     found = catalogue_join(numbered, listed.select("track_id", F.explode("tags").alias("tag")), "tag")
     matches = found.groupBy("username", "track_id").agg(*_word_columns(words), F.count("*").alias("tag_match_count"))
-    fresh = delete_frame(matches.filter(F.col("tag_match_count") >= least), played, ["username", "track_id"])
+    fresh = delete_frame(matches.filter(F.col("tag_match_count") >= least), played_tracks(plays), ["username", "track_id"])
     # Nothing is grouped by user after this join, so Spark may split a hot user's rows, or broadcast the tag lists.
     return fresh.join(user_tags, "username").join(listed.select("track_id", "names"), "track_id")
 
@@ -271,15 +299,17 @@ def similar_tag_candidates(
     if previous is not None:
         run = tag_gate(profile, previous).filter("run").select("username")
         profile = profile.join(run, "username", "left_semi")
-    # The sorted tags of a user serve twice: their places number the tags, and they put the matched tags back.
+    # The sorted tags of a user serve twice: their places number the tags, and they put the matched tags back. They are one
+    # short row a user, stored so that the profile is made once.
+    tasks = user_tasks(plays)
     profile = cap(profile, ["username"], top_tags_count, "tag_count", "tag")
-    user_tags = profile.groupBy("username").agg(F.sort_array(F.collect_list("tag")).alias("user_tags"))
+    user_tags = by_user(stored(profile.groupBy("username").agg(F.sort_array(F.collect_list("tag")).alias("user_tags"))), tasks)
 
     listed = stored(tag_catalogue(tag_top_tracks, tracks_per_tag, min_tag_matches).withColumn("number", F.monotonically_increasing_id()))
     entries = listed.agg(F.sum(F.size("tags"))).first()[0] or 0
     words = [f"word{i}" for i in range(-(-top_tags_count // TAGS_PER_WORD))]
     make = _matches_by_user if entries <= most_entries else _matches_by_tag
-    labelled = make(user_tags, played_tracks(plays), listed, words, min_tag_matches)
+    labelled = make(user_tags, plays, listed, words, min_tag_matches, tasks)
     matched_tags = F.expr(
         f"filter(user_tags, (t, i) -> getbit(array({', '.join(words)})[CAST(i DIV {TAGS_PER_WORD} AS INT)], i % {TAGS_PER_WORD}) = 1)"
     )
@@ -294,14 +324,26 @@ def similar_tag_candidates(
     )
 
 
-def _funnel(marked: DataFrame, few: Column, n: Column) -> DataFrame:
-    """Per user: how many were examined, dropped by a threshold, dropped as played, kept."""
-    seen = F.coalesce("played", F.lit(False))
-    return marked.groupBy("username").agg(
-        F.sum(n).alias("examined"),
-        F.sum(F.when(few, n).otherwise(0)).alias("below_threshold"),
-        F.sum(F.when(~few & seen, n).otherwise(0)).alias("already_played"),
-        F.sum(F.when(~few & ~seen, n).otherwise(0)).alias("kept"),
+def _user_funnel(plays: DataFrame, paths: DataFrame, answers: DataFrame, key: str, tasks: int) -> DataFrame:
+    """Per user: how many answers were examined, dropped by a threshold, dropped as played, kept. ``paths`` are the keys of a
+    user, in the partition of the user, and how often each counts; ``answers`` are rows of the catalogue with the number of
+    answers (``n``) and how many of them are below the threshold (``few``).
+
+    All but the played ones follow from the sums of a key; a user's rows are not unfolded into the catalogue.
+    """
+    answers, numbers = _numbered(answers, key)
+    sums = stored(answers.groupBy(key).agg(F.sum("n").alias("n"), F.sum("few").alias("few")))
+    enough = answers.filter("n > few").select("number", F.col(key), (F.col("n") - F.col("few")).alias("enough"))
+    heard = _played_numbers(plays, numbers, tasks).distinct()
+    heard = expanded(heard, stored(enough), "number", tasks).groupBy("username", key).agg(F.sum("enough").alias("heard"))
+    rows = expanded(paths, sums, key, tasks).join(heard.hint("shuffle_hash"), ["username", key], "left")
+    times = F.col("paths")
+    seen = F.coalesce("heard", F.lit(0))
+    return rows.groupBy("username").agg(
+        F.sum(times * F.col("n")).alias("examined"),
+        F.sum(times * F.col("few")).alias("below_threshold"),
+        F.sum(times * seen).alias("already_played"),
+        F.sum(times * (F.col("n") - F.col("few") - seen)).alias("kept"),
     )
 
 
@@ -313,13 +355,21 @@ def similar_tag_funnel(
     min_tag_matches: int = S.MIN_TAG_MATCHES,
 ) -> DataFrame:
     """Per user: tracks listed under a tag of the profile, dropped for few tags, dropped as played, kept."""
+    tasks = user_tasks(plays)
     artist = F.coalesce("artist_name", F.lit(""))
     listed = _first(tag_top_tracks, tracks_per_tag).select("tag", canonical_track_id("track_name", artist).alias("track_id"))
-    found = catalogue_join(profile.select("username", "tag"), listed.distinct(), "tag")
-    matches = found.groupBy("username", "track_id").agg(F.count("*").alias("tags"))
-    played = played_tracks(plays).withColumn("played", F.lit(True))
-    marked = matches.join(played, ["username", "track_id"], "left")
-    return _funnel(marked, F.col("tags") < min_tag_matches, F.lit(1))
+    answers, numbers = _numbered(listed.distinct(), "tag")
+    found = expanded(by_user(profile.select("username", "tag"), tasks), answers.select("tag", "number"), "tag", tasks)
+    matches = found.groupBy("username", "number").agg(F.count("*").alias("tags"))
+    played = _played_numbers(plays, numbers, tasks).distinct().withColumn("played", F.lit(True))
+    marked = matches.join(played.hint("shuffle_hash"), ["username", "number"], "left")
+    few, seen = F.col("tags") < min_tag_matches, F.coalesce("played", F.lit(False))
+    return marked.groupBy("username").agg(
+        F.count("*").alias("examined"),
+        F.count_if(few).alias("below_threshold"),
+        F.count_if(~few & seen).alias("already_played"),
+        F.count_if(~few & ~seen).alias("kept"),
+    )
 
 
 # ---- deep cuts -------------------------------------------------------------------------------------------------
@@ -376,22 +426,34 @@ def album_catalogue(
 
 
 def deep_cut_candidates(plays: DataFrame, sources: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """Unplayed album tracks of the user's top artists."""
-    found = catalogue_join(sources, catalogue, "artist_name").withColumn(
+    """Unplayed album tracks of the user's top artists.
+
+    Where each track stands under one artist and albums have plays, the best source of a track is the best one of its
+    artist's name, which is chosen before the tracks are joined; then a user meets a track once.
+    """
+    tasks = user_tasks(plays)
+    catalogue, numbers = _numbered(catalogue, "artist_name")
+    sources = by_user(sources, tasks)
+    once = numbers.filter("listings > 1").isEmpty() and catalogue.filter("album_playcount IS NULL OR album_playcount <= 0").isEmpty()
+    if once:
+        sources = best_per_key(sources, ["username", "artist_name"], [F.col("play_count").desc(), F.col("artist_id")])
+    found = expanded(sources, catalogue, "artist_name", tasks).withColumn(
         "score", (F.col("play_count") * F.col("album_playcount")).cast("double")
     )
-    fresh = delete_frame(found, played_tracks(plays), ["username", "track_id"])
+    fresh = without_by_user(found, _played_numbers(plays, numbers, tasks), ["username", "number"])
     fresh = fresh.withColumnRenamed("artist_id", "source_artist_id")
-    order = [F.col("score").desc(), F.col("source_artist_id"), F.col("track_name"), F.col("artist_name")]
-    return best_per_key(fresh, ["username", "track_id"], order).select(*schemas.CANDIDATE_DEEP_CUT.names)
+    if not once:
+        order = [F.col("score").desc(), F.col("source_artist_id"), F.col("track_name"), F.col("artist_name")]
+        fresh = best_per_key(fresh, ["username", "track_id"], order)
+    return fresh.select(*schemas.CANDIDATE_DEEP_CUT.names)
 
 
 def deep_cut_funnel(plays: DataFrame, sources: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Per user: album listings examined, dropped as played, kept (before the dedup)."""
-    found = catalogue_join(sources.select("username", "artist_name"), catalogue.select("artist_name", "track_id", "listings"), "artist_name")
-    played = played_tracks(plays).withColumn("played", F.lit(True))
-    marked = found.join(played, ["username", "track_id"], "left")
-    return _funnel(marked, F.lit(False), F.col("listings")).drop("below_threshold")
+    tasks = user_tasks(plays)
+    paths = by_user(sources.select("username", "artist_name"), tasks).groupBy("username", "artist_name").agg(F.count("*").alias("paths"))
+    answers = catalogue.select("artist_name", "track_id", F.col("listings").alias("n"), F.lit(0).cast("bigint").alias("few"))
+    return _user_funnel(plays, paths, answers, "artist_name", tasks).drop("below_threshold")
 
 
 # ---- forgotten favourites --------------------------------------------------------------------------------------

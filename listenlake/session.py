@@ -13,6 +13,8 @@ SQL_CONF = {
     # split costs one more exchange in front of the next aggregate.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Rows dealt by user (keyed.by_user) are joined by user and track where they lie.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 

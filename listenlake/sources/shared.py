@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,3 +31,11 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/staging/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release_shuffles(spark: SparkSession, wait: float = 0) -> None:
+    """Files of finished shuffles go, which Spark else keeps until the driver happens to collect its garbage. ``wait``: so many
+    seconds, as the JVM is told of what Python has dropped by a thread that looks once a second; without, that goes next time."""
+    gc.collect()
+    time.sleep(wait)
+    spark.sparkContext._jvm.System.gc()

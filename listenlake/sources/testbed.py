@@ -18,6 +18,7 @@ from listenlake import schemas
 from listenlake.functions.links import TRACK_URL_PREFIX, VIDEO_URL_PREFIX
 from listenlake.functions.text import canonical_track_id
 from listenlake.operators.dimensions import dedup_artists, dedup_tracks, dim_users, known_artists
+from listenlake.operators.keyed import by_user, user_tasks
 from listenlake.operators.recommend import recommend
 from listenlake.operators.statistics import artist_play_counts, track_play_counts
 from listenlake.plans import candidates as C
@@ -395,9 +396,6 @@ class Testbed:
         played = C.user_artists(self.plays(), self.tracks(), self.artists())
         return C.similar_artist_sources(played)
 
-    def candidate_similar_artist(self) -> DataFrame:
-        return self.staged("silver/candidate_similar_artist", self.build_candidate_similar_artist)
-
     def build_candidate_similar_artist(self) -> DataFrame:
         return C.similar_artist_candidates(
             self.track_counts(), self.similar_sources(), self.similar_artists(), self.artist_top_tracks(), **SIMILAR
@@ -406,9 +404,6 @@ class Testbed:
     def tag_profile(self) -> DataFrame:
         return C.tag_profile(self.plays(), self.tracks(), self.artists())
 
-    def candidate_similar_tag(self) -> DataFrame:
-        return self.staged("silver/candidate_similar_tag", self.build_candidate_similar_tag)
-
     def build_candidate_similar_tag(self) -> DataFrame:
         return C.similar_tag_candidates(self.track_counts(), self.tag_profile(), self.tag_top_tracks())
 
@@ -416,29 +411,25 @@ class Testbed:
         played = C.user_artists(self.plays(), self.tracks(), self.artists())
         return C.deep_cut_sources(played)
 
-    def candidate_deep_cut(self) -> DataFrame:
-        return self.staged("silver/candidate_deep_cut", self.build_candidate_deep_cut)
-
     def build_candidate_deep_cut(self) -> DataFrame:
         catalogue = C.album_catalogue(self.artist_top_albums(), self.album_tracks(), **DEEP_CUT)
         return C.deep_cut_candidates(self.track_counts(), self.deep_cut_sources(), catalogue)
 
-    def candidate_old_favorites(self) -> DataFrame:
-        return self.staged("silver/candidate_old_favorites", self.build_candidate_old_favorites)
-
     def build_candidate_old_favorites(self) -> DataFrame:
         return C.old_favorites(self.plays(), AS_OF, self.users())
 
     def candidates(self) -> DataFrame:
-        return self.staged("gold/track_candidates", self.build_candidates)
+        """Candidates and what is merged of them are some hundred times the plays, so they are not stored for one reader: its
+        plan makes them in the partition of the user."""
+        return self.build_candidates()
 
     def build_candidates(self, **settings) -> DataFrame:
         return merge_candidates(
             self.track_counts(),
-            self.candidate_similar_artist(),
-            self.candidate_similar_tag(),
-            self.candidate_deep_cut(),
-            self.candidate_old_favorites(),
+            self.build_candidate_similar_artist(),
+            self.build_candidate_similar_tag(),
+            self.build_candidate_deep_cut(),
+            self.build_candidate_old_favorites(),
             self.tracks(),
             self.artists(),
             **settings,
@@ -448,7 +439,9 @@ class Testbed:
         return self.staged("gold/recommended", self.build_recommended)
 
     def build_recommended(self) -> DataFrame:
-        return recommend(self.candidates(), self.excluded_tracks(), self.excluded_artists(), n=LIST_LENGTH)
+        tasks = user_tasks(self.track_counts())  # as the candidates lie
+        tracks, artists = by_user(self.excluded_tracks(), tasks), by_user(self.excluded_artists(), tasks)
+        return recommend(self.candidates(), tracks, artists, n=LIST_LENGTH)
 
     # ---- feedback
 
