@@ -194,14 +194,10 @@ def similar_artist_funnel(
 def tag_profile(plays: DataFrame, tracks: DataFrame, artists: DataFrame, top: int = S.TOP_TAGS) -> DataFrame:
     """Most frequent tags per user, counted once per played track.
 
-    Tracks are counted per user and artist before tags are unfolded.
+    Tracks are counted per user and artist before tags are unfolded, and from there on all is in the partition of the user.
     """
-    per_artist = (
-        played_tracks(plays)
-        .join(tracks.select("track_id", "artist_id"), "track_id")
-        .groupBy("username", "artist_id")
-        .agg(F.count("*").alias("n"))
-    )
+    artist_ids = played_tracks(plays).join(tracks.select("track_id", "artist_id"), "track_id").select("username", "artist_id")
+    per_artist = by_user(artist_ids, user_tasks(plays)).groupBy("username", "artist_id").agg(F.count("*").alias("n"))
     tagged = artists.filter(F.col("tags").isNotNull() & (F.col("tags") != ""))
     tags = tagged.select("artist_id", F.explode(split_tags("tags")).alias("tag"))
     counts = per_artist.join(tags, "artist_id").groupBy("username", "tag").agg(F.sum("n").alias("tag_count"))

@@ -91,6 +91,14 @@ def test_tag_funnel_and_candidates(made):
     assert exchanges(found) <= 1  # the lists of the catalogue
 
 
+def test_tag_profile_is_dealt_once(spark, made):
+    tracks = spark.createDataFrame([("one|x", "a"), ("old|x", "a"), ("two|y", "b")], "track_id string, artist_id string").coalesce(1)
+    artists = spark.createDataFrame([("a", "rock,indie"), ("b", "rock")], "artist_id string, tags string")
+    out = C.tag_profile(made.plays, tracks.hint("broadcast"), artists.hint("broadcast"))
+    assert exchanges(out) == 1  # of the plays, to their distinct tracks
+    assert rows(out, "username", "tag", "tag_count") == listed(("u", "rock", 2), ("u", "indie", 2), ("v", "rock", 1))
+
+
 def test_a_long_catalogue_is_joined_by_its_key(spark, made, monkeypatch):
     monkeypatch.setattr(K, "TOLD_ROWS", 0)
     monkeypatch.setattr(K.expanded, "__defaults__", (0,))
